@@ -1,0 +1,61 @@
+"""Exact de-duplication that no hot text can overload.
+
+1. Local: Spark's partial aggregation folds equal texts inside each input partition.
+2. Salted: the survivors are grouped by (digest, salt, text); a text with a third of all rows
+   reaches ``salts`` tasks instead of one.
+3. Global: at most ``salts`` winners of each text are combined.
+
+The whole text is a grouping key at every stage, so equal digests of different texts never merge.
+Documents then find their group by (digest, salt), which carries no text; only if a digest turns
+out to hold several texts, the rows of such digests are matched by their text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from linkwell.storage import materialize
+
+
+def _sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
+    """One row for every input row: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical; null counts as empty.  Of equal texts the largest id stays.
+    A null id loses against any other; if all ids of a group are null, keep_id is null and its rows
+    count as kept.  Rows that repeat both id and text are the same document: each of them counts in
+    group_size and reports the same ``kept``.  An empty table gives no rows; other columns of the
+    input are ignored, whatever their names.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
+        "doc_id", "text", F.encode(digest(F.col("text")), "UTF-8").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    salted = rows.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
+    whole = salted.groupBy("digest", "text").agg(F.max("winner").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
+    groups = materialize(whole.select("digest", F.xxhash64("text").alias("probe"), "keep_id", "group_size", "salts"), "exact-groups")
+    ambiguous = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
+    by_salt = groups.select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size")
+    lean = rows.select("doc_id", "digest", "salt", F.sha2("text", 256).alias("text_sha256"))
+    if ambiguous.isEmpty():
+        found = lean.join(by_salt, ["digest", "salt"])
+    else:
+        clear = lean.join(by_salt.join(ambiguous, "digest", "left_anti"), ["digest", "salt"])
+        full = whole.join(ambiguous, "digest", "left_semi").select("digest", "text", F.explode("salts").alias("salt"), "keep_id", "group_size")
+        texts = rows.join(ambiguous, "digest", "left_semi").join(full, ["digest", "salt", "text"])
+        found = clear.unionByName(texts.select("digest", "salt", "doc_id", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
+    return found.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+    """The input's rows whose text is kept, with all their columns.
+
+    Ids that are dropped are matched by (id, digest), so a repeated id with another text is judged alone.
+    """
+    verdict = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    return docs.join(verdict, docs[id_col].eqNullSafe(verdict["_id"]) & (sha == verdict["_sha"]), "left_anti")
