@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkwell.llm import exact_dedup, mixing, sentencepiece_codec
-from linkwell.storage import table
+from linkwell.llm import chat, exact_dedup, html_extract, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from linkwell.storage import scratch_path, table
+
+#: Operator 9: parts of 128 MB, made from eight arrivals.
+SHARD_BYTES, ARRIVALS = 128 << 20, 8
 
 
 def tokenizer_model(name: str = "piece_bpe_32k.model") -> bytes:
@@ -16,6 +20,34 @@ def tokenizer_model(name: str = "piece_bpe_32k.model") -> bytes:
     return sentencepiece_codec.read_model(public_tokenizers.path(name))
 
 
+def fold_of(parts: int) -> Column:
+    """crc32 of the doc_id's decimal text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of(3) != 1)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold_of(3) == 1).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"), F.to_json("offending").alias("offending"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold_of(5) != 0)
+    return quality.score(docs, model).select("doc_id", (fold_of(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.selectExpr("doc_id", "_size AS size", "_source_size AS source_size", "_target AS target", "_size * _copies AS taken")
@@ -29,10 +61,32 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"), docs.schema, target_bytes=SHARD_BYTES)
+    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_events(chat.events_of(rows.unionByName(own))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op3_html": op3_html,
+    "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_sharding": op9_sharding,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +124,5 @@ FROM r""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
