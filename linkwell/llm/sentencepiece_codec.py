@@ -6,7 +6,7 @@ What remains outside the vocabulary falls back to bytes.
 
 A text is cut between two characters that stand side by side in no piece, since no pair can ever be
 joined across them; before a word's space mark and around line feeds that is done by splitting.
-Encoded words and parts are kept in bounded tables for each batch stream.  Every part that an agenda
+Encoded words and parts are kept in bounded tables of the worker process.  Every part that an agenda
 encodes is checked against the sentencepiece library in its Arrow batch, and so is the first whole
 text of each batch.
 """
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkwell.llm.batches import bounded, kept
+
 MARK, BREAK = "▁", "\ud800"
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -32,7 +34,7 @@ codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 class Codec:
     """Encodes and decodes as the library does, without sampling.  ``cached`` bounds the segment table."""
 
-    def __init__(self, model: bytes, cached: int = 600_000, longest: int = 48):
+    def __init__(self, model: bytes, cached: int = 400_000, longest: int = 48):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -208,19 +210,30 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
+    model_sha = hashlib.sha256(model).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = kept(("codec", model_sha), lambda: Codec(model))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [codec.encode(t) for t in texts]
-            if texts:
-                codec.check(texts[0], found[0])
-            full = [f"{x} {codec.end}" if x else codec.end for x in found]
-            back = [codec.decode(x) for x in full]
-            columns = [batch.column(0), pa.array([x.count(" ") + 1 for x in full], pa.int64()), pa.array(map(sha, full), pa.string()), pa.array(map(sha, back), pa.string())]
-            columns += [pa.array([[int(i) for i in x.split(" ")] for x in full], pa.list_(pa.int32()))] * keep_ids + [pa.array(back, pa.string())] * keep_text
+            digests: tuple[list, ...] = ([], [], [], [], [])
+            for k, text in enumerate(batch.column(1)):
+                found = codec.encode(text := text.as_py())
+                if k == 0:
+                    codec.check(text, found)
+                full = f"{found} {codec.end}" if found else codec.end
+                back = codec.decode(full)
+                digests[0].append(full.count(" ") + 1)
+                digests[1].append(sha(full))
+                digests[2].append(sha(back))
+                if keep_ids:
+                    digests[3].append([int(i) for i in full.split(" ")])
+                if keep_text:
+                    digests[4].append(back)
+            codec.check()
+            columns = [batch.column(0), pa.array(digests[0], pa.int64()), pa.array(digests[1], pa.string()), pa.array(digests[2], pa.string())]
+            columns += [pa.array(digests[3], pa.list_(pa.int32()))] * keep_ids + [pa.array(digests[4], pa.string())] * keep_text
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids + ["decoded"] * keep_text
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return bounded(rows).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
