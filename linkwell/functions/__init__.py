@@ -1 +1 @@
-"""functions"""
+"""Column expressions and scalar functions."""

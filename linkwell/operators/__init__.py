@@ -1 +1 @@
-"""operators"""
+"""Operators: lazy DataFrames in and out."""

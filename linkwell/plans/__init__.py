@@ -1 +1 @@
-"""plans"""
+"""Registered queries, their SQL, and estimators."""

@@ -1,3 +1,567 @@
-"""Registered queries."""
+"""Registered queries: each applies library operators to the driver's tables.
+
+Stand-ins: ``documents`` and ``part`` are catalogues, ``benchmark`` the queries, ``documents.source`` the
+organisation, md5 of squeezed lower-case text the barcode, ``lineitem`` per order the ranking groups.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkwell.functions import similarity, text
+from linkwell.operators import entities, joins, metrics, ranking, retrieval, sampling, vectors
+from linkwell.plans import models
+from linkwell.plans.oracle import ORACLE_SQL
+from linkwell.storage import table
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {}
-ORACLE_SQL = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), "[ \\t\\n\\r]+", " "))
+
+
+def coded(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(squeezed(F.col("text")).cast("binary")).alias("barcode"), "source")
+
+
+# scans, lookups, keyed joins
+
+
+@query
+def scan_project_docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("chars"))
+
+
+@query
+def enrich_brand_category(spark, d):
+    part = table(spark, d, "part")
+    brand = part.select(F.col("p_brand").alias("b")).distinct().select(F.regexp_replace("b", "Brand#", "").cast("int").alias("id"), F.col("b").alias("name")).where("id <= 20")
+    kind = part.select(F.col("p_type").alias("name")).distinct().select(F.md5(F.col("name").cast("binary")).alias("id"), "name")
+    rows = part.select("p_partkey", "p_name", F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("brand_id"), F.md5(F.col("p_type").cast("binary")).alias("category_id"))
+    rows = joins.lookup_optional(rows, "brand_id", brand, "id", "name", "brand")
+    rows = joins.lookup_required(rows, "category_id", kind, "id", "name", "category")
+    return rows.select("p_partkey", F.trim(F.concat_ws(" ", "p_name", "brand")).alias("name"), "category")
+
+
+@query
+def lookup_left_missing(spark, d):
+    nation = table(spark, d, "nation").where("n_nationkey < 20")
+    return joins.lookup_optional(table(spark, d, "supplier"), "s_nationkey", nation, "n_nationkey", "n_name", "nation").select("s_suppkey", "nation")
+
+
+@query
+def semi_known_keys(spark, d):
+    good = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return joins.known(table(spark, d, "orders"), good, ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query
+def anti_known_keys(spark, d):
+    asked = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.unknown(table(spark, d, "customer"), asked, ["c_custkey"]).select("c_custkey")
+
+
+@query
+def range_key_scan(spark, d):
+    keys = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return joins.known(table(spark, d, "lineitem").where("l_linenumber <= 3 AND l_quantity >= 10"), keys, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query
+def count_scan(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def truth_unique_link(spark, d):
+    docs = coded(spark, d)
+    feed = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("feed_id"), "barcode")
+    master = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("master_id"), "barcode")
+    return joins.unique_links(feed, master, "feed_id", "master_id", "barcode")
+
+
+@query
+def nullsafe_pair_join(spark, d):
+    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("qid"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey")).alias("synid"), F.col("l_partkey").alias("fid"))
+    org = rows.select("qid", "synid", (F.col("qid") % 7).alias("org")).distinct()
+    return joins.null_safe(rows, org, ["qid", "synid"]).select("qid", "synid", "fid", "org")
+
+
+@query
+def array_explode_overlap(spark, d):
+    conv = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    return conv.select("conv_id", F.arrays_overlap("roles", F.array(F.lit("system"), F.lit("tool"))).alias("overlap"), F.size(F.array_intersect("roles", F.array(F.lit("user"), F.lit("system")))).alias("n_common"))
+
+
+@query
+def barcode_numbers(spark, d):
+    events = table(spark, d, "events").select("event_id", text.barcode_numbers(F.split(F.regexp_replace("props", "[^0-9,]", ""), ",")).alias("codes"))
+    return events.select("event_id", F.explode("codes").alias("code"))
+
+
+@query
+def keep_first(spark, d):
+    rows = table(spark, d, "conversations").withColumn("size", F.length("text"))
+    return joins.keep_first(rows, ["conv_id", "role"], [F.col("turn")]).select("conv_id", "role", "turn", "size")
+
+
+# text
+
+
+@query
+def tokens_ascii(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(retrieval.ascii_terms(F.col("text"))).alias("pos", "term")).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.countDistinct("term").alias("n_distinct"), F.sum((F.col("pos") + 1) * F.length("term")).alias("checksum"))
+
+
+@query
+def char_clean_fold(spark, d):
+    cleaned = text.strip_symbols(text.clean_characters(F.lower("text")))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.fold_letters(cleaned).cast("binary")).alias("clean_md5"))
+
+
+@query
+def number_boundary_split(spark, d):
+    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("mm "), F.replace(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(",")), F.lit("kg"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.words(text.split_numbers(F.lower(name))), " ").alias("split"))
+
+
+@query
+def number_mask(spark, d):
+    words = F.split(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.col("p_retailprice").cast("decimal(12,2)").cast("string")), " ")
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.mask_numbers(words), " ").alias("masked"))
+
+
+@query
+def unit_expand(spark, d):
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("g", "ml", "kg", "mm", "cm", "x")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    tokens = F.array(F.lit("size"), (F.col("p_size") + 10).cast("string"), unit)
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.expand_units(tokens), " ").alias("expanded"))
+
+
+@query
+def unique_tokens_ordered(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.array_distinct(retrieval.ascii_terms(F.col("text"))), " ").cast("binary")).alias("unique_md5"))
+
+
+@query
+def stopword_length_filter(spark, d):
+    stop = ("the", "of", "and", "to", "in", "is", "that", "for", "de", "la", "le", "der", "die", "und")
+    kept = text.of_length(text.without_stop_words(F.split(F.lower("text"), "[ \\t\\n\\r]+"), stop))
+    return table(spark, d, "documents").select("doc_id", F.size(kept).alias("n_kept"), F.md5(F.array_join(kept, " ").cast("binary")).alias("kept_md5"))
+
+
+@query
+def org_parse(spark, d):
+    comment = F.concat(F.lit("{"), "source", F.lit("|"), "lang")
+    return table(spark, d, "documents").select("doc_id", text.organisation(comment).alias("org"))
+
+
+@query
+def product_text(spark, d):
+    synonyms = F.array(F.concat("p_type", F.lit(" "), "p_name"), F.lower("p_type"))
+    return table(spark, d, "part").select("p_partkey", text.product_text(F.col("p_name"), synonyms, F.col("p_brand"), True).alias("text"))
+
+
+@query
+def tokenize_names(spark, d):
+    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("g "), "p_brand", F.lit(" 3,2%"))
+    return table(spark, d, "part").select("p_partkey", text.tokenize(name).alias("tokens"), text.normalize(name).alias("normal"))
+
+
+@query
+def index_documents(spark, d):
+    part = table(spark, d, "part")
+    products = part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("brand_id"), F.length("p_type").cast("long").alias("category_id"),
+        F.array(F.col("p_partkey").cast("string")).alias("barcodes"), F.lit("").alias("source"), F.lower("p_type").alias("unit_name"),
+        F.array(F.struct(F.col("p_partkey").alias("id"), F.concat("p_type", F.lit(" "), "p_name").alias("name"), F.lit("").alias("comment"))).alias("synonyms"))
+    brands = part.select(F.col("p_size").cast("long").alias("id"), F.concat(F.lit("brand"), F.col("p_size").cast("string")).alias("name")).distinct().where("id < 30")
+    kinds = part.groupBy(F.length("p_type").cast("long").alias("id")).agg(F.min("p_type").alias("name"))
+    return entities.index_documents(products, brands, kinds).withColumn("barcodes", F.array_join("barcodes", ","))
+
+
+@query
+def url_quote(spark, d):
+    return table(spark, d, "pages").select("page_id", text.url_quote(F.col("url")).alias("quoted"))
+
+
+# retrieval and samples
+
+
+def asked(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), retrieval.ascii_terms(F.col("text")).alias("terms"))
+
+
+def indexed(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), retrieval.ascii_terms(F.col("text")).alias("terms"))
+
+
+@query
+def doc_freq(spark, d):
+    return retrieval.document_frequency(indexed(spark, d))
+
+
+@query
+def term_freq(spark, d):
+    return retrieval.postings(indexed(spark, d)).groupBy("term").agg(F.sum("tf").alias("tf"), F.max("tf").alias("max_tf"))
+
+
+@query
+def bm25_topk(spark, d):
+    return retrieval.bm25_topk(asked(spark, d), indexed(spark, d))
+
+
+def candidates(spark, d) -> DataFrame:
+    return bm25_topk(spark, d).select("qid", F.lit(None).cast("long").alias("synid"), "fid", "score", "ix")
+
+
+def truth(spark, d) -> DataFrame:
+    return retrieval.shared_run_truth(asked(spark, d), indexed(spark, d))
+
+
+@query
+def score_share_flag(spark, d):
+    part = Window.partitionBy("qid")
+    rows = candidates(spark, d).join(truth(spark, d), "qid", "left").withColumn("target", F.coalesce((F.col("fid") == F.col("true_id")).cast("int"), F.lit(0)))
+    return rows.select("qid", "fid", "ix", r6(F.col("score") / F.sum("score").over(part)).alias("share"), F.max("target").over(part).alias("found"))
+
+
+@query
+def miss_replacement(spark, d):
+    return sampling.label(candidates(spark, d), truth(spark, d)).select("qid", "fid", r6("score").alias("score"), "target", "existing", "ix")
+
+
+def found_at(spark, d) -> DataFrame:
+    return sampling.positions(asked(spark, d).select("qid", F.lit(None).cast("long").alias("synid")), candidates(spark, d), truth(spark, d))
+
+
+@query
+def positions(spark, d):
+    return found_at(spark, d).select("et_id", "el_id", "i")
+
+
+@query
+def recall_at_n(spark, d):
+    return metrics.recall_at(found_at(spark, d)).select("n", r6("share").alias("share"), r6("recall").alias("recall"))
+
+
+@query
+def recall_scale(spark, d):
+    return metrics.recall_scale(sampling.label(candidates(spark, d), truth(spark, d))).select(r6("recall_scale").alias("recall_scale"))
+
+
+@query
+def negatives_seeded(spark, d):
+    docs = coded(spark, d)
+    linked = truth_unique_link(spark, d).select(F.col("feed_id").alias("doc_id"))
+    rest = joins.unknown(docs.where("doc_id % 2 = 1"), linked, ["doc_id"])
+    return linked.withColumn("matched", F.lit(True)).unionByName(sampling.seeded_sample(rest, F.col("doc_id"), 50, "s1").select("doc_id", F.lit(False).alias("matched")))
+
+
+@query
+def org_split(spark, d):
+    rows = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("org"))
+    return sampling.org_split(rows, "org", 0.1)
+
+
+@query
+def nested_split(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang").alias("org"))
+    train, vali, test = sampling.parts(sampling.nested_split(rows, "org", 0.1))
+    return train.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("train").alias("part"), "n").unionByName(
+        vali.agg(F.count(F.lit(1)).alias("n")).select(F.lit("vali").alias("part"), "n")).unionByName(test.agg(F.count(F.lit(1)).alias("n")).select(F.lit("test").alias("part"), "n"))
+
+
+@query
+def hash_split(spark, d):
+    org = F.col("source")
+    return table(spark, d, "documents").select("doc_id", (sampling.unit_hash(org, "test") < 0.1).alias("test"), (sampling.unit_hash(org, "vali") < 0.1).alias("vali"))
+
+
+@query
+def pair_noise_filter(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("fid"), retrieval.ascii_terms(F.col("text")).alias("d_terms"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), retrieval.ascii_terms(F.col("text")).alias("q_terms"))
+    pairs = sampling.label(candidates(spark, d), truth(spark, d)).join(queries, "qid").join(docs, "fid")
+    return entities.without_noise(pairs).select("qid", "fid", "target", F.size("q_terms").alias("q_len"), F.size("d_terms").alias("d_len"))
+
+
+# pair features
+
+
+def name_pairs(spark, d) -> DataFrame:
+    """Pairs of distinct part names that share a word, with the names' smallest part keys."""
+    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.split("p_name", " ").alias("terms"))
+    word = lambda side: names.select(F.col("id").alias(f"{side}_id"), F.col("terms").alias(f"{side}_terms"), F.explode("terms").alias("word"))
+    return word("q").join(word("d"), "word").where("q_id <> d_id").drop("word").dropDuplicates(["q_id", "d_id"])
+
+
+def featured(spark, d, built) -> DataFrame:
+    pairs = name_pairs(spark, d)
+    return pairs.select("q_id", "d_id", *[r6(c.cast("double")).alias(n) for n, c in built(F.col("q_terms"), F.col("d_terms")).items()])
+
+
+@query
+def length_features(spark, d):
+    return featured(spark, d, similarity.length_features)
+
+
+@query
+def levenshtein_matrix(spark, d):
+    return featured(spark, d, similarity.edit_matrix)
+
+
+@query
+def token_set_features(spark, d):
+    return featured(spark, d, similarity.token_set_features)
+
+
+@query
+def qgram_distance(spark, d):
+    return featured(spark, d, lambda q, t: {"qgram": similarity.text_features(q, t)["qgram"]})
+
+
+@query
+def prefix_suffix(spark, d):
+    return featured(spark, d, lambda q, t: {k: v for k, v in similarity.text_features(q, t).items() if k != "qgram"})
+
+
+def arrow_part(spark, d, names) -> DataFrame:
+    rows = name_pairs(spark, d).withColumn("f", similarity.arrow_features("q_terms", "d_terms"))
+    return rows.select("q_id", "d_id", *[r6(F.col(f"f.{n}")).alias(n) for n in names])
+
+
+@query
+def jaro_features(spark, d):
+    return arrow_part(spark, d, [f"jaro_{k}" for k in range(1, 6)])
+
+
+@query
+def jaro_winkler_features(spark, d):
+    return arrow_part(spark, d, [f"jaro_win_{k}" for k in range(1, 6)])
+
+
+@query
+def lcs_features(spark, d):
+    return arrow_part(spark, d, [*(f"lcsseq_{k}" for k in range(1, 6)), "lcsseq", "lcsstr"])
+
+
+@query
+def fuzzy_ratio_features(spark, d):
+    return arrow_part(spark, d, ["fuzz_ratio", "fuzz_partial_ratio", "fuzz_token_sort_ratio", "fuzz_token_set_ratio"])
+
+
+@query
+def soft_token_features(spark, d):
+    return arrow_part(spark, d, list(similarity.TOKENS))
+
+
+@query
+def all_pair_features(spark, d):
+    return similarity.pair_features(name_pairs(spark, d)).drop("q_terms", "d_terms")
+
+
+# vectors
+
+
+@query
+def tfidf_cosine(spark, d):
+    docs = indexed(spark, d).where(F.size("terms") > 0)
+    pairs = docs.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")).join(docs.select(F.col("id").alias("d")), "d", "left_semi")
+    return vectors.paired_distance(pairs, vectors.tfidf(docs)).select("q", "d", r6("distance").alias("distance"))
+
+
+@query
+def embedding_cosine_topk(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows.where("vec_id < 20"), rows, 10)
+
+
+@query
+def embedding_pair_stats(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    means = vectors.mean_vector(rows, "label", "embedding")
+    return rows.join(F.broadcast(means), "label").select("vec_id", r6(1 - vectors.cosine(F.col("embedding"), F.col("mean"))).alias("distance"))
+
+
+@query
+def embedding_set_distances(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    group = lambda m: rows.where(F.col("vec_id") % 50 < m).groupBy((F.floor(F.col("vec_id") / 50)).alias("g")).agg(F.collect_list("embedding").alias("vs"))
+    q, t = group(3).withColumnRenamed("vs", "q"), group(5).select((F.col("g") - 1).alias("g"), F.col("vs").alias("t"))
+    return q.join(t, "g").select("g", *[r6(c).alias(n) for n, c in vectors.set_distances(F.col("q"), F.col("t")).items()])
+
+
+# ranking data
+
+
+@query
+def group_has_both(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select(F.col("source").alias("qid"), "doc_id", F.col("toxic").alias("target"))
+    return ranking.mixed_groups(rows, ["qid"]).select("qid", "doc_id", "target")
+
+
+@query
+def standard_scale(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    scaled = ranking.standard_scale(rows, ["l_quantity", "l_extendedprice"])
+    return scaled.select("l_orderkey", "l_linenumber", r6("l_quantity").alias("quantity"), r6("l_extendedprice").alias("price"))
+
+
+def ranked_items(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("target"), "l_quantity", "l_discount")
+
+
+@query
+def letor_rows(spark, d):
+    rows = ranking.number_groups(ranked_items(spark, d), ["l_orderkey"])
+    return rows.select("group_no", "l_linenumber", ranking.letor_line(F.col("target"), F.col("group_no"), [F.col("l_quantity"), F.col("l_discount")]).alias("line"))
+
+
+@query
+def group_sizes(spark, d):
+    rows = ranking.number_groups(ranked_items(spark, d), ["l_orderkey"])
+    return rows.groupBy("group_no").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("positives"))
+
+
+@query
+def list_truncate(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
+    return ranking.truncate_lists(rows, ["l_orderkey"], order, 3).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query
+def list_discards(spark, d):
+    sizes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("lists"), F.sum("n").alias("docs"), F.sum(F.greatest(F.col("n") - 3, F.lit(0))).alias("discarded"))
+
+
+# evaluation
+
+
+def judged(spark, d) -> DataFrame:
+    """Labelled documents with a rule's score: a stand-in for a model's probability."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    score = F.round(F.pmod(F.col("n_chars") * 37 + F.col("doc_id") * 11, F.lit(1000)) / 1000.0, 3)
+    return table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "source", F.col("toxic").alias("target"), "quality", score.alias("prob"))
+
+
+@query
+def dcg_ndcg_at_k(spark, d):
+    return metrics.ndcg(judged(spark, d), ["source"], "target", "prob", "doc_id").select("source", "k", r6("dcg").alias("dcg"), r6("ndcg").alias("ndcg"))
+
+
+@query
+def mean_ndcg(spark, d):
+    return metrics.mean_ndcg(metrics.ndcg(judged(spark, d), ["source"], "target", "prob", "doc_id", method=0))
+
+
+@query
+def first_relevant(spark, d):
+    return metrics.first_relevant(judged(spark, d), ["source"], "target", "prob", "doc_id")
+
+
+@query
+def ordered_pair_accuracy(spark, d):
+    return metrics.ordered_pairs(judged(spark, d), ["source"], "target", "prob", "doc_id").select("source", "pairs", "correct", r6(F.try_divide("correct", "pairs")).alias("opa"))
+
+
+@query
+def arp(spark, d):
+    return metrics.average_relevant_place(judged(spark, d), ["source"], "target", "prob", "doc_id").select("source", r6("arp").alias("arp"))
+
+
+@query
+def classification_report(spark, d):
+    return metrics.report(judged(spark, d), "target", "prob")
+
+
+@query
+def confusion(spark, d):
+    return metrics.confusion(judged(spark, d), "target", "prob")
+
+
+@query
+def pr_curve(spark, d):
+    return metrics.pr_curve(judged(spark, d), "target", "prob").select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query
+def pr_curve_ap(spark, d):
+    return metrics.average_precision(metrics.pr_curve(judged(spark, d), "target", "prob"))
+
+
+@query
+def abstain_curve(spark, d):
+    out = metrics.abstention_curve(judged(spark, d), ["source"], "target", "prob", "doc_id")
+    return out.select("topn", "threshold", "tp", "fp", "tn", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query
+def type_errors(spark, d):
+    return metrics.type_errors(judged(spark, d), "target", "prob").select("doc_id", "prob", "target", "error_type")
+
+
+@query
+def prob_histogram(spark, d):
+    return metrics.histogram(judged(spark, d), "target", "prob").select("target", "bin", "n", r6("density").alias("density"))
+
+
+@query
+def group_best_prob(spark, d):
+    return judged(spark, d).groupBy("source").agg(F.max("prob").alias("best"), F.max("target").alias("has"))
+
+
+@query
+def match_share(spark, d):
+    return metrics.match_share(judged(spark, d), ["source"]).select(r6("share").alias("share"))
+
+
+@query
+def describe_prob(spark, d):
+    q = lambda p: F.percentile("prob", p)
+    return judged(spark, d).agg(F.count("prob").alias("n"), r6(F.avg("prob")).alias("mean"), r6(F.stddev_samp("prob")).alias("std"), F.min("prob").alias("lo"), r6(q(F.lit(0.25))).alias("q1"), r6(q(F.lit(0.5))).alias("q2"), r6(q(F.lit(0.75))).alias("q3"), F.max("prob").alias("hi"))
+
+
+@query
+def precision_at_cut(spark, d):
+    return judged(spark, d).where("prob > 0.8").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("target")).alias("precision"))
+
+
+@query
+def org_frequencies(spark, d):
+    counts = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))
+    return counts.join(F.broadcast(total)).select("source", "n", r6(F.col("n") / F.col("t")).alias("freq")).orderBy(F.desc("n"), "source").limit(40)
+
+
+@query
+def size_classes(spark, d):
+    sizes = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("n").agg(F.count(F.lit(1)).alias("orgs"), F.min("source").alias("first"))
+
+
+@query
+def watch_list(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
+    return judged(spark, d).join(docs, "doc_id").orderBy("source", "target", F.desc("prob"), "doc_id").select("source", "doc_id", "target", "prob", "head")
+
+
+# models
+
+for _name, _model in models.QUERIES.items():
+    QUERIES[_name] = _model
