@@ -54,8 +54,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The input's rows whose text is kept, with all their columns.
 
-    Ids that are dropped are matched by (id, digest), so a repeated id with another text is judged alone.
+    A row is judged by its id and text, so a repeated id with another text is judged alone.  Of rows
+    that repeat both, one stays.
     """
-    verdict = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    verdict = materialize(exact_dedup(docs, id_col, text_col, salts).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "exact-verdict")
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    return docs.join(verdict, docs[id_col].eqNullSafe(verdict["_id"]) & (sha == verdict["_sha"]), "left_anti")
+    left = without(docs, docs[id_col], sha, verdict.where(~F.col("kept")).select("_id", "_sha").distinct())
+    repeated = verdict.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
+
+
+def without(docs: DataFrame, key: Column, sha: Column, drop: DataFrame, most: int = 200_000) -> DataFrame:
+    """``docs`` without the rows whose (key, sha) stands in ``drop`` (_id, _sha).
+
+    Up to ``most`` rows of ``drop`` are broadcast; beyond that the join shuffles.
+    """
+    few = drop.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(drop) if few else drop, key.eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")

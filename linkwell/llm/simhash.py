@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwell.llm.batches import bounded
+from linkwell.llm.exact_dedup import without
 from linkwell.storage import discard, materialize
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -49,14 +50,16 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row, from its whole text; null texts count as empty."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """(doc_id, sha, fp) for every row, from its whole text; null texts count as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("text"), F.sha2(text, 256).alias("sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "sha", "fp"])
 
-    return bounded(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return bounded(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, sha string, fp long")
 
 
 class Golay:
@@ -162,6 +165,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sha, fp, component_id) for every row."""
+    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    root = components(links(nodes))
+    named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = named.join(ids, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "sha", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every input row: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -169,10 +183,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids take part in links; a component of null ids only has a null component_id.  Rows that repeat
     an id keep their own fingerprints.  An empty table gives no rows; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = components(links(nodes))
-    named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _members(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows without near-copies, with all their columns: of each component the row of the smallest id.
+
+    If rows repeat that id, the one whose text has the smallest digest stays; rows that repeat id and text stay
+    together.  Components of null ids only keep all their rows.
+    """
+    rows = materialize(_members(docs, id_col, text_col).select("doc_id", "sha", "component_id"), "near-copies")
+    head = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("sha").alias("head"))
+    kept = rows.join(head, "component_id", "left")
+    drop = kept.where((F.col("component_id").isNotNull()) & ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sha") == F.col("head"))))
+    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    return without(docs, docs[id_col], sha, drop.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).distinct())
