@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import chat, exact_dedup, html_extract, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from linkwell.llm import ann, chat, exact_dedup, html_extract, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from linkwell.storage import scratch_path, table
 
 #: Operator 9: parts of 128 MB, made from eight arrivals.
@@ -53,6 +53,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "_size AS size", "_source_size AS source_size", "_target AS target", "_size * _copies AS taken")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_ann": op6_ann,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
