@@ -53,8 +53,10 @@ def set_distances(q: Column, d: Column) -> dict[str, Column]:
     return {n: F.when(none, F.lit(-1.0)).otherwise(F.coalesce(stats[k], F.lit(-1.0))) for n, k in (("mean_min", "1"), ("median_min", "4"), ("std_min", "2"))}
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(q, rank, key, cosine): exact neighbours of a stated, broadcast set of query vectors among all rows but themselves."""
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
+    """(q, rank, key, cosine): exact neighbours of a stated, broadcast set of at most ``most`` query vectors among all rows but themselves."""
+    if queries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} queries: search an index instead")
     asked = F.broadcast(queries.select(F.col(key).alias("q"), F.col(vector).alias("_qv")))
     scored = vectors.join(asked, F.col(key) != F.col("q")).select("q", key, F.round(cosine(F.col("_qv"), F.col(vector)), 6).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), key))

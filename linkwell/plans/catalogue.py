@@ -394,7 +394,7 @@ def embedding_cosine_topk(spark, d):
 def embedding_pair_stats(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     means = vectors.mean_vector(rows, "label", "embedding")
-    return rows.join(F.broadcast(means), "label").select("vec_id", r6(1 - vectors.cosine(F.col("embedding"), F.col("mean"))).alias("distance"))
+    return rows.join(joins.small(means), "label").select("vec_id", r6(1 - vectors.cosine(F.col("embedding"), F.col("mean"))).alias("distance"))
 
 
 @query
