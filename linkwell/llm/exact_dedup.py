@@ -69,5 +69,6 @@ def without(docs: DataFrame, key: Column, sha: Column, drop: DataFrame, most: in
 
     Up to ``most`` rows of ``drop`` are broadcast; beyond that the join shuffles.
     """
-    few = drop.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(drop) if few else drop, key.eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    if drop.limit(most + 1).count() <= most:
+        drop = F.broadcast(drop)
+    return docs.join(drop, key.eqNullSafe(drop["_id"]) & (sha == drop["_sha"]), "left_anti")

@@ -39,6 +39,7 @@ BLOCK = frozenset("html body article section main nav aside header footer div p
 #: What an opening tag closes, if it is open inside the given boundary (fixed values).
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": ((), ())}
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "select", "textarea"}
+HOLDS = BLOCK - {"p"}
 ROOTS = frozenset(("#root", "html", "body"))
 MARK = "\ue000"
 
@@ -69,6 +70,10 @@ def parse(text: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, and the node that holds their text
     block, links, at, n = 0, 0, 0, len(text)
+    last = text.rfind(">") + 1  # what follows is text
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by name
+    holding: list[int] = []  # of open block elements but p
+    newest = lambda names: max((places[x][-1] for x in names if places[x]), default=0)
 
     def add(run: str) -> None:
         if run and not (run.isspace() and not page.runs):
@@ -79,11 +84,15 @@ def parse(text: str) -> Page:
 
     def pop(k: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
+        for t, _ in stack[k:]:
+            places[t].pop()
+            if t in HOLDS:
+                holding.pop()
+            links -= t == "a"
         del stack[k:]
 
     while at < n:
-        m = _TAG.search(text, at)
+        m = _TAG.search(text, at, last)
         add(text[at : m.start()] if m else text[at:])
         if not m:
             break
@@ -95,8 +104,9 @@ def parse(text: str) -> Page:
         if closing:
             if name in BLOCK:
                 block += 1
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name or name not in BLOCK and stack[k][0] in BLOCK), 0)
-            if k and stack[k][0] == name:
+            # an inline element's end reaches no further than the block it stands in
+            least = 0 if name in BLOCK else max(holding[-1] if holding else 0, newest(("p",)))
+            if (k := newest((name,))) > least:
                 pop(k)
             continue
         if name in RAW:
@@ -114,20 +124,11 @@ def parse(text: str) -> Page:
             if name == "input":
                 page.controls[stack[-1][1]] += 1
             continue
-        closes, boundary = CLOSES.get(name, (("p",), ("article", "section", "div", "td", "li", "body")) if name in ENDS_P else ((), ()))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in boundary:
-                break
-            if stack[k][0] in closes:
-                pop(k)
-                break
-        if name in ENDS_P and name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ("li", "td", "th", "dd", "div", "ul", "ol", "dl", "table"):
-                    break
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
+        closes, boundary = CLOSES.get(name, (("p",), HOLDS) if name in ENDS_P else ((), ()))
+        if (k := newest(closes)) > (holding[-1] if boundary is HOLDS and holding else newest(boundary)):
+            pop(k)
+        if name in CLOSES and name in ENDS_P and (k := newest(("p",))) > (holding[-1] if holding else 0):
+            pop(k)
         holder, tokens = stack[-1][1], attribute_tokens(attributes)
         if name in BLOCK or tokens:
             holder = page.node(name, holder, tokens)
@@ -135,6 +136,9 @@ def parse(text: str) -> Page:
             page.controls[holder] += 1
         links += name == "a"
         if not attributes.rstrip().endswith("/") or name in BLOCK:
+            places[name].append(len(stack))
+            if name in HOLDS:
+                holding.append(len(stack))
             stack.append((name, holder))
     return page
 

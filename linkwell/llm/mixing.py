@@ -85,11 +85,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null and empty texts have size 0; a null source is a source of its own, ordered last.  Rows that
     repeat an id share its hash, so they are taken or left together.  No row is taken more than
-    ``most`` times.  An empty table gives no rows.  Input columns keep their names and values.
+    ``most`` times.  An empty table gives no rows.  Input columns keep their names and values; one that
+    has the name of a new column is replaced by it.
     """
+    docs = docs.drop("_size", "_source_size", "_target", "_copies")
     limits = thresholds(docs, id_col, text_col, source_col, **rule)
-    limits = limits.select(*[F.col(c).alias(f"_mix_{c}") for c in limits.columns])
-    few = limits.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(limits) if few else limits, docs[source_col].eqNullSafe(F.col("_mix_source")))
-    copies = F.least(F.col("_mix_times") + (id_hash(docs[id_col]) < F.col("_mix_below")).cast("long"), F.lit(rule.get("most", 2)).cast("long"))
-    return joined.select(*[docs[c] for c in docs.columns], word_count(docs[text_col]).alias("_size"), F.col("_mix_source_size").alias("_source_size"), F.col("_mix_target").alias("_target"), copies.alias("_copies"))
+    if limits.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        limits = F.broadcast(limits)
+    joined = docs.join(limits, docs[source_col].eqNullSafe(limits["source"]))
+    copies = F.least(limits["times"] + (id_hash(docs[id_col]) < limits["below"]).cast("long"), F.lit(rule.get("most", 2)).cast("long"))
+    return joined.select(*[docs[c] for c in docs.columns], word_count(docs[text_col]).alias("_size"), limits["source_size"].alias("_source_size"), limits["target"].alias("_target"), copies.alias("_copies"))
