@@ -28,9 +28,8 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def kept(key: tuple, make: Callable[[], T]) -> T:
-    """An object of this worker process, made once for each key.  Only the newest key of a kind is kept."""
+    """An object of this worker process, made once for each key.  Only the newest is kept, so tables don't add up."""
     if key not in _kept:
-        for old in [k for k in _kept if k[0] == key[0]]:
-            del _kept[old]
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]

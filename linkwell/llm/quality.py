@@ -43,7 +43,7 @@ class Settings:
     sharpness: float = 4.0
     sign_weight: float = 3.0
     block: int = 256
-    remembered: int = 500_000
+    remembered: int = 200_000
 
 
 def token_terms(token: str) -> tuple[str, ...]:

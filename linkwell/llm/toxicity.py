@@ -12,6 +12,7 @@ Training takes a bounded sample of labelled rows; scoring reads every whole text
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,7 @@ class Settings:
     rate: float = 0.1
     l1: float = 0.1
     l2: float = 0.05
-    remembered: int = 500_000
+    remembered: int = 200_000
 
 
 def word_features(token: str) -> list[str]:
@@ -109,23 +110,32 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
         return Model({}, settings)
-    ids: dict[str, int] = {}
+    # features that enough toxic texts hold; no other one can be kept
+    toxic = Counter()
+    for text, label in zip(texts, labels, strict=True):
+        if label:
+            toxic.update({f for t in set(text.split()) for f in word_features(t)})
+    names = [f for f, n in toxic.items() if n >= settings.seen]
+    ids = {f: i for i, f in enumerate(names)}
     known: dict[str, tuple[int, ...]] = {}
 
     def features(token: str) -> tuple[int, ...]:
         if (f := known.get(token)) is None:
-            f = known[token] = tuple(ids.setdefault(x, len(ids)) for x in word_features(token))
+            if len(known) >= settings.remembered:
+                known.clear()
+            f = known[token] = tuple(ids[x] for x in word_features(token) if x in ids)
         return f
 
-    bags = [[[features(t) for t in set(s.split())] for s in SENTENCE.findall(text) if s.strip()] for text in texts]
-    # documents that hold a feature, by label
-    held = [[], []]
+    # of each sentence with a word, the features of its distinct words
+    bags = [[[f for t in set(s.split()) if (f := features(t))] for s in SENTENCE.findall(text) if s.strip()] for text in texts]
+    fair = np.zeros(len(ids))
     for bag, label in zip(bags, labels, strict=True):
-        held[label].extend({f for s in bag for t in s for f in t})
-    toxic, fair = (np.bincount(np.array(h, np.int64), minlength=len(ids)) for h in (held[1], held[0]))
+        if not label:
+            fair[list({f for s in bag for t in s for f in t})] += 1
+    held = np.array([toxic[f] for f in names], np.float64)
     n1, n0 = y.sum(), len(y) - y.sum()
-    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((fair + 0.5) / (n0 + 1))
-    worth = np.where((toxic >= settings.seen) & (odds > 1), odds * np.sqrt(toxic), 0)
+    odds = np.log((held + 0.5) / (n1 + 1)) - np.log((fair + 0.5) / (n0 + 1))
+    worth = np.where(odds > 1, odds * np.sqrt(held), 0)
     best = np.argsort(-worth, kind="stable")[: settings.features]
     best = best[worth[best] > 0]
     place = np.full(len(ids), -1, np.int64)
@@ -156,7 +166,6 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         w -= settings.rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
-    names = {i: f for f, i in ids.items()}
     return Model({names[int(f)]: float(x) for f, x in zip(best, w, strict=True) if abs(x) > 1e-3}, settings)
 
 
