@@ -34,14 +34,14 @@ class Settings:
     ``pool``, ``beam``, ``steps``: of the search."""
 
     degree: int = 32
-    sample: int = 12
+    sample: int = 8
     inbox: int = 64
-    offers: int = 4
+    offers: int = 2
     rounds: int = 5
     bucket: int = 128
     tables: int = 2
-    pool: int = 256
-    beam: int = 48
+    pool: int = 320
+    beam: int = 64
     steps: int = 6
     exact: int = 16
     seed: int = 5
