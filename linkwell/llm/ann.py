@@ -5,21 +5,22 @@ hyperplanes.  Each round joins every node with its inbox: proposals, which impro
 nodes that list it.  The node compares its neighbours (both directions) with each other, wherever one of a pair
 is new, and proposes the better pairs to both.  Messages carry vectors as 8-bit codes, so a round is
 one join.  Only the best proposals and a fixed random share of back links reach a node, which bounds the
-inbox of a hub.
+inbox of a hub.  Rounds go on until few list entries change; lists only ever improve, so they end.
 
 Search.  A query starts at its own node's list and repeatedly expands the best nodes of its pool
-that it has not expanded, again one join a round.  The pool's best are scored with the original
-vectors in double precision.
+that it has not expanded, again one join a round, until it has expanded its whole pool.  The pool's best
+are scored with the original vectors in double precision.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.llm.batches import bounded
@@ -30,19 +31,18 @@ from linkwell.storage import discard, materialize
 class Settings:
     """``degree``: neighbours of a node.  ``sample``: new and old neighbours that a node tells of itself in a round.
     ``inbox``: most messages of a kind that a node reads in a round; ``offers``: most pairs that a
-    node proposes to one of its neighbours.  ``bucket``, ``tables``: size and number of the first buckets.
-    ``pool``, ``beam``, ``steps``: of the search."""
+    node proposes to one of its neighbours.  ``settled``: share of list entries that change in the last round.
+    ``bucket``, ``tables``: size and number of the first buckets.  ``pool``, ``beam``: of the search."""
 
     degree: int = 32
-    sample: int = 8
+    sample: int = 12
     inbox: int = 64
-    offers: int = 2
-    rounds: int = 5
+    offers: int = 4
+    settled: float = 0.001
     bucket: int = 128
     tables: int = 2
     pool: int = 320
     beam: int = 64
-    steps: int = 6
     exact: int = 16
     seed: int = 5
 
@@ -139,13 +139,15 @@ def first_offers(nodes: DataFrame, number: int, dims: int, s: Settings) -> DataF
 def one_round(nodes: DataFrame, offers: DataFrame, dims: int, s: Settings, turn: int, last: bool) -> DataFrame:
     """Nodes joined with their inboxes: rows of NODE (kind -1) and of MESSAGE for the next round.
 
-    The last round sends nothing and adds the back links to the lists.
+    The last round sends nothing and adds the back links to the lists.  A node's ``src`` is the number of
+    entries that are new in its list.
     """
     # only the best offers and a random share of the back links are read
     first = F.when(F.col("kind") == OFFER, -F.col("sim").cast("double")).otherwise(F.pmod(F.xxhash64("dst", "src", F.lit(turn)), F.lit(1 << 30)).cast("double"))
     place = F.row_number().over(Window.partitionBy("dst", "kind").orderBy("first", "src"))
     limit = s.inbox * 2
-    best = offers.withColumn("first", first).withColumn("place", place).where(F.col("place") <= limit)
+    # dealt by dst alone, which serves the window, the groups and the join
+    best = offers.repartition("dst").withColumn("first", first).withColumn("place", place).where(F.col("place") <= limit)
     inbox = best.groupBy("dst").agg(F.collect_list(F.struct("kind", "src", "sim", "floor", "fresh", "code")).alias("inbox"))
     joined = nodes.join(inbox, nodes["id"] == inbox["dst"], "left").select(*nodes.columns, *[F.col(f"inbox.{c}").alias(f"in_{c}") for c in ("kind", "src", "sim", "floor", "fresh", "code")])
     k_most = s.degree
@@ -172,6 +174,7 @@ def one_round(nodes: DataFrame, offers: DataFrame, dims: int, s: Settings, turn:
                 _, one = np.unique(all_ids, return_index=True)
                 one = one[all_ids[one] != me]
                 order = one[np.lexsort((all_ids[one], -all_sims[one]))][: k_most * 2 if last else k_most]
+                changed = int((order >= len(ids)).sum())
                 ids, sims, floors, fresh, codes = all_ids[order], all_sims[order], all_floors[order], all_fresh[order], all_codes[order]
                 floor = sims[-1] if len(sims) >= k_most else np.float32(-2)
                 told = fresh.copy()
@@ -205,12 +208,12 @@ def one_round(nodes: DataFrame, offers: DataFrame, dims: int, s: Settings, turn:
                         good = value > np.maximum(m_floor[dst], -1.5)
                         dst, who, value = dst[good], who[good], value[good]
                         messages.append((m_ids[dst], OFFER, m_ids[who], value, m_floor[who], np.ones(len(dst), bool), m_codes[who]))
-                nodes_out.append((me, mine, ids.tobytes(), sims.astype(np.float32).tobytes(), floors.astype(np.float32).tobytes(), told.tobytes(), codes.tobytes()))
+                nodes_out.append((me, changed, mine, ids.tobytes(), sims.astype(np.float32).tobytes(), floors.astype(np.float32).tobytes(), told.tobytes(), codes.tobytes()))
             if nodes_out:
                 cols = list(zip(*nodes_out, strict=True))
                 n = len(nodes_out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.bool_()), _column(cols[1]), *(_column(c) for c in cols[2:])], schema=_BOTH)
+                    [pa.array(cols[0], pa.int64()), pa.array([-1] * n, pa.int32()), pa.array(cols[1], pa.int64()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.bool_()), _column(cols[2]), *(_column(c) for c in cols[3:])], schema=_BOTH)
             for kind in (OFFER, BACK):
                 if some := [m for m in messages if m[1] == kind and len(m[0])]:
                     b = _messages(*(np.concatenate([m[c] for m in some]) if c != 1 else kind for c in range(7)))
@@ -237,14 +240,25 @@ def build(nodes: DataFrame, dims: int, s: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), _column(codes), *[_column(empty)] * 5], ["id", "code", "ids", "sims", "floors", "fresh", "codes"])
 
     now = materialize(bounded(nodes.select("id", "v")).mapInArrow(code, NODE), "ann-nodes")
-    offers = materialize(first_offers(now, now.count(), dims, s), "ann-offers")
-    for turn in range(s.rounds + 1):
-        both = materialize(one_round(now, offers, dims, s, turn, turn == s.rounds), "ann-round")
-        discard(now, offers) if turn == 0 else discard(held)
-        held = both
+    number = now.count()
+    offers = materialize(first_offers(now, number, dims, s), "ann-offers")
+    held, turn, last = (now, offers), 0, False
+    while True:
+        both = materialize(one_round(now, offers, dims, s, turn, last), "ann-round")
+        discard(*held)
+        held = (both,)
         now, offers = _split(both)
-        nodes.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of rounds that are done
-    return now
+        _forget(nodes.sparkSession)
+        if last:
+            return now
+        changed = both.where("kind = -1").agg(F.sum("src")).first()[0] or 0
+        turn, last = turn + 1, changed <= s.settled * number * s.degree
+
+
+def _forget(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of rounds that are done."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settings()) -> DataFrame:
@@ -254,15 +268,18 @@ def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settin
     """
     width = s.pool
 
+    def pooled(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(_column([x[i] for x in out]) for i in range(1, 5)), pa.array([x[5] for x in out], pa.int32())], ["q", "code", "ids", "sims", "done", "open"])
+
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = batch.to_pydict(), []
             for me, code, ids, sims in zip(rows["id"], rows["code"], rows["ids"], rows["sims"], strict=True):
                 ids, sims = np.frombuffer(ids, np.int64)[:width], np.frombuffer(sims, np.float32)[:width]
-                out.append((me, code, ids.tobytes(), sims.tobytes(), np.zeros(len(ids), bool).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(_column([x[i] for x in out]) for i in range(1, 5))], ["q", "code", "ids", "sims", "done"])
+                out.append((me, code, ids.tobytes(), sims.tobytes(), np.zeros(len(ids), bool).tobytes(), len(ids)))
+            yield pooled(out)
 
-    pool_schema = "q long, code binary, ids binary, sims binary, done binary"
+    pool_schema = "q long, code binary, ids binary, sims binary, done binary, open int"
     pool = materialize(bounded(graph.join(queries.select("id").distinct(), "id", "left_semi").select("id", "code", "ids", "sims")).mapInArrow(start, pool_schema), "ann-pool")
 
     def chosen(ids: bytes, done: bytes) -> np.ndarray:
@@ -302,17 +319,18 @@ def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settin
                 all_ids, all_sims, all_done = np.concatenate([ids, more]), np.concatenate([sims, more_sims]), np.concatenate([done, np.zeros(len(more), bool)])
                 _, one = np.unique(all_ids, return_index=True)
                 order = one[np.lexsort((all_ids[one], -all_sims[one]))][:width]
-                out.append((q, c, all_ids[order].tobytes(), all_sims[order].tobytes(), all_done[order].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(_column([x[i] for x in out]) for i in range(1, 5))], ["q", "code", "ids", "sims", "done"])
+                out.append((q, c, all_ids[order].tobytes(), all_sims[order].tobytes(), all_done[order].tobytes(), int((~all_done[order]).sum())))
+            yield pooled(out)
 
     lists = graph.select(F.col("id").alias("node"), "ids", "codes")
-    for _ in range(s.steps):
-        front = bounded(pool).mapInArrow(expand, "q long, node long, q_code binary, floor float")
+    while pool.where("open > 0").limit(1).count():
+        front = bounded(pool.where("open > 0")).mapInArrow(expand, "q long, node long, q_code binary, floor float")
         found = front.join(lists, "node").select("q", "q_code", "floor", "ids", "codes").mapInArrow(meet, "q long, new_ids binary, new_sims binary")
         # at most ``beam`` lists reach a query
         found = found.groupBy("q").agg(F.collect_list("new_ids").alias("new_ids"), F.collect_list("new_sims").alias("new_sims"))
         old, pool = pool, materialize(pool.join(found, "q", "left").mapInArrow(merge, pool_schema), "ann-pool")
         discard(old)
+        _forget(graph.sparkSession)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

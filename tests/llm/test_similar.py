@@ -265,3 +265,17 @@ def test_ann_recall(spark):
             hits += len({ids[j] for j in np.argsort(-c)[:5]} & got[q])
             total += 5
     assert hits / total >= 0.9
+
+
+def test_ann_search_ends_when_all_is_expanded(spark):
+    # a chain: every list holds the next node and the one before, so node 12 is twelve steps away
+    angle = np.arange(20) * 0.05
+    v = np.stack([np.cos(angle), np.sin(angle)], 1)
+    codes, rows = ann._codes(v), []
+    for i in range(20):
+        near = np.array([j for j in (i - 1, i + 1) if 0 <= j < 20], np.int64)
+        sims = (v[near] @ v[i]).astype(np.float32)
+        rows.append((i, codes[i].tobytes(), near.tobytes(), sims.tobytes(), sims.tobytes(), np.zeros(len(near), bool).tobytes(), codes[near].tobytes()))
+    graph = spark.createDataFrame(rows, ann.NODE)
+    found = {r.found for r in ann.search(graph, graph.where("id = 0"), 2).collect()}
+    assert found >= set(range(13))
