@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph, searched greedily.
 
-Build.  Equal vectors share one node.  Nodes start from neighbours found in buckets of random
+Build.  Vectors of equal 8-bit code share one node.  Nodes start from neighbours found in buckets of random
 hyperplanes.  Each round joins every node with its inbox: proposals, which improve its list, and
 nodes that list it.  The node compares its neighbours (both directions) with each other, wherever one of a pair
 is new, and proposes the better pairs to both.  Messages carry vectors as 8-bit codes, so a round is
@@ -8,8 +8,8 @@ one join.  Only the best proposals and a fixed random share of back links reach
 inbox of a hub.  Rounds go on until few list entries change; lists only ever improve, so they end.
 
 Search.  A query starts at its own node's list and repeatedly expands the best nodes of its pool
-that it has not expanded, again one join a round, until it has expanded its whole pool.  The pool's best
-are scored with the original vectors in double precision.
+that it has not expanded, again one join a round, until it has expanded its whole pool.  All vectors of
+the pool's nodes are scored in double precision, but for nodes that the error of the codes rules out.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ class Settings:
     tables: int = 2
     pool: int = 320
     beam: int = 64
-    exact: int = 16
     seed: int = 5
 
 
@@ -78,7 +77,7 @@ def _messages(dst, kind, src, sim, floor, fresh, codes) -> pa.RecordBatch:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _tame(v: np.ndarray) -> np.ndarray:
@@ -231,15 +230,19 @@ def _split(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, both.where("kind >= 0").select("dst", "kind", "src", "sim", "floor", "fresh", "code")
 
 
-def build(nodes: DataFrame, dims: int, s: Settings = Settings()) -> DataFrame:
-    """(id, v), distinct vectors, to the graph: NODE rows, written to the shared folder."""
+def coded(rows: DataFrame) -> DataFrame:
+    """(id, v) with the vector's ``code``."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            empty = [b""] * len(batch)
-            codes = [c.tobytes() for c in _codes(_vectors(batch.column(1)))] if len(batch) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), _column(codes), *[_column(empty)] * 5], ["id", "code", "ids", "sims", "floors", "fresh", "codes"])
+            codes = [c.tobytes() for c in _codes(_tame(_vectors(batch.column(1))))] if len(batch) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, _column(codes)], ["id", "v", "code"])
+
+    return bounded(rows.select("id", "v")).mapInArrow(code, "id long, v array<double>, code binary")
 
-    now = materialize(bounded(nodes.select("id", "v")).mapInArrow(code, NODE), "ann-nodes")
+
+def build(nodes: DataFrame, dims: int, s: Settings = Settings()) -> DataFrame:
+    """(id, code), distinct codes, to the graph: NODE rows, written to the shared folder."""
+    now = materialize(nodes.select("id", "code", *[F.expr("X''").alias(c) for c in ("ids", "sims", "floors", "fresh", "codes")]), "ann-nodes")
     number = now.count()
     offers = materialize(first_offers(now, number, dims, s), "ann-offers")
     held, turn, last = (now, offers), 0, False
@@ -261,12 +264,14 @@ def _forget(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settings()) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settings(), k: int | None = None) -> DataFrame:
     """(query node) to (node, found): the best nodes that greedy search met, the query's own among them.
 
-    ``graph``: from ``build``; ``queries``: distinct ids of its nodes.
+    ``graph``: from ``build``; ``queries``: distinct ids of its nodes.  With ``k``, nodes go that cannot hold one
+    of the k nearest: rounding turns each of two vectors by ``turned`` at most.
     """
     width = s.pool
+    turned = float(np.arcsin(min(1.0, 0.5 * np.sqrt(dims) / 127)))
 
     def pooled(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(_column([x[i] for x in out]) for i in range(1, 5)), pa.array([x[5] for x in out], pa.int32())], ["q", "code", "ids", "sims", "done", "open"])
@@ -336,8 +341,11 @@ def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settin
         for batch in batches:
             rows = batch.to_pydict()
             q, found = [], []
-            for me, ids in zip(rows["q"], rows["ids"], strict=True):
-                ids = [me, *np.frombuffer(ids, np.int64)[: s.exact].tolist()]
+            for me, ids, sims in zip(rows["q"], rows["ids"], rows["sims"], strict=True):
+                ids, angles = np.frombuffer(ids, np.int64), np.arccos(np.clip(np.frombuffer(sims, np.float32).astype(np.float64), -1, 1))
+                # 0.001: for the single precision of the similarities
+                keep = angles <= angles[k - 1] + 4 * turned + 0.001 if k and len(ids) > k else slice(None)
+                ids = [me, *ids[keep].tolist()]
                 q += [me] * len(ids)
                 found += ids
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64())], ["node", "found"])
@@ -350,18 +358,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     query_id, rank (from 1), vec_id, score.  Nearest first, ties to the smaller id.
 
     Rows whose id or vector is null, or whose vector is empty, zero, or holds null or non-finite components take no
-    part, nor do vectors of another length than most.  Equal vectors share a node, for which the k + 1 smallest
+    part, nor do vectors of another length than most.  For equal vectors the k + 1 smallest
     ids stand: no result can hold more of them.  Rows that repeat an id and its vector count once.
     Fewer candidates than ``k`` give fewer ranks; an empty table gives no rows.
     """
-    rows = materialize(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"]), "ann-vectors")
+    rows = materialize(coded(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"])), "ann-vectors")
     head = rows.select(F.size("v").alias("d")).first()
     dims = head["d"] if head else 0
-    node_of = materialize(rows.groupBy("v").agg(F.min("id").alias("node")), "ann-reps")
-    graph = build(node_of.select(F.col("node").alias("id"), "v"), dims, settings)
-    q = rows.where(is_query).join(node_of, "v").select(F.col("id").alias("query_id"), "node", "v")
-    found = search(graph, q.select(F.col("node").alias("id")), dims, settings)
-    pairs = q.withColumnRenamed("v", "a").join(found, "node").join(node_of.select(F.col("node").alias("found"), F.col("v").alias("b")), "found")
+    reps = materialize(rows.groupBy("code", "v").agg(F.min("id").alias("found")), "ann-reps")
+    node_of = materialize(reps.groupBy("code").agg(F.min("found").alias("node")), "ann-codes")
+    graph = build(node_of.select(F.col("node").alias("id"), "code"), dims, settings)
+    q = rows.where(is_query).join(node_of, "code").select(F.col("id").alias("query_id"), "node", F.col("v").alias("a"))
+    met = search(graph, q.select(F.col("node").alias("id")), dims, settings, k).withColumnRenamed("found", "near")
+    pairs = q.join(met, "node").join(reps.join(node_of, "code").select(F.col("node").alias("near"), "found", F.col("v").alias("b")), "near")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,9 +380,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     scored = bounded(pairs.select("query_id", "found", "a", "b")).mapInArrow(exact, "query_id long, found long, score double")
     rank = lambda part, *order: F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    # of each node the k + 1 smallest ids; nodes that cannot be among the k nearest go first
+    # of each vector the k + 1 smallest ids; vectors that cannot be among the k nearest go first
     scored = scored.withColumn("place", rank("query_id", F.desc("score"), "found")).where(F.col("place") <= k + 1)
-    members = rows.join(node_of, "v").select("node", F.col("id").alias("vec_id")).withColumn("place", rank("node", "vec_id")).where(F.col("place") <= k + 1).drop("place")
+    members = rows.join(reps.select("v", F.col("found").alias("node")), "v").select("node", F.col("id").alias("vec_id")).withColumn("place", rank("node", "vec_id")).where(F.col("place") <= k + 1).drop("place")
     out = scored.drop("place").join(members, F.col("found") == F.col("node")).where("vec_id <> query_id")
     out = out.withColumn("rank", rank("query_id", F.desc("score"), "vec_id")).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")

@@ -279,3 +279,18 @@ def test_ann_search_ends_when_all_is_expanded(spark):
     graph = spark.createDataFrame(rows, ann.NODE)
     found = {r.found for r in ann.search(graph, graph.where("id = 0"), 2).collect()}
     assert found >= set(range(13))
+
+
+def test_ann_many_near_copies(spark):
+    # closer than a step of the codes: only the original vectors tell them apart
+    r = np.random.default_rng(8)
+    v = np.concatenate([r.normal(size=8) + r.normal(size=(600, 8)) * 3e-4, r.normal(size=(100, 8))])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = defaultdict(dict)
+    for g in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, 5).collect():
+        got[g.query_id][g["rank"]] = g.vec_id
+    assert len(got) == 14
+    for i, ranks in got.items():
+        c = (v @ v[i]) / np.linalg.norm(v, axis=1) / np.linalg.norm(v[i])
+        c[i] = -2
+        assert [ranks[n] for n in range(1, 6)] == np.argsort(-c)[:5].tolist()
