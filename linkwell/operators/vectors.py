@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions.similarity import array_stats
+from linkwell.storage import materialize
 
 
 def tfidf(docs: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
@@ -54,9 +57,20 @@ def set_distances(q: Column, d: Column) -> dict[str, Column]:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
-    """(q, rank, key, cosine): exact neighbours of a stated, broadcast set of at most ``most`` query vectors among all rows but themselves."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: search an index instead")
+    """(q, rank, key, cosine): exact neighbours of the query vectors among all rows but themselves.
+
+    Queries are broadcast.  More than ``most`` are searched in blocks of about that many by a hash of their key, one
+    after the other, whose results are kept in scratch tables.
+    """
+    number = queries.count()
+    if number > most:
+        blocks = -(-number // most)
+        block = lambda b: queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        return reduce(DataFrame.unionByName, [materialize(_nearest(block(b), vectors, k, key, vector), "nearest") for b in range(blocks)])
+    return _nearest(queries, vectors, k, key, vector)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     asked = F.broadcast(queries.select(F.col(key).alias("q"), F.col(vector).alias("_qv")))
     scored = vectors.join(asked, F.col(key) != F.col("q")).select("q", key, F.round(cosine(F.col("_qv"), F.col(vector)), 6).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), key))

@@ -111,3 +111,10 @@ def test_vectors(spark):
     assert got[1, 2] == pytest.approx(0) and got[1, 3] == pytest.approx(1) and got[1, 4] == 0.5 and got[4, 4] == 0
     sets = spark.createDataFrame([([[1.0, 0.0]], [[1.0, 0.0], [0.0, 1.0]]), ([], [[1.0, 0.0]])], "q array<array<double>>, d array<array<double>>")
     assert [tuple(r) for r in sets.select(*vectors.set_distances(F.col("q"), F.col("d")).values()).collect()] == [(0.0, 0.0, 0.0), (-1.0, -1.0, -1.0)]
+
+
+def test_nearest_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11) + 1, float(i * i % 13)]) for i in range(60)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, vectors.nearest(rows, rows, 3).collect()))
+    assert len(whole) == 180
+    assert sorted(map(tuple, vectors.nearest(rows, rows, 3, most=7).collect())) == whole
