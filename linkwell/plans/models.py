@@ -1,8 +1,8 @@
 """Estimators over feature tables, with ``pyspark.ml``.
 
 Spark has no listwise ranking objective: the ranker learns from differences of rows of one query
-(the pairwise logistic loss).  Within a query each positive meets the ``hardest`` negatives of highest
-prior score, so pairs grow with the rows and not with their square.
+(the pairwise logistic loss).  Within a query every row meets a bounded number of the other side,
+so pairs grow with the rows and not with their square.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions import text
@@ -34,13 +34,28 @@ def mlp_classifier(train: DataFrame, features: list[str], label: str, hidden: tu
         MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=[len(features), *hidden, 2], maxIter=rounds, seed=1)]).fit(train)
 
 
-def pairwise_ranker(train: DataFrame, group: str, features: list[str], target: str, prior: str, hardest: int = 10) -> dict[str, float]:
+def ranked_pairs(train: DataFrame, group: str, features: list[str], target: str, meets: int = 10) -> DataFrame:
+    """(_g, p_*, n_*): pairs of a positive and a negative of one group, in which every row of a mixed group takes part.
+
+    Rows are numbered in the order of a hash.  Each row of the larger side meets the next ``meets`` rows of the
+    other, round and round, or all if there are fewer.
+    """
+    sizes = train.groupBy(F.col(group).alias("_g")).agg(*[F.count(F.when(F.col(target) == t, 1)).alias(n) for t, n in ((1, "_np"), (0, "_nn"))]).where("_np > 0 AND _nn > 0")
+    order = Window.partitionBy(group).orderBy(F.xxhash64(*features), *features)
+    step = lambda other: F.transform(F.sequence(F.lit(0), F.least(F.lit(meets), other) - 1), lambda j: F.pmod(F.col("_i") + j, other))
+
+    def side(value: int, name: str, larger: Column, other: Column) -> DataFrame:
+        rows = train.where(F.col(target) == value).withColumn("_i", (F.row_number().over(order) - 1).cast("long"))
+        rows = rows.select(F.col(group).alias("_g"), "_i", *[F.col(f).cast("double").alias(f"{name}_{f}") for f in features]).join(sizes, "_g")
+        return rows.withColumn("_slot", F.explode(F.when(larger, step(other)).otherwise(F.array("_i")))).drop("_i", "_np", "_nn")
+
+    negatives_lead = F.col("_nn") >= F.col("_np")
+    return side(1, "p", ~negatives_lead, F.col("_nn")).join(side(0, "n", negatives_lead, F.col("_np")), ["_g", "_slot"]).drop("_slot")
+
+
+def pairwise_ranker(train: DataFrame, group: str, features: list[str], target: str, meets: int = 10) -> dict[str, float]:
     """Weights of a linear scorer that puts positives of a group above its negatives."""
-    order = Window.partitionBy(group).orderBy(F.desc(prior), *features)
-    negative = train.where(F.col(target) == 0).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= hardest)
-    x = train.where(F.col(target) == 1).select(F.col(group).alias("_g"), *[F.col(f).cast("double").alias(f"p_{f}") for f in features])
-    y = negative.select(F.col(group).alias("_g"), *[F.col(f).cast("double").alias(f"n_{f}") for f in features])
-    diff = x.join(y, "_g").withColumn("_sign", F.when(F.xxhash64(*[f"n_{f}" for f in features]) % 2 == 0, 1.0).otherwise(-1.0))
+    diff = ranked_pairs(train, group, features, target, meets).withColumn("_sign", F.when(F.xxhash64(*[f"n_{f}" for f in features]) % 2 == 0, 1.0).otherwise(-1.0))
     rows = diff.select(((F.col("_sign") + 1) / 2).alias("label"), *[((F.col(f"p_{f}") - F.col(f"n_{f}")) * F.col("_sign")).alias(f) for f in features])
     model = LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=50).fit(VectorAssembler(inputCols=features, outputCol="features").transform(rows))
     return dict(zip(features, (float(c) for c in model.coefficients)))
@@ -82,7 +97,7 @@ def mlp_query(spark, d) -> DataFrame:
 
 def ranker_query(spark, d) -> DataFrame:
     rows = _labelled(spark, d)
-    weights = pairwise_ranker(rows.where("NOT held_out"), "source", FEATURES, "quality", "chars")
+    weights = pairwise_ranker(rows.where("NOT held_out"), "source", FEATURES, "quality")
     return linear_score(rows.where("held_out"), weights).select("doc_id", "source", "quality", F.round("score", 6).alias("score"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwell.operators import entities, joins, metrics, ranking, sampling, vectors
+from linkwell.plans import models
 
 
 def rows(df, *order):
@@ -118,3 +119,11 @@ def test_nearest_in_blocks(spark):
     whole = sorted(map(tuple, vectors.nearest(rows, rows, 3).collect()))
     assert len(whole) == 180
     assert sorted(map(tuple, vectors.nearest(rows, rows, 3, most=7).collect())) == whole
+
+
+def test_every_row_trains_the_ranker(spark):
+    # group a: more negatives, b: more positives, c: no positive
+    labelled = [("a", 1, 0.0), ("a", 1, 1.0), *[("a", 0, 100.0 + i) for i in range(30)], *[("b", 1, 200.0 + i) for i in range(50)], *[("b", 0, 300.0 + i) for i in range(12)], ("c", 0, 400.0)]
+    pairs = models.ranked_pairs(spark.createDataFrame(labelled, "g string, t int, x double"), "g", ["x"], "t", 10).collect()
+    assert len({(r._g, r.p_x, r.n_x) for r in pairs}) == len(pairs) == 30 * 2 + 50 * 10
+    assert {(r._g, v) for r in pairs for v in (r.p_x, r.n_x)} == {(g, x) for g, _, x in labelled if g != "c"}
