@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph, searched greedily.
 
-Build.  Vectors of equal 8-bit code share one node.  Nodes start from neighbours found in buckets of random
-hyperplanes.  Each round joins every node with its inbox: proposals, which improve its list, and
-nodes that list it.  The node compares its neighbours (both directions) with each other, wherever one of a pair
-is new, and proposes the better pairs to both.  Messages carry vectors as 8-bit codes, so a round is
-one join.  Only the best proposals and a fixed random share of back links reach a node, which bounds the
-inbox of a hub.  Rounds go on until few list entries change; lists only ever improve, so they end.
+Build.  Vectors of equal 8-bit code share one node.  Nodes start from neighbours in the leaves of random projection
+trees, and from a few random ones, which connect the graph.  Each round deals nodes and their messages out by node:
+proposals, which improve its list, and nodes that list it.  The node compares its neighbours
+(both directions) with each other, wherever one of a pair is new, and proposes the better pairs to both.
+Messages carry vectors as 8-bit codes, so a round is one shuffle and one pass over sorted rows.  Only the
+best proposals and a random share of back links are read, which bounds the inbox of a hub.  Rounds
+go on until few list entries change; lists only ever improve, so they end.
 
 Search.  A query starts at its own node's list and repeatedly expands the best nodes of its pool
 that it has not expanded, again one join a round, until it has expanded its whole pool.  All vectors of
 the pool's nodes are scored in double precision, but for nodes that the error of the codes rules out.
+
+Similarities of codes come from whole-number products, so they are exact and the same wherever they are computed.
 """
 
 from __future__ import annotations
@@ -31,49 +34,86 @@ from linkwell.storage import discard, materialize
 class Settings:
     """``degree``: neighbours of a node.  ``sample``: new and old neighbours that a node tells of itself in a round.
     ``inbox``: most messages of a kind that a node reads in a round; ``offers``: most pairs that a
-    node proposes to one of its neighbours.  ``settled``: share of list entries that change in the last round.
-    ``bucket``, ``tables``: size and number of the first buckets.  ``pool``, ``beam``: of the search."""
+    node proposes to one of its neighbours.  ``settled``: share of list entries that change in the last round (from the third on).
+    ``bucket``, ``trees``: size and number of the first neighbourhoods; ``rings``, ``ring``: number of random
+    groups of a node and of neighbours on each side in them.  ``fitted``: most nodes that the trees are fitted on.
+    ``pool``, ``beam``: of the search."""
 
     degree: int = 32
-    sample: int = 12
+    sample: int = 10
     inbox: int = 64
-    offers: int = 4
-    settled: float = 0.001
+    offers: int = 3
+    settled: float = 0.1
     bucket: int = 128
-    tables: int = 2
+    trees: int = 2
+    rings: int = 2
+    ring: int = 3
+    fitted: int = 20_000
     pool: int = 320
     beam: int = 64
     seed: int = 5
 
 
+#: Rows of an Arrow batch here, and bytes up to which a search's front is broadcast.
+ROWS, FRONT_BYTES = 20_000, 16 << 20
+#: Nodes (kind -1: ``src`` entries have changed, ``lists`` holds the packed list) and messages to ``dst`` about ``src``.
+ROW = "dst long, kind int, src long, sim double, floor double, fresh boolean, code binary, lists binary"
+_ROW = pa.schema([("dst", pa.int64()), ("kind", pa.int32()), ("src", pa.int64()), ("sim", pa.float64()), ("floor", pa.float64()), ("fresh", pa.bool_()), ("code", pa.binary()), ("lists", pa.binary())])
+NODE, OFFER, BACK = -1, 0, 1
+NONE = -2.0  # below any cosine
+
+
 # packed lists
 
+def entry(dims: int) -> np.dtype:
+    """An entry of a node's list: a neighbour, its own worst similarity when last heard of, whether it is new, its code."""
+    return np.dtype([("id", "<i8"), ("sim", "<f8"), ("floor", "<f8"), ("fresh", "?"), ("code", "i1", (dims,))])
+
+
 def _column(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
+def _binary(codes: np.ndarray) -> pa.Array:
+    n, d = codes.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int64) * d).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """The rows of a column of codes."""
+    if not len(column):
+        return np.zeros((0, dims), np.int8)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(len(column), dims)
+
+
 def _codes(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors as 8-bit integers, each at its own scale, which a cosine does not see."""
+    """Vectors as 8-bit integers, each at its own scale, which a cosine does not see."""
     return np.rint(vectors / np.abs(vectors).max(1, keepdims=True) * 127).astype(np.int8)
 
 
-def _units(codes: np.ndarray) -> np.ndarray:
-    v = codes.astype(np.float32)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+def _whole(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in a type whose products of them are exact, and their lengths."""
+    kind = np.float32 if codes.shape[-1] <= 1000 else np.float64
+    return codes.astype(kind), np.sqrt(np.square(codes.astype(np.float64)).sum(-1))
+
 
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two tables of codes, or of each pair of tables."""
+    (x, n), (y, m) = _whole(a), _whole(b)
+    return (x @ np.swapaxes(y, -1, -2)).astype(np.float64) / np.maximum(n[..., :, None] * m[..., None, :], 1e-300)
 
-MESSAGE = "dst long, kind int, src long, sim float, floor float, fresh boolean, code binary"
-_MESSAGE = pa.schema([("dst", pa.int64()), ("kind", pa.int32()), ("src", pa.int64()), ("sim", pa.float32()), ("floor", pa.float32()), ("fresh", pa.bool_()), ("code", pa.binary())])
-#: A node: its code, its neighbours' ids, similarities, own worst similarities when last heard of, newness, codes.
-NODE = "id long, code binary, ids binary, sims binary, floors binary, fresh binary, codes binary"
-OFFER, BACK = 0, 1
 
+def paired(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows a with rows b."""
+    x, n = _whole(codes)
+    return np.einsum("ij,ij->i", x[a], x[b]).astype(np.float64) / np.maximum(n[a] * n[b], 1e-300)
 
-def _messages(dst, kind, src, sim, floor, fresh, codes) -> pa.RecordBatch:
-    n, d = len(dst), codes.shape[1] if codes.ndim == 2 else 0
-    offsets = np.arange(0, (n + 1) * d, d or 1, dtype=np.int32)[: n + 1]
-    packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(codes).tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(dst, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(src, pa.int64()), pa.array(sim, pa.float32()), pa.array(floor, pa.float32()), pa.array(fresh, pa.bool_()), packed], schema=_MESSAGE)
+
+def _messages(kind, dst, src, sim, floor, fresh, codes) -> pa.RecordBatch:
+    n = len(dst)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(dst, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(src, pa.int64()), pa.array(sim, pa.float64()), pa.array(floor, pa.float64()), pa.array(fresh, pa.bool_()), _binary(codes), pa.nulls(n, pa.binary())], schema=_ROW)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -86,6 +126,24 @@ def _tame(v: np.ndarray) -> np.ndarray:
     return np.where((top > 1e100) | (top < 1e-100), v / top, v)
 
 
+def _mix(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of two columns of ids."""
+    with np.errstate(over="ignore"):
+        h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn * 0x165667B19E3779F9 % (1 << 64))
+        for shift in (31, 29):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+def _place(groups: np.ndarray) -> np.ndarray:
+    """Of each row its number inside its run of equal values."""
+    n = len(groups)
+    if not n:
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    return np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): rows that take part.  Of several vector lengths the most frequent one does (the longer on ties)."""
     v = F.col("v")
@@ -96,138 +154,255 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (top["d"] if top else 0))
 
 
+# first neighbours
+
+@dataclass(frozen=True)
+class Tree:
+    """A random projection tree: node i has the children 2i + 1 and 2i + 2."""
+
+    directions: np.ndarray
+    limits: np.ndarray
+    depth: int
+
+    def leaves(self, codes: np.ndarray) -> np.ndarray:
+        unit, at = _units(codes), np.zeros(len(codes), np.int64)
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (np.einsum("ij,ij->i", unit, self.directions[at]) > self.limits[at])
+        return at
+
+
+def _units(codes: np.ndarray) -> np.ndarray:
+    v = codes.astype(np.float32)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+
+
+def grow(codes: np.ndarray, depth: int, seed: int) -> Tree:
+    """Each node parts its share of ``codes`` at the median of a direction between two of them."""
+    rng, unit = np.random.default_rng(seed), _units(codes)
+    directions, limits = np.zeros(((1 << depth) - 1, codes.shape[1]), np.float32), np.zeros((1 << depth) - 1, np.float32)
+    shares = [np.arange(len(codes))]
+    for i in range(len(limits)):
+        share = shares[i]
+        if len(share) > 1:
+            a, b = rng.choice(share, 2, False)
+            directions[i] = unit[a] - unit[b] if (codes[a] != codes[b]).any() else rng.standard_normal(codes.shape[1])
+            side = unit[share] @ directions[i]
+            limits[i] = np.median(side)
+            shares += [share[side <= limits[i]], share[side > limits[i]]]
+        else:
+            shares += [share, share]
+    return Tree(directions, limits, depth)
+
+
 def first_offers(nodes: DataFrame, number: int, dims: int, s: Settings) -> DataFrame:
-    """Offers between nodes that fall into one bucket of random hyperplanes; large buckets are read in pieces."""
-    bits = max(0, int(np.ceil(np.log2(max(number, 1) / s.bucket))))
-    bits = min(bits, 24)
-    planes = np.random.default_rng(s.seed).standard_normal((s.tables, dims, bits))
+    """Messages between nodes of one leaf of a tree, the nearest there, and between neighbours in random rings.
+
+    The trees are fitted on at most about ``s.fitted`` nodes by hash; every node is dealt to a leaf.  Leaves of more than two
+    buckets are dealt out to pieces of about a bucket by hash before they are shuffled.
+    """
+    most = min(s.fitted, max(1000, (32 << 20) // dims))
+    chosen = nodes if number <= most else nodes.where(F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(-(-number // most))) == 0).limit(2 * most)
+    seen = np.frombuffer(b"".join(r.code for r in chosen.select("code").collect()), np.int8).reshape(-1, dims)
+    depth = int(max(0, min(np.ceil(np.log2(max(number, 1) / s.bucket)), np.floor(np.log2(max(len(seen), 1) / 8)))))
+    trees = nodes.sparkSession.sparkContext.broadcast([grow(seen, depth, s.seed + t) for t in range(s.trees)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, codes = batch.column(0), batch.column(1)
-            u = _units(np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(-1, dims)) if len(ids) else np.zeros((0, dims), np.float32)
-            for t in range(s.tables):
-                key = ((u @ planes[t] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key * s.tables + t, pa.int64()), ids, codes], ["key", "id", "code"])
+            codes = _matrix(batch.column(1), dims)
+            for t, tree in enumerate(trees.value):
+                yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(codes) * s.trees + t, pa.int64()), *batch.columns], ["key", "id", "code"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def piece(ids: list, codes: list) -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                q, ids = np.frombuffer(b"".join(codes), np.int8).reshape(-1, dims), np.array(ids, np.int64)
-                sims = _units(q) @ _units(q).T
-                np.fill_diagonal(sims, -2)
-                m = min(s.degree // 2, len(ids) - 1)
-                near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                dst, src = np.repeat(np.arange(len(ids)), m), near.ravel()
-                yield _messages(ids[dst], OFFER, ids[src], sims[dst, src], np.full(len(dst), -2.0), np.ones(len(dst), bool), q[src])
+        def piece(key: int, ids: list, codes: list) -> Iterator[pa.RecordBatch]:
+            n = len(ids)
+            if n < 2:
+                return
+            q, ids = np.frombuffer(b"".join(codes), np.int8).reshape(-1, dims), np.array(ids, np.int64)
+            if key < 0:  # a ring
+                step = np.arange(1, min(s.ring, n - 1) + 1)
+                dst = np.repeat(np.arange(n), len(step))
+                src = (dst + np.tile(step, n)) % n
+                dst, src = np.concatenate([dst, src]), np.concatenate([src, dst])
+                sims = paired(q, dst, src)
+            else:
+                cross = similarity(q, q)
+                np.fill_diagonal(cross, NONE)
+                m = min(s.degree // 2, n - 1)
+                near = np.argpartition(-cross, m - 1, axis=1)[:, :m]
+                dst, src = np.repeat(np.arange(n), m), near.ravel()
+                sims = cross[dst, src]
+            yield _messages(OFFER, ids[dst], ids[src], sims, np.full(len(dst), NONE), np.ones(len(dst), bool), q[src])
 
         now, ids, codes = None, [], []
         for batch in batches:
-            for key, i, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now or len(ids) >= 2 * s.bucket:
-                    yield from piece(ids, codes)
-                    now, ids, codes = key, [], []
+            for key, part, i, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part) != now or len(ids) >= 4 * s.bucket:
+                    if now:
+                        yield from piece(now[0], ids, codes)
+                    now, ids, codes = (key, part), [], []
                 ids.append(i)
                 codes.append(code)
-        yield from piece(ids, codes)
-
-    keyed = nodes.select("id", "code").mapInArrow(keys, "key long, id long, code binary")
-    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pairs, MESSAGE)
-
-
-def one_round(nodes: DataFrame, offers: DataFrame, dims: int, s: Settings, turn: int, last: bool) -> DataFrame:
-    """Nodes joined with their inboxes: rows of NODE (kind -1) and of MESSAGE for the next round.
-
-    The last round sends nothing and adds the back links to the lists.  A node's ``src`` is the number of
-    entries that are new in its list.
+        if now:
+            yield from piece(now[0], ids, codes)
+
+    dealt = materialize(bounded(nodes.select("id", "code")).mapInArrow(keys, "key long, id long, code binary"), "ann-keys")
+    crowded = dealt.groupBy("key").count().where(F.col("count") > 2 * s.bucket).select("key", F.ceil(F.col("count") / s.bucket).alias("pieces"))
+    crowded = materialize(crowded, "ann-crowded")  # at most number * trees / (2 * bucket) rows
+    if crowded.count() <= 100_000:
+        crowded = F.broadcast(crowded)
+    part = F.coalesce(F.pmod(F.xxhash64("id", F.lit(s.seed)), F.col("pieces")), F.lit(0).cast("long"))
+    leaves = dealt.join(crowded, "key", "left").select("key", part.alias("part"), "id", "code")
+    groups = max(1, number // s.bucket)
+    rings = [nodes.select(F.lit(-1 - r).cast("long").alias("key"), F.pmod(F.xxhash64("id", F.lit(s.seed + 1 + r)), F.lit(groups)).cast("long").alias("part"), "id", "code") for r in range(s.rings)]
+    for r in rings:
+        leaves = leaves.unionByName(r)
+    return leaves.repartition("key", "part").sortWithinPartitions("key", "part", F.xxhash64("id", "key"), "id").mapInArrow(pairs, ROW)
+
+
+# rounds
+
+class Rows:
+    """Columns of rows sorted by dst, kind and rank; every dst begins with its node."""
+
+    def __init__(self, parts: dict[str, np.ndarray], lists: list[bytes]):
+        self.parts, self.lists = parts, lists
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, dims: int) -> Rows:
+        parts = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(("dst", "kind", "src", "sim", "floor", "fresh"))}
+        return cls(parts | {"code": _matrix(batch.column(6), dims)}, batch.column(7).drop_null().to_pylist())
+
+    def __len__(self) -> int:
+        return len(self.parts["dst"])
+
+    def take(self, where, lists: list[bytes]) -> Rows:
+        return Rows({n: c[where] for n, c in self.parts.items()}, lists)
+
+    def join(self, other: Rows) -> Rows:
+        return Rows({n: np.concatenate([c, other.parts[n]]) for n, c in self.parts.items()}, self.lists + other.lists)
+
+    def read_part(self, most: int) -> Rows:
+        """Without the messages of a kind beyond the first ``most`` of a node."""
+        place = _place(self.parts["dst"] * 4 + self.parts["kind"])
+        return self.take(place < most, self.lists)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], dims: int, most: int) -> Iterator[Rows]:
+    """Batches dealt anew, so that a node and its messages are in one; an unfinished node is held back."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = Rows.read(batch, dims)
+        rows = (held.join(rows) if held else rows).read_part(most)
+        heads = np.flatnonzero(rows.parts["kind"] == NODE)
+        if len(heads) > 1:
+            yield rows.take(slice(0, heads[-1]), rows.lists[:-1])
+            rows = rows.take(slice(heads[-1], None), rows.lists[-1:])
+        held = rows
+    if held:
+        yield held
+
+
+def _thinned(dst: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+    """Indices of at most ``most`` messages to each ``dst``, those of least rank."""
+    order = np.lexsort((rank, dst))
+    return order[_place(dst[order]) < most]
+
+
+def one_round(now: DataFrame, dims: int, s: Settings, turn: int, last: bool) -> DataFrame:
+    """Nodes with their messages (ROW) to the nodes with better lists, and the messages of the next round.
+
+    The last round sends nothing and adds back links to the lists.
     """
-    # only the best offers and a random share of the back links are read
-    first = F.when(F.col("kind") == OFFER, -F.col("sim").cast("double")).otherwise(F.pmod(F.xxhash64("dst", "src", F.lit(turn)), F.lit(1 << 30)).cast("double"))
-    place = F.row_number().over(Window.partitionBy("dst", "kind").orderBy("first", "src"))
-    limit = s.inbox * 2
-    # dealt by dst alone, which serves the window, the groups and the join
-    best = offers.repartition("dst").withColumn("first", first).withColumn("place", place).where(F.col("place") <= limit)
-    inbox = best.groupBy("dst").agg(F.collect_list(F.struct("kind", "src", "sim", "floor", "fresh", "code")).alias("inbox"))
-    joined = nodes.join(inbox, nodes["id"] == inbox["dst"], "left").select(*nodes.columns, *[F.col(f"inbox.{c}").alias(f"in_{c}") for c in ("kind", "src", "sim", "floor", "fresh", "code")])
-    k_most = s.degree
+    kind, wide = entry(dims), s.degree * 2 if last else s.degree
+
+    def improve(rows: Rows) -> Iterator[pa.RecordBatch]:
+        p = rows.parts
+        head = p["kind"] == NODE
+        me, my_code, group = p["dst"][head], p["code"][head], np.cumsum(head) - 1
+        n = len(me)
+        mine = np.frombuffer(b"".join(rows.lists), kind)
+        counts = np.array([len(x) // kind.itemsize for x in rows.lists])
+        g = np.concatenate([np.repeat(np.arange(n), counts), group[~head]])
+        ids, sims = np.concatenate([mine["id"], p["src"][~head]]), np.concatenate([mine["sim"], p["sim"][~head]])
+        floors, fresh = np.concatenate([mine["floor"], p["floor"][~head]]), np.concatenate([mine["fresh"], np.ones((~head).sum(), bool)])
+        codes, known = np.concatenate([mine["code"], p["code"][~head]]), np.r_[np.ones(len(mine), bool), np.zeros((~head).sum(), bool)]
+        # equal ids of a node have equal similarities, so they stand together; the list's own entry comes first
+        order = np.lexsort((~known, ids, -sims, g))
+        order = order[ids[order] != me[g[order]]]
+        first = np.r_[True, (g[order][1:] != g[order][:-1]) | (ids[order][1:] != ids[order][:-1])][: len(order)]
+        if len(order):
+            floors = np.maximum.reduceat(floors[order], np.flatnonzero(first))
+        order = order[first]
+        keep = _place(g[order]) < wide
+        order, floors = order[keep], floors[keep] if len(order) else floors[:0]
+        g, ids, sims, fresh, codes, known = (x[order] for x in (g, ids, sims, fresh, codes, known))
+        changed, size = np.bincount(g, ~known, n).astype(np.int64), np.bincount(g, minlength=n)
+        floor = np.full(n, NONE)
+        ends = np.cumsum(size)
+        full = size >= s.degree
+        floor[full] = sims[ends[full] - 1]
+        told = fresh
+        if not last:
+            by = np.lexsort((_mix(me[g], ids, turn), ~fresh, g))
+            say = np.sort(by[_place(g[by] * 2 + fresh[by]) < s.sample])
+            told = fresh.copy()
+            told[say] = False
+            # back links: the chosen neighbours hear of this node
+            heard = say[_thinned(ids[say], _mix(ids[say], me[g[say]], turn), 8)]
+            yield _messages(BACK, ids[heard], me[g[heard]], sims[heard], floor[g[heard]], fresh[heard], my_code[g[heard]])
+            # the local join: chosen neighbours and nodes that list this one
+            back = np.flatnonzero(p["kind"] == BACK)
+            back = back[_place(group[back]) < 2 * s.sample]
+            mg, mid = np.concatenate([g[say], group[back]]), np.concatenate([ids[say], p["src"][back]])
+            mnew, mfloor = np.concatenate([fresh[say], p["fresh"][back]]), np.concatenate([floors[say], p["floor"][back]])
+            mcode = np.concatenate([codes[say], p["code"][back]])
+            by = np.lexsort((~mnew, mid, mg))
+            by = by[np.r_[True, (mg[by][1:] != mg[by][:-1]) | (mid[by][1:] != mid[by][:-1])][: len(by)]]
+            yield from propose(mg[by], mid[by], mnew[by], mfloor[by], mcode[by], n)
+        out = np.zeros(len(ids), kind)
+        for name, column in (("id", ids), ("sim", sims), ("floor", floors), ("fresh", told), ("code", codes)):
+            out[name] = column
+        lists = [out[a:b].tobytes() for a, b in zip(ends - size, ends, strict=True)]
+        zero = np.zeros(n)
+        yield pa.RecordBatch.from_arrays([pa.array(me), pa.array(np.full(n, NODE, np.int32)), pa.array(changed), pa.array(zero), pa.array(zero), pa.array(zero > 0), _binary(my_code), _column(lists)], schema=_ROW)
+
+    def propose(g, ids, new, floors, codes, n) -> Iterator[pa.RecordBatch]:
+        place = _place(g)
+        for a in range(0, n, 256):
+            b = slice(*np.searchsorted(g, (a, a + 256)))
+            if b.start == b.stop:
+                continue
+            row, col = g[b] - a, place[b]
+            shape = (row.max() + 1, col.max() + 1)
+            if shape[1] < 2:
+                continue
+            at, is_new, there = np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
+            at[row, col], is_new[row, col], there[row, col] = np.arange(b.start, b.stop), new[b], True
+            cross = similarity(codes[at], codes[at])
+            cross[~((is_new[:, :, None] | is_new[:, None, :]) & there[:, :, None] & there[:, None, :])] = NONE
+            cross[:, np.arange(shape[1]), np.arange(shape[1])] = NONE
+            m = min(s.offers, shape[1] - 1)
+            near = np.argpartition(-cross, m - 1, axis=2)[:, :, :m]
+            value = np.take_along_axis(cross, near, 2)
+            r, c, k = np.nonzero(value > np.maximum(floors[at], -1.5)[:, :, None])
+            dst, src, value = at[r, c], at[r, near[r, c, k]], value[r, c, k]
+            # a pair may come from several nodes: once is enough
+            by = np.lexsort((ids[src], ids[dst]))
+            by = by[np.r_[True, (ids[dst[by]][1:] != ids[dst[by]][:-1]) | (ids[src[by]][1:] != ids[src[by]][:-1])][: len(by)]]
+            by = by[_thinned(ids[dst[by]], -value[by], s.inbox)]
+            dst, src = dst[by], src[by]
+            yield _messages(OFFER, ids[dst], ids[src], value[by], floors[src], np.ones(len(by), bool), codes[src])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pydict()
-            nodes_out: list[tuple] = []
-            messages: list[tuple] = []
-            for j, me in enumerate(rows["id"]):
-                mine = rows["code"][j]
-                ids = np.frombuffer(rows["ids"][j], np.int64)
-                sims, floors = (np.frombuffer(rows[c][j], np.float32) for c in ("sims", "floors"))
-                fresh, codes = np.frombuffer(rows["fresh"][j], bool), np.frombuffer(rows["codes"][j], np.int8).reshape(-1, dims)
-                kind = np.array(rows["in_kind"][j] or [], np.int32)
-                src = np.array(rows["in_src"][j] or [], np.int64)
-                in_sim, in_floor = (np.array(rows[c][j] or [], np.float32) for c in ("in_sim", "in_floor"))
-                in_fresh = np.array(rows["in_fresh"][j] or [], bool)
-                in_codes = np.frombuffer(b"".join(rows["in_code"][j] or []), np.int8).reshape(-1, dims)
-                # the list: old neighbours, then offers and back links; the first of an id stays
-                all_ids, all_sims = np.concatenate([ids, src]), np.concatenate([sims, in_sim])
-                all_floors, all_codes = np.concatenate([floors, in_floor]), np.concatenate([codes, in_codes])
-                all_fresh = np.concatenate([fresh, np.ones(len(src), bool)])
-                _, one = np.unique(all_ids, return_index=True)
-                one = one[all_ids[one] != me]
-                order = one[np.lexsort((all_ids[one], -all_sims[one]))][: k_most * 2 if last else k_most]
-                changed = int((order >= len(ids)).sum())
-                ids, sims, floors, fresh, codes = all_ids[order], all_sims[order], all_floors[order], all_fresh[order], all_codes[order]
-                floor = sims[-1] if len(sims) >= k_most else np.float32(-2)
-                told = fresh.copy()
-                if not last and len(ids):
-                    rng = np.random.default_rng((abs(int(me)), turn))
-                    new, old = np.flatnonzero(fresh), np.flatnonzero(~fresh)
-                    new = new if len(new) <= s.sample else rng.choice(new, s.sample, False)
-                    old = old if len(old) <= s.sample else rng.choice(old, s.sample, False)
-                    # back links: the chosen neighbours hear of this node
-                    say = np.concatenate([new, old])
-                    messages.append((ids[say], BACK, np.full(len(say), me), sims[say], np.full(len(say), floor), np.isin(say, new), np.repeat(np.frombuffer(mine, np.int8)[None], len(say), 0)))
-                    # the local join: chosen neighbours and those that list this node
-                    back = np.flatnonzero(kind == BACK)
-                    back = back if len(back) <= 2 * s.sample else rng.choice(back, 2 * s.sample, False)
-                    m_ids = np.concatenate([ids[say], src[back]])
-                    _, u = np.unique(m_ids, return_index=True)
-                    m_ids = m_ids[u]
-                    m_codes = np.concatenate([codes[say], in_codes[back]])[u]
-                    m_floor = np.concatenate([floors[say], in_floor[back]])[u]
-                    m_new = np.concatenate([np.isin(say, new), in_fresh[back]])[u]
-                    told[new] = False
-                    if len(m_ids) > 1:
-                        unit = _units(m_codes)
-                        cross = unit @ unit.T
-                        cross[~(m_new[:, None] | m_new[None, :])] = -2
-                        np.fill_diagonal(cross, -2)
-                        m = min(s.offers, len(m_ids) - 1)
-                        near = np.argpartition(-cross, m - 1, axis=1)[:, :m]
-                        dst, who = np.repeat(np.arange(len(m_ids)), m), near.ravel()
-                        value = cross[dst, who]
-                        good = value > np.maximum(m_floor[dst], -1.5)
-                        dst, who, value = dst[good], who[good], value[good]
-                        messages.append((m_ids[dst], OFFER, m_ids[who], value, m_floor[who], np.ones(len(dst), bool), m_codes[who]))
-                nodes_out.append((me, changed, mine, ids.tobytes(), sims.astype(np.float32).tobytes(), floors.astype(np.float32).tobytes(), told.tobytes(), codes.tobytes()))
-            if nodes_out:
-                cols = list(zip(*nodes_out, strict=True))
-                n = len(nodes_out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array([-1] * n, pa.int32()), pa.array(cols[1], pa.int64()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.bool_()), _column(cols[2]), *(_column(c) for c in cols[3:])], schema=_BOTH)
-            for kind in (OFFER, BACK):
-                if some := [m for m in messages if m[1] == kind and len(m[0])]:
-                    b = _messages(*(np.concatenate([m[c] for m in some]) if c != 1 else kind for c in range(7)))
-                    yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(len(b), pa.binary())] * 5], schema=_BOTH)
-
-    return bounded(joined).mapInArrow(run, BOTH)
-
-
-BOTH = MESSAGE + ", ids binary, sims binary, floors binary, fresh_list binary, codes binary"
-_BOTH = pa.schema([*_MESSAGE, *(pa.field(c, pa.binary()) for c in ("ids", "sims", "floors", "fresh_list", "codes"))])
-
-
-def _split(both: DataFrame) -> tuple[DataFrame, DataFrame]:
-    nodes = both.where("kind = -1").select(F.col("dst").alias("id"), "code", "ids", "sims", "floors", F.col("fresh_list").alias("fresh"), "codes")
-    return nodes, both.where("kind >= 0").select("dst", "kind", "src", "sim", "floor", "fresh", "code")
+        for rows in whole_groups(batches, dims, s.inbox * 2):
+            yield from improve(rows)
+
+    # the best offers come first, back links in a random order
+    rank = F.when(F.col("kind") == OFFER, -F.col("sim")).otherwise(F.xxhash64("dst", "src", F.lit(turn)).cast("double"))
+    dealt = now.repartition("dst").sortWithinPartitions("dst", "kind", rank, "src")
+    return bounded(dealt, ROWS).mapInArrow(run, ROW)
 
 
 def coded(rows: DataFrame) -> DataFrame:
@@ -241,36 +416,40 @@ def coded(rows: DataFrame) -> DataFrame:
 
 
 def build(nodes: DataFrame, dims: int, s: Settings = Settings()) -> DataFrame:
-    """(id, code), distinct codes, to the graph: NODE rows, written to the shared folder."""
-    now = materialize(nodes.select("id", "code", *[F.expr("X''").alias(c) for c in ("ids", "sims", "floors", "fresh", "codes")]), "ann-nodes")
-    number = now.count()
-    offers = materialize(first_offers(now, number, dims, s), "ann-offers")
-    held, turn, last = (now, offers), 0, False
+    """(id, code), distinct codes, to the graph (id, code, lists), written to the shared folder.  ``lists`` packs entries."""
+    nodes = materialize(nodes.select("id", "code"), "ann-nodes")
+    number = nodes.count()
+    offers = first_offers(nodes, number, dims, s)
+    empty = nodes.select(
+        F.col("id").alias("dst"), F.lit(NODE).alias("kind"), F.lit(0).cast("long").alias("src"), F.lit(0.0).alias("sim"), F.lit(0.0).alias("floor"), F.lit(False).alias("fresh"), "code", F.expr("X''").alias("lists"))
+    now, turn, last = materialize(empty.unionByName(offers), "ann-round"), 0, False
     while True:
-        both = materialize(one_round(now, offers, dims, s, turn, last), "ann-round")
-        discard(*held)
-        held = (both,)
-        now, offers = _split(both)
+        before, now = now, materialize(one_round(now, dims, s, turn, last), "ann-round")
+        discard(before)
         _forget(nodes.sparkSession)
+        found = now.where(F.col("kind") == NODE)
         if last:
-            return now
-        changed = both.where("kind = -1").agg(F.sum("src")).first()[0] or 0
-        turn, last = turn + 1, changed <= s.settled * number * s.degree
+            return found.select(F.col("dst").alias("id"), "code", "lists")
+        changed = found.agg(F.sum("src")).first()[0] or 0
+        turn, last = turn + 1, turn > 1 and changed <= s.settled * number * s.degree
 
 
 def _forget(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of rounds that are done."""
+    """Lets Spark drop the shuffle files of rounds that are done: it does so only for plans that were collected as garbage."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+POOL = "q long, code binary, ids binary, sims binary, done binary, open int"
+
+
 def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settings(), k: int | None = None) -> DataFrame:
     """(query node) to (node, found): the best nodes that greedy search met, the query's own among them.
 
-    ``graph``: from ``build``; ``queries``: distinct ids of its nodes.  With ``k``, nodes go that cannot hold one
+    ``graph``: from ``build``; ``queries``: ids of its nodes.  With ``k``, nodes go that cannot hold one
     of the k nearest: rounding turns each of two vectors by ``turned`` at most.
     """
-    width = s.pool
+    width, kind = s.pool, entry(dims)
     turned = float(np.arcsin(min(1.0, 0.5 * np.sqrt(dims) / 127)))
 
     def pooled(out: list[tuple]) -> pa.RecordBatch:
@@ -278,62 +457,63 @@ def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settin
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = batch.to_pydict(), []
-            for me, code, ids, sims in zip(rows["id"], rows["code"], rows["ids"], rows["sims"], strict=True):
-                ids, sims = np.frombuffer(ids, np.int64)[:width], np.frombuffer(sims, np.float32)[:width]
-                out.append((me, code, ids.tobytes(), sims.tobytes(), np.zeros(len(ids), bool).tobytes(), len(ids)))
+            out = []
+            for me, code, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                near = np.frombuffer(lists, kind)[:width]
+                out.append((me, code, near["id"].tobytes(), near["sim"].tobytes(), bytes(len(near)), len(near)))
             yield pooled(out)
 
-    pool_schema = "q long, code binary, ids binary, sims binary, done binary, open int"
-    pool = materialize(bounded(graph.join(queries.select("id").distinct(), "id", "left_semi").select("id", "code", "ids", "sims")).mapInArrow(start, pool_schema), "ann-pool")
-
-    def chosen(ids: bytes, done: bytes) -> np.ndarray:
-        return np.flatnonzero(~np.frombuffer(done, bool))[: s.beam]
+    def chosen(done: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(~done)[: s.beam]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
             q, node, code, floor = [], [], [], []
             for me, c, ids, sims, done in zip(rows["q"], rows["code"], rows["ids"], rows["sims"], rows["done"], strict=True):
-                ids, sims = np.frombuffer(ids, np.int64), np.frombuffer(sims, np.float32)
-                take = ids[chosen(b"", done)]
+                sims = np.frombuffer(sims)
+                take = np.frombuffer(ids, np.int64)[chosen(np.frombuffer(done, bool))]
                 q += [me] * len(take)
                 node += take.tolist()
                 code += [c] * len(take)
-                floor += [float(sims[-1]) if len(sims) >= width else -2.0] * len(take)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(node, pa.int64()), _column(code), pa.array(floor, pa.float32())], ["q", "node", "q_code", "floor"])
+                floor += [float(sims[-1]) if len(sims) >= width else NONE] * len(take)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(node, pa.int64()), _column(code), pa.array(floor, pa.float64())], ["q", "node", "q_code", "floor"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = batch.to_pydict(), []
-            for q, c, floor, ids, codes in zip(rows["q"], rows["q_code"], rows["floor"], rows["ids"], rows["codes"], strict=True):
-                ids, codes = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int8).reshape(-1, dims)
-                if len(ids):
-                    sims = _units(codes) @ _units(np.frombuffer(c, np.int8)[None])[0]
-                    good = (sims > floor) & (ids != q)
-                    out.append((q, ids[good].tobytes(), sims[good].astype(np.float32).tobytes()))
+            out, asked = [], _matrix(batch.column(1), dims)
+            for q, code, floor, lists in zip(batch.column(0).to_pylist(), asked, batch.column(2).to_pylist(), batch.column(3), strict=True):
+                near = np.frombuffer(lists.as_buffer(), kind)
+                if len(near):
+                    sims = similarity(near["code"], code[None])[:, 0]
+                    good = (sims > floor) & (near["id"] != q)
+                    out.append((q, near["id"][good].tobytes(), sims[good].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), _column([x[1] for x in out]), _column([x[2] for x in out])], ["q", "new_ids", "new_sims"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = batch.to_pydict(), []
-            for q, c, ids, sims, done, new_ids, new_sims in zip(*(rows[k] for k in ("q", "code", "ids", "sims", "done", "new_ids", "new_sims")), strict=True):
-                ids, sims, done = np.frombuffer(ids, np.int64), np.frombuffer(sims, np.float32), np.frombuffer(done, bool).copy()
-                done[chosen(b"", done.tobytes())] = True
-                more, more_sims = np.frombuffer(b"".join(new_ids or []), np.int64), np.frombuffer(b"".join(new_sims or []), np.float32)
+            for q, c, ids, sims, done, new_ids, new_sims in zip(*(rows[n] for n in ("q", "code", "ids", "sims", "done", "new_ids", "new_sims")), strict=True):
+                ids, sims, done = np.frombuffer(ids, np.int64), np.frombuffer(sims), np.frombuffer(done, bool).copy()
+                done[chosen(done)] = True
+                more, more_sims = np.frombuffer(b"".join(new_ids or []), np.int64), np.frombuffer(b"".join(new_sims or []))
                 all_ids, all_sims, all_done = np.concatenate([ids, more]), np.concatenate([sims, more_sims]), np.concatenate([done, np.zeros(len(more), bool)])
                 _, one = np.unique(all_ids, return_index=True)
                 order = one[np.lexsort((all_ids[one], -all_sims[one]))][:width]
                 out.append((q, c, all_ids[order].tobytes(), all_sims[order].tobytes(), all_done[order].tobytes(), int((~all_done[order]).sum())))
             yield pooled(out)
 
-    lists = graph.select(F.col("id").alias("node"), "ids", "codes")
-    while pool.where("open > 0").limit(1).count():
-        front = bounded(pool.where("open > 0")).mapInArrow(expand, "q long, node long, q_code binary, floor float")
-        found = front.join(lists, "node").select("q", "q_code", "floor", "ids", "codes").mapInArrow(meet, "q long, new_ids binary, new_sims binary")
+    begun = graph.join(queries.select("id").distinct(), "id", "left_semi").select("id", "code", "lists")
+    pool = materialize(bounded(begun).mapInArrow(start, POOL), "ann-pool")
+    lists = graph.select(F.col("id").alias("node"), "lists")
+    while front_rows := pool.agg(F.sum(F.least("open", F.lit(s.beam)))).first()[0]:
+        front = bounded(pool.where("open > 0")).mapInArrow(expand, "q long, node long, q_code binary, floor double")
+        if front_rows * (dims + 40) <= FRONT_BYTES:
+            front = F.broadcast(front)
+        found = front.join(lists, "node").select("q", "q_code", "floor", "lists").mapInArrow(meet, "q long, new_ids binary, new_sims binary")
         # at most ``beam`` lists reach a query
         found = found.groupBy("q").agg(F.collect_list("new_ids").alias("new_ids"), F.collect_list("new_sims").alias("new_sims"))
-        old, pool = pool, materialize(pool.join(found, "q", "left").mapInArrow(merge, pool_schema), "ann-pool")
+        old, pool = pool, materialize(pool.join(found, "q", "left").mapInArrow(merge, POOL), "ann-pool")
         discard(old)
         _forget(graph.sparkSession)
 
@@ -342,9 +522,9 @@ def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settin
             rows = batch.to_pydict()
             q, found = [], []
             for me, ids, sims in zip(rows["q"], rows["ids"], rows["sims"], strict=True):
-                ids, angles = np.frombuffer(ids, np.int64), np.arccos(np.clip(np.frombuffer(sims, np.float32).astype(np.float64), -1, 1))
-                # 0.001: for the single precision of the similarities
-                keep = angles <= angles[k - 1] + 4 * turned + 0.001 if k and len(ids) > k else slice(None)
+                ids, angles = np.frombuffer(ids, np.int64), np.arccos(np.clip(np.frombuffer(sims), -1, 1))
+                # 1e-6: for the rounding of angles near zero
+                keep = angles <= angles[k - 1] + 4 * turned + 1e-6 if k and len(ids) > k else slice(None)
                 ids = [me, *ids[keep].tolist()]
                 q += [me] * len(ids)
                 found += ids
@@ -358,31 +538,47 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     query_id, rank (from 1), vec_id, score.  Nearest first, ties to the smaller id.
 
     Rows whose id or vector is null, or whose vector is empty, zero, or holds null or non-finite components take no
-    part, nor do vectors of another length than most.  For equal vectors the k + 1 smallest
-    ids stand: no result can hold more of them.  Rows that repeat an id and its vector count once.
-    Fewer candidates than ``k`` give fewer ranks; an empty table gives no rows.
+    part, nor do vectors of another length than most; vectors of any length and size of components are read whole.
+    For equal vectors the k + 1 smallest ids stand: no result can hold more of them.  Rows that repeat an id and its
+    vector count once.  Fewer candidates than ``k`` give fewer ranks; an empty table gives no rows.  Other columns are
+    ignored, whatever their names.
     """
+    rank = lambda part, *order: F.row_number().over(Window.partitionBy(part).orderBy(*order))
     rows = materialize(coded(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"])), "ann-vectors")
     head = rows.select(F.size("v").alias("d")).first()
-    dims = head["d"] if head else 0
-    reps = materialize(rows.groupBy("code", "v").agg(F.min("id").alias("found")), "ann-reps")
-    node_of = materialize(reps.groupBy("code").agg(F.min("found").alias("node")), "ann-codes")
+    if not head:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims = head["d"]
+    # distinct vectors with their smallest ids: a window's limit holds before its shuffle, so a very common vector stays small
+    few = rows.withColumn("place", rank("v", "id")).where(F.col("place") <= k + 1)
+    reps = few.groupBy("v", "code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    reps = materialize(reps.select("v", "code", "ids", F.get("ids", 0).alias("rep")), "ann-reps")
+    node_of = materialize(reps.groupBy("code").agg(F.min("rep").alias("node")), "ann-codes")
     graph = build(node_of.select(F.col("node").alias("id"), "code"), dims, settings)
-    q = rows.where(is_query).join(node_of, "code").select(F.col("id").alias("query_id"), "node", F.col("v").alias("a"))
-    met = search(graph, q.select(F.col("node").alias("id")), dims, settings, k).withColumnRenamed("found", "near")
-    pairs = q.join(met, "node").join(reps.join(node_of, "code").select(F.col("node").alias("near"), "found", F.col("v").alias("b")), "near")
+    asking = rows.where(is_query).select(F.col("id").alias("query_id"), "v")
+    # each different vector is searched once
+    asked = asking.groupBy("v").agg(F.count(F.lit(1)).alias("rows")).join(reps, "v").join(node_of, "code").select("rep", "node", "rows", F.col("v").alias("a"))
+    asked = materialize(asked, "ann-asked")
+    met = search(graph, asked.select(F.col("node").alias("id")), dims, settings, k).withColumnRenamed("found", "near")
+    held = reps.join(node_of, "code").select(F.col("node").alias("near"), F.col("v").alias("b"), "ids")
+    pairs = asked.join(met, "node").join(held, "near").select("rep", "ids", "a", "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (_tame(_vectors(batch.column(i)).reshape(len(batch), dims)) if len(batch) else np.zeros((0, 1)) for i in (2, 3))
             cosine = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["query_id", "found", "score"])
-
-    scored = bounded(pairs.select("query_id", "found", "a", "b")).mapInArrow(exact, "query_id long, found long, score double")
-    rank = lambda part, *order: F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    # of each vector the k + 1 smallest ids; vectors that cannot be among the k nearest go first
-    scored = scored.withColumn("place", rank("query_id", F.desc("score"), "found")).where(F.col("place") <= k + 1)
-    members = rows.join(reps.select("v", F.col("found").alias("node")), "v").select("node", F.col("id").alias("vec_id")).withColumn("place", rank("node", "vec_id")).where(F.col("place") <= k + 1).drop("place")
-    out = scored.drop("place").join(members, F.col("found") == F.col("node")).where("vec_id <> query_id")
-    out = out.withColumn("rank", rank("query_id", F.desc("score"), "vec_id")).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["rep", "ids", "score"])
+
+    scored = bounded(pairs).mapInArrow(exact, "rep long, ids array<long>, score double").select("rep", "score", F.explode("ids").alias("vec_id"))
+    # a query's own id is one of the k + 1, if it is among them at all
+    top = scored.withColumn("place", rank("rep", F.desc("score"), "vec_id")).where(F.col("place") <= k + 1)
+    answers = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
+    answers = materialize(asked.join(answers, "rep").select(F.col("a").alias("v"), "rows", "best"), "ann-answers")
+    # at most 1000 vectors can be those of more than a thousandth of the queries: they are broadcast, for no task to hold all of a vector's rows
+    common = answers.agg(F.sum("rows")).first()[0] or 0
+    hot, cold = F.col("rows") > common / 1000, F.col("rows") <= common / 1000
+    often = F.broadcast(answers.where(hot).select("v", "best"))
+    told = asking.join(often, "v").unionByName(asking.join(often.select("v"), "v", "left_anti").join(answers.where(cold).select("v", "best"), "v"))
+    others = told.select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    out = others.select("query_id", F.posexplode("best").alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -14,16 +14,16 @@ ROWS, ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _kept: dict[tuple, object] = {}
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, whose session now sends Python at most about 4 MB or 2000 rows at once, or less if it was set so.
+def bounded(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """``df``, whose session now sends Python at most about 4 MB at once, or less if it was set so, or ``rows`` rows.
 
     A batch always holds whole rows, so one longer text makes a batch of its own.
     """
     conf = df.sparkSession.conf
-    for key, most in ((KEY, BYTES), (ROWS_KEY, ROWS)):
-        now = int(str(conf.get(key)).removesuffix("b").removesuffix("B"))
-        if now <= 0 or now > most:
-            conf.set(key, str(most))
+    now = int(str(conf.get(KEY)).removesuffix("b").removesuffix("B"))
+    if now <= 0 or now > BYTES:
+        conf.set(KEY, str(BYTES))
+    conf.set(ROWS_KEY, str(rows))
     return df
 
 

@@ -273,14 +273,58 @@ def test_ann_search_ends_when_all_is_expanded(spark):
     v = np.stack([np.cos(angle), np.sin(angle)], 1)
     codes, rows = ann._codes(v), []
     for i in range(20):
-        near = np.array([j for j in (i - 1, i + 1) if 0 <= j < 20], np.int64)
-        sims = (v[near] @ v[i]).astype(np.float32)
-        rows.append((i, codes[i].tobytes(), near.tobytes(), sims.tobytes(), sims.tobytes(), np.zeros(len(near), bool).tobytes(), codes[near].tobytes()))
-    graph = spark.createDataFrame(rows, ann.NODE)
+        near = np.zeros((0 < i) + (i < 19), ann.entry(2))
+        near["id"] = [j for j in (i - 1, i + 1) if 0 <= j < 20]
+        near["code"] = codes[near["id"]]
+        near["sim"] = ann.similarity(codes[i : i + 1], near["code"])[0]
+        rows.append((i, codes[i].tobytes(), near.tobytes()))
+    graph = spark.createDataFrame(rows, "id long, code binary, lists binary")
     found = {r.found for r in ann.search(graph, graph.where("id = 0"), 2).collect()}
     assert found >= set(range(13))
 
 
+def ann_recall(spark, v, step=50, k=5, equal=False):
+    """Share of the true neighbours found at the registered settings; every query must have all its ranks."""
+    df = spark.createDataFrame([*enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for g in ann.nearest(df, F.col("id") % step == 0, k).orderBy("query_id", "rank").collect():
+        got[g.query_id].append((g.vec_id, g.score))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(v), step):
+        c = u @ u[q]
+        c[q] = -2
+        least = np.sort(c)[-k]
+        assert len({i for i, _ in got[q]} - {q}) == k and all(abs(x - c[i]) < 1e-9 for i, x in got[q])
+        hits += sum(c[i] >= least - 1e-12 for i, _ in got[q])
+    return hits / (k * len(range(0, len(v), step)))
+
+
+def test_ann_tight_cluster_and_isolated_query(spark):
+    r = np.random.default_rng(0)
+    base = r.normal(size=16)
+    assert ann_recall(spark, np.concatenate([[-base], base + r.normal(size=(2999, 16)) * 0.02])) >= 0.95
+
+
+def test_ann_very_common_vector(spark):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(3000, 16))
+    v[1000:2000] = v[1000]
+    assert ann_recall(spark, v) >= 0.95
+
+
+def test_ann_many_vectors(spark):
+    r = np.random.default_rng(2)
+    v = r.normal(size=(300, 16))[r.integers(0, 300, 50_000)] * (r.random((50_000, 1)) < 0.5) + r.normal(size=(50_000, 16)) * 0.4
+    assert ann_recall(spark, v, step=250) >= 0.9
+
+
+def test_ann_messages_to_a_hub_are_read_in_part():
+    rows = ann.Rows({"dst": np.array([1] * 6 + [2] * 3), "kind": np.array([-1, 0, 0, 0, 1, 1, -1, 1, 1]), "src": np.arange(9)}, [b"", b""])
+    assert rows.read_part(2).parts["src"].tolist() == [0, 1, 2, 4, 5, 6, 7, 8]
+    assert ann._thinned(np.array([7, 7, 8, 7]), np.array([3, 1, 2, 2]), 2).tolist() == [1, 3, 2]
+
+
 def test_ann_many_near_copies(spark):
     # closer than a step of the codes: only the original vectors tell them apart
     r = np.random.default_rng(8)
