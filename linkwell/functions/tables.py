@@ -34,13 +34,13 @@ BRACKET_SYMBOLS = "~/-\\[]()|{}:^+"
 
 # Latin letters in Cyrillic; x becomes two letters.
 LATIN = "abcdefghijklmnopqrstuvwyz"
-CYRILLIC = "абцдефгхийклмнопqрстуввыз".replace("q", "к")
+CYRILLIC = "абцдефгхийклмнопкрстуввыз"
 LATIN_X = "кс"
 
 # Catalogue words that say nothing, besides the usual Russian stop words.
 CATALOGUE_STOP_WORDS = (
     "принадлежность вид товар продукт изделие прочий продукция карточка отдел исключать прочее штучный "
     "заблокировать сопутствовать зона группа отечественный обычный эконом импорт свыше категории категория "
-    "категорияноменклатур товары прочие используются производители основная основной каталог номенклатурная "
+    "категорияноменклатуры товары прочие используются производители основная основной каталог номенклатурная "
     "арт материалы оборудование россия"
 ).split()

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkwell.functions import tables as T
+from linkwell.functions.stem import stems
 
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 SKIP = "\x01"
@@ -83,22 +84,35 @@ def as_number(t: Column) -> Column:
     return F.when(t.rlike(NUMBER), t.try_cast("double").cast("string"))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def normal_token(t: Column, to_cyrillic: bool = False, fold_short_i: bool = True) -> Column:
     """One token: numbers as decimals, dimensions joined by x, units spelled out, dots split."""
-    t = F.translate(t, "ё,й", "е.и") if fold_short_i else F.translate(t, "ё,", "е.")
-    number = as_number(t)
+    folded = F.translate(t, "ё,й", "е.и") if fold_short_i else F.translate(t, "ё,", "е.")
+    return bound(folded, lambda x: F.coalesce(as_number(x), bound(_letters(x, to_cyrillic), _word)))
+
+
+def _letters(t: Column, to_cyrillic: bool) -> Column:
     t = F.rtrim(t, F.lit("ъ"))
-    if to_cyrillic:
-        t = F.when(t.rlike(r"^[\x00-\x7F]*$"), transliterate(t)).otherwise(t)
-    sides = F.split(t, "[xх*]")
-    dimension = F.when((F.size(sides) > 1) & F.forall(sides, lambda p: p.rlike(NUMBER)), F.array_join(F.transform(sides, as_number), "x"))
-    found = F.regexp_extract_all(t, F.lit(r"([-+]?\d*\.\d+|\d+)"), 1)
+    return bound(t, lambda x: F.when(x.rlike(r"^[\x00-\x7F]*$"), transliterate(x)).otherwise(x)) if to_cyrillic else t
+
+
+def _word(t: Column) -> Column:
+    dimension = bound(F.split(t, "[xх*]"), lambda sides: F.when((F.size(sides) > 1) & F.forall(sides, lambda p: p.rlike(NUMBER)), F.array_join(F.transform(sides, as_number), "x")))
+    parts = F.filter(F.transform(F.split(t, r"\."), lambda p: lookup(T.UNITS_NORMAL, p)), lambda p: F.length(p) > 1)
+    measure = F.when(t.rlike(r"^\d"), bound(F.regexp_extract_all(t, F.lit(r"([-+]?\d*\.\d+|\d+)"), 1), lambda found: _measure(t, found)))
+    return F.coalesce(dimension, measure, F.array_join(parts, " "))
+
+
+def _measure(t: Column, found: Column) -> Column:
+    """The first number of a token and what follows it up to the next, spelled out."""
     first = F.get(found, 0)
     rest = F.ltrim(t, first)
     unit = F.when(F.size(found) > 1, F.call_function("substring_index", rest, F.get(found, 1), F.lit(1))).otherwise(rest)
-    measure = F.when(t.rlike(r"^\d"), F.concat_ws(" ", first.try_cast("double").cast("string"), lookup(T.UNITS_NORMAL, unit)))
-    parts = F.filter(F.transform(F.split(t, r"\."), lambda p: lookup(T.UNITS_NORMAL, p)), lambda p: F.length(p) > 1)
-    return F.coalesce(number, dimension, measure, F.array_join(parts, " "))
+    return F.concat_ws(" ", first.try_cast("double").cast("string"), lookup(T.UNITS_NORMAL, unit))
 
 
 def normalize(s: Column, to_cyrillic: bool = True, fold_short_i: bool = True) -> Column:
@@ -165,11 +179,20 @@ def of_length(tokens: Column, least: int = 2, most: int = 100) -> Column:
     return F.filter(tokens, lambda t: F.length(t).between(least, most))
 
 
-def analyse(s: Column) -> Column:
-    """The index analyser up to stemming: split, lower case, stop words, lengths."""
-    return of_length(without_stop_words(words(F.lower(s))))
+def analyse(s: Column, stemmed: bool = True) -> Column:
+    """The index analyser: split on white space, lower case, stop words, lengths, Russian stems."""
+    tokens = of_length(without_stop_words(words(F.lower(s))))
+    return stems(tokens) if stemmed else tokens
 
 
 def url_quote(s: Column) -> Column:
-    """Percent-encoded text, spaces as %20."""
-    return F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))
+    """Percent-encoded UTF-8 but for letters, digits and _.-~/."""
+    for coded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        s = F.replace(F.url_encode(s) if coded == "+" else s, F.lit(coded), F.lit(plain))
+    return s
+
+
+def chunks(values: Column, size: int) -> Column:
+    """An array in pieces of ``size``, the last one shorter; no pieces of an empty array."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(size))
+    return F.filter(F.transform(starts, lambda i: F.slice(values, i, size)), lambda c: F.size(c) > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from linkwell.functions import text as T
-from linkwell.operators.joins import lookup_optional, lookup_required
+from linkwell.operators.joins import lookup_optional, lookup_required, null_safe
 
 
 def present(column: str) -> F.Column:
@@ -70,3 +70,31 @@ def pair_texts(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
 def without_noise(pairs: DataFrame) -> DataFrame:
     """No pairs with an empty side, none that are labelled different although their tokens are equal."""
     return pairs.where((F.size("q_terms") > 0) & (F.size("d_terms") > 0) & ~((F.col("target") == 0) & (F.col("q_terms") == F.col("d_terms"))))
+
+
+def synonym_name(pairs: DataFrame, products: DataFrame, out: str = "name") -> DataFrame:
+    """Pairs (qid, synid) with the name of that synonym of their product, or with the product's own where synid is null.
+
+    Null where the product has no such synonym.
+    """
+    own = products.select(F.col("id").alias("_q"), F.col("name").alias("_own"), F.col("synonyms").alias("_syn"))
+    named = F.get(F.filter("_syn", lambda s: s["id"] == F.col("synid")), 0)["name"]
+    return pairs.join(own, F.col("qid") == F.col("_q"), "left").withColumn(out, F.when(F.col("synid").isNull(), F.col("_own")).otherwise(named)).drop("_q", "_own", "_syn")
+
+
+def joined_names(products: DataFrame) -> DataFrame:
+    """Products with the names of their synonyms and mistypes as one array, ``all_names``; null arrays count as empty."""
+    names = lambda c: F.coalesce(F.transform(c, lambda s: s["name"]), F.array().cast("array<string>"))
+    return products.withColumn("all_names", F.concat(names("synonyms"), names("mistypes")))
+
+
+def with_existing(df: DataFrame, key: str = "qid") -> DataFrame:
+    """Without groups whose true row was not retrieved: those that hold a place of -1."""
+    lost = df.where("ix = -1").select(key).distinct()
+    return df.join(lost, key, "left_anti")
+
+
+def error_sheet(errors: DataFrame, q_texts: DataFrame, d_texts: DataFrame) -> DataFrame:
+    """Errors (qid, synid, fid, prob, target, error_type) with the whole texts of both sides, worst first within their type."""
+    q = null_safe(errors, q_texts.select("qid", "synid", F.col("text").alias("q")), ["qid", "synid"], "left")
+    return q.join(d_texts.select("fid", F.col("text").alias("d")), "fid", "left").orderBy("error_type", F.when(F.col("error_type") == 1, -F.col("prob")).otherwise(F.col("prob")), "qid", "synid", "fid")

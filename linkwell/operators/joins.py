@@ -8,13 +8,14 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dictionary is broadcast; beyond it the join shuffles.
-DICTIONARY_ROWS = 100_000
+#: Rows, and bytes of their JSON text, up to which a frame is broadcast; beyond either a join shuffles.
+DICTIONARY_ROWS, DICTIONARY_BYTES = 100_000, 32 << 20
 
 
-def small(df: DataFrame, most: int = DICTIONARY_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = DICTIONARY_ROWS, most_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows and ``most_bytes`` bytes, which one job finds out."""
+    size = df.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= most and (size["b"] or 0) <= most_bytes else df
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -47,13 +48,21 @@ def unknown(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def lookup_link(df: DataFrame, key: str, links: DataFrame, link_key: str, target: str, out: str) -> DataFrame:
+    """``df`` with the linked id as ``out``, null where a row has no link; of several links of a key the smallest counts."""
+    one = links.where(F.col(link_key).isNotNull()).groupBy(F.col(link_key).alias("_k")).agg(F.min(target).alias(out))
+    return df.drop(out).join(one, df[key] == F.col("_k"), "left").drop("_k")
+
+
 def unique_links(feed: DataFrame, master: DataFrame, feed_id: str, master_id: str, code: str) -> DataFrame:
     """(feed id, code, master id) of feed rows that share exactly one (code, master) with the master.
 
     Codes are exploded already.  A feed row with two joined rows is ambiguous and goes, even if both lead to one master row.
+    The master is counted by code before the join, so a code that many rows share on both sides makes no pairs.
     """
-    joined = feed.select(feed_id, code).join(master.select(master_id, code), code)
-    once = joined.groupBy(feed_id).agg(F.count(F.lit(1)).alias("_n"), F.min(code).alias(code), F.min(master_id).alias(master_id))
+    masters = master.groupBy(code).agg(F.count(F.lit(1)).alias("_n"), F.min(master_id).alias(master_id))
+    joined = feed.select(feed_id, code).join(masters, code)
+    once = joined.groupBy(feed_id).agg(F.sum("_n").alias("_n"), F.min(code).alias(code), F.min(master_id).alias(master_id))
     return once.where("_n = 1").drop("_n").select(feed_id, code, master_id)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkwell.operators.scale import running, with_one
 
 def _ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str = "rn") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), tie)))
@@ -87,25 +88,27 @@ def confusion(df: DataFrame, label: str, prob: str, threshold: float = 0.5) -> D
 
 
 def pr_curve(df: DataFrame, label: str, prob: str) -> DataFrame:
-    """(threshold, precision, recall), a row per distinct probability.
+    """(threshold, precision, recall), a row per distinct probability, with ``step``: the recall it adds.
 
-    Rows are summed per probability first; the running sums then go over distinct values only.
+    Rows are summed per probability first; the running sums then go over distinct values, by range partitions.
     """
     by = df.groupBy(F.col(prob).alias("threshold")).agg(F.sum(label).cast("long").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("_p").alias("_all"))
-    run = by.withColumns({"_tp": F.sum("_p").over(down), "_out": F.sum("_n").over(down)}).join(F.broadcast(total))
-    return run.select("threshold", (F.col("_tp") / F.col("_out")).alias("precision"), F.try_divide(F.col("_tp").cast("double"), F.col("_all").cast("double")).alias("recall"))
+    run = running(by, [F.desc("threshold")], {"_tp": F.col("_p"), "_out": F.col("_n")})
+    run = with_one(run, run.agg(F.max("_tp").alias("_all")))
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("_all").cast("double"))
+    return run.select("threshold", (F.col("_tp") / F.col("_out")).alias("precision"), share("_tp").alias("recall"), share("_p").alias("step"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
     """One row: the sum of recall steps times precision."""
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return curve.withColumn("_s", step * F.col("precision")).agg(F.round(F.sum("_s"), 6).alias("ap"))
+    return curve.agg(F.round(F.sum(F.col("step") * F.col("precision")), 6).alias("ap"))
 
 
-def abstention_curve(df: DataFrame, group: list[str], target: str, prob: str, tie: str, topns: tuple[int, ...] = (1, 2, 3, 5, 10, 20), steps: int = 100) -> DataFrame:
-    """(topn, threshold, tp, fp, tn, fn, precision, recall) for thresholds 0, 1/steps ... 1.
+def abstention_curve(df: DataFrame, group: list[str], target: str, prob: str, tie: str, topns: tuple[int, ...] = (1, 2, 3, 5, 10, 20), steps: int = 100, scale: DataFrame | None = None) -> DataFrame:
+    """(topn, threshold, tp, fp, tn, fn, precision, recall, mean_precision) for thresholds 0, 1/steps ... 1.
+
+    ``scale``: a frame of one value, the share of true matches that retrieval found; recall is multiplied by it.
+    ``mean_precision`` is that of a topn over all thresholds.
 
     A group answers if its best probability reaches the threshold, and is right if a true row is among its topn.
     Groups are counted by the last threshold that they reach; the counts are summed along the thresholds.
@@ -127,9 +130,11 @@ def abstention_curve(df: DataFrame, group: list[str], target: str, prob: str, ti
         "topn", "_reach", F.sum("_right").over(up).alias("tp"), (F.sum("_wrong").over(up) + F.sum("_none").over(up)).alias("fp"),
         (F.sum("_none").over(whole) - F.sum("_none").over(up)).alias("tn"),
         (F.sum(F.col("_right") + F.col("_wrong")).over(whole) - F.sum(F.col("_right") + F.col("_wrong")).over(up)).alias("fn"))
-    return out.where("_reach >= 0").select(
-        "topn", (F.col("_reach") / float(steps)).alias("threshold"), "tp", "fp", "tn", "fn",
-        F.coalesce(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")), F.lit(1.0)).alias("precision"), F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")).alias("recall"))
+    ratio = lambda x, y: F.try_divide(x.cast("double"), y.cast("double"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    out = out.where("_reach >= 0").select("topn", (F.col("_reach") / float(steps)).alias("threshold"), "tp", "fp", "tn", "fn", F.coalesce(ratio(tp, tp + fp), F.lit(1.0)).alias("precision"), ratio(tp, tp + fn).alias("recall"))
+    out = out.withColumn("mean_precision", F.avg("precision").over(whole))
+    return out if scale is None else with_one(out, scale.toDF("_scale")).withColumn("recall", F.col("recall") * F.col("_scale")).drop("_scale")
 
 
 def type_errors(df: DataFrame, label: str, prob: str) -> DataFrame:

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkwell.storage import materialize
+from linkwell.operators.scale import running
 
 INFO = ("qid", "synid", "fid", "target", "train", "vali")
 
@@ -31,19 +31,11 @@ def standard_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
 
 
 def number_groups(df: DataFrame, keys: list[str], out: str = "group_no") -> DataFrame:
-    """Rows with their group's number, from 1, in key order.
-
-    Distinct keys are range-partitioned and numbered inside their partition; only the partitions' sizes are summed in one task.
-    """
-    keyed = df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    keyed = materialize(keyed, "group-keys")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    sizes = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbers = keyed.withColumn("_in", inside).join(F.broadcast(before), "_part").select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_in") + F.col("_before")).cast("long").alias(out))
+    """Rows with their group's number, from 1, in key order; distinct keys are numbered by range partitions."""
+    numbers = running(df.select(*keys).distinct(), [F.col(k) for k in keys], {out: F.lit(1).cast("long")})
+    numbers = numbers.select(*[F.col(k).alias(f"_k_{k}") for k in keys], out)
     on = reduce(and_, (df[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys))
-    joined = df.join(numbers, on)
-    return joined.drop(*[f"_k_{k}" for k in keys])
+    return df.join(numbers, on).drop(*[f"_k_{k}" for k in keys])
 
 
 def truncate_lists(df: DataFrame, key: list[str], order: list[Column], size: int) -> DataFrame:

@@ -1,17 +1,29 @@
-"""Candidate retrieval: an inverted index as DataFrames, BM25 scores, the best N per query.
+"""Candidate retrieval: a stored index of term counts, BM25 over one or more fields, the best N per query.
 
-Only postings of terms that some query holds are grouped and joined: the query vocabulary is
-broadcast when its size allows, so most of a catalogue's terms never reach a shuffle.
+The index has one row for each document, with the counts of its terms, made inside the row: nothing is
+shuffled to build it but the document frequencies.  A query set is searched in blocks of bounded size: a block's
+weights are broadcast, each task multiplies them with the term counts of its documents in Arrow batches and
+keeps the best N per query, so neither postings nor pairs of queries and documents are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.operators.joins import small
+from linkwell.storage import materialize
 
 K1, B = 1.2, 0.75
+#: Query terms of one block, which are collected and broadcast; scores that a task holds at once.
+BLOCK_TERMS, CELLS = 1_000_000, 4_000_000
 
 
 def ascii_terms(text: Column) -> Column:
@@ -19,45 +31,172 @@ def ascii_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(id, terms) to (id, term, tf, dl); with a vocabulary (term) only its terms."""
-    rows = docs.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    if vocabulary is not None:
-        rows = rows.join(small(vocabulary.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(terms: Column) -> Column:
+    """An array of terms as array<struct<term, tf>>, by term: equal terms stand together once they are sorted."""
+    ordered = F.sort_array(terms)
+    at = F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1)))
+    starts = F.filter(at, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(terms) + 1))
+    counts = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).alias("tf")))
+    return F.when(F.size(terms) > 0, counts).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(id, terms) to (id, term, tf, dl)."""
+    return docs.select("id", F.size("terms").alias("dl"), F.explode(term_counts(F.col("terms"))).alias("c")).select("id", "c.term", "c.tf", "dl")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = 20, k1: float = K1, b: float = B, boost: float = 1.0) -> DataFrame:
-    """(qid, terms) against (id, terms): qid, fid, score (6 decimals), ix (from 0), best n per query.
+@dataclass(frozen=True)
+class Index:
+    """``rows``: id and, for each field, dl_, terms_ and tfs_; ``frequencies``: field, term, df; ``totals``: documents and mean length by field."""
+
+    rows: DataFrame
+    frequencies: DataFrame
+    totals: dict[str, tuple[int, float]]
+
+
+def _frequencies(rows: DataFrame, fields: list[str]) -> DataFrame:
+    each = [rows.select(F.lit(f).alias("field"), F.explode(f"terms_{f}").alias("term")) for f in fields]
+    return reduce(DataFrame.unionByName, each).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _opened(rows: DataFrame, frequencies: DataFrame, fields: list[str], count_empty: bool) -> Index:
+    sums = rows.agg(*[x for f in fields for x in (F.count(F.lit(1) if count_empty else F.nullif(f"dl_{f}", F.lit(0))).alias(f"n_{f}"), F.sum(f"dl_{f}").alias(f"s_{f}"))]).first()
+    return Index(rows, frequencies, {f: (sums[f"n_{f}"], (sums[f"s_{f}"] or 0) / sums[f"n_{f}"] if sums[f"n_{f}"] else 0.0) for f in fields})
+
+
+def build_index(docs: DataFrame, fields: list[str] = ["terms"], path: str | None = None, count_empty: bool = True) -> Index:
+    """An index of (id, one array of terms for each field).  Null arrays count as empty; ids are numbers and not null.
 
-    idf = ln(1 + (N - df + .5) / (df + .5)), tf part = tf / (tf + k1 (1 - b + b dl / avgdl)).  Terms
-    that a query repeats count as often.  Ties go to the smaller fid.
+    With a ``path`` rows and frequencies are stored there for ``open_index``; else the rows lie in the scratch folder.
+    ``count_empty``: whether documents without terms in a field count for its number of documents and mean length.
     """
-    asked = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))  # one row
-    found = postings(docs, asked.select("term"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = asked.join(df, "term").join(F.broadcast(total)).select("qid", "term", (F.col("qtf") * idf * boost).alias("w"), "avgdl")
-    part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(terms, "term").groupBy("qid", F.col("id").alias("fid")).agg(F.round(F.sum(F.col("w") * part), 6).alias("score"))
+    held = docs.where(F.col("id").isNotNull()).select(F.col("id").cast("long"), *[F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in fields])
+    counts = held.select("id", *[x for f in fields for x in (F.size(f).alias(f"dl_{f}"), term_counts(F.col(f)).alias(f"_{f}"))])
+    rows = counts.select("id", *[x for f in fields for x in (F.col(f"dl_{f}"), F.col(f"_{f}.term").alias(f"terms_{f}"), F.col(f"_{f}.tf").alias(f"tfs_{f}"))])
+    if path is None:
+        rows = materialize(rows, "index")
+        return _opened(rows, _frequencies(rows, fields), fields, count_empty)
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    stored = docs.sparkSession.read.parquet(f"{path}/rows")
+    _frequencies(stored, fields).write.mode("overwrite").parquet(f"{path}/frequencies")
+    return open_index(docs.sparkSession, path, count_empty)
+
+
+def open_index(spark: SparkSession, path: str, count_empty: bool = True) -> Index:
+    rows = spark.read.parquet(f"{path}/rows")
+    return _opened(rows, spark.read.parquet(f"{path}/frequencies"), [c[3:] for c in rows.columns if c.startswith("dl_")], count_empty)
+
+
+def search(queries: DataFrame, index: Index, n: int = 20, boosts: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, terms) against an index: qid, fid, score (6 decimals), ix (from 0), best n per query.
+
+    A field's score is the sum over the query's terms of idf tf / (tf + k1 (1 - b + b dl / mean)), with idf =
+    ln(1 + (N - df + .5) / (df + .5)); terms that a query repeats count as often.  Fields add up, each times its
+    boost (1 for all by default).  Only documents that hold a term are found.  Ties go to the smaller id.
+    """
+    asked = materialize(queries.select("qid", F.explode("terms").alias("term")).where("term IS NOT NULL").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
+    blocks = -(-asked.count() // BLOCK_TERMS)
+    if not blocks:
+        return queries.sparkSession.createDataFrame([], f"qid {dict(asked.dtypes)['qid']}, fid long, score double, ix int")
+    parts = [asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked for i in range(blocks)]
+    boosts = boosts or dict.fromkeys(index.totals, 1.0)
+    found = [_search_block(p, index, n, boosts, k1, b) for p in parts]
+    if blocks > 1:
+        found = [materialize(f, "found") for f in found]
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "fid"))
-    return scored.withColumn("ix", place - 1).where(F.col("ix") < n)
+    return reduce(DataFrame.unionByName, found).withColumn("ix", place - 1).where(F.col("ix") < n)
+
+
+def _search_block(asked: DataFrame, index: Index, n: int, boosts: dict[str, float], k1: float, b: float) -> DataFrame:
+    entries = asked.toArrow()
+    known = index.frequencies.where(F.col("field").isin(*boosts)).join(small(asked.select("term").distinct()), "term", "left_semi").toArrow()
+    qids = pc.unique(entries["qid"].combine_chunks())
+    query, term = pc.index_in(entries["qid"].combine_chunks(), qids).to_numpy(zero_copy_only=False), entries["term"].combine_chunks()
+    qtf, sides = entries["qtf"].to_numpy(), {}
+    for field, boost in boosts.items():
+        here = known.filter(pc.equal(known["field"], field))
+        words, df = here["term"].combine_chunks(), here["df"].to_numpy()
+        at = pc.fill_null(pc.index_in(term, words), -1).to_numpy(zero_copy_only=False)
+        held = np.flatnonzero(at >= 0)
+        held = held[np.argsort(at[held], kind="stable")]
+        docs, mean = index.totals[field]
+        idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
+        sides[field] = (words, np.searchsorted(at[held], np.arange(len(words) + 1)), query[held].astype(np.int64), qtf[held] * idf[at[held]] * boost, mean)
+    width, sent = len(qids), asked.sparkSession.sparkContext.broadcast(sides)
+
+    def best(q: np.ndarray, fid: np.ndarray, score: np.ndarray) -> np.ndarray:
+        order = np.lexsort((fid, -score, q))
+        first = np.r_[True, q[order][1:] != q[order][:-1]][: len(order)]
+        starts = np.flatnonzero(first)
+        return order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) < n]
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(len(batch) * width)
+        for i, (words, starts, who, weight, mean) in enumerate(sent.value.values()):
+            dl, terms, tfs = batch.column(1 + 3 * i).to_numpy(), batch.column(2 + 3 * i), batch.column(3 + 3 * i)
+            t = pc.fill_null(pc.index_in(terms.flatten(), words), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(batch)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))[t >= 0]
+            tf, t = tfs.flatten().to_numpy()[t >= 0], t[t >= 0]
+            part = tf / (tf + k1 * (1 - b + b * dl[doc] / mean))
+            # each entry meets the queries of its term
+            size = starts[t + 1] - starts[t]
+            entry = np.repeat(np.arange(len(t)), size)
+            at = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size) + starts[t][entry]
+            out += np.bincount(doc[entry] * width + who[at], part[entry] * weight[at], len(out))
+        return out.reshape(len(batch), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, fid, score, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(width)
+        step = max(1, CELLS // width)
+        for batch in batches:
+            for a in range(0, len(batch), step):
+                part = batch.slice(a, step)
+                raw = scores(part)
+                s = np.round(raw, 6)
+                d, w = np.nonzero((raw > 0) & (s >= least))
+                q, fid, score = np.concatenate([q, w]), np.concatenate([fid, part.column(0).to_numpy()[d]]), np.concatenate([score, s[d, w]])
+                if len(q) > 4 * n * width:
+                    keep = best(q, fid, score)
+                    q, fid, score = q[keep], fid[keep], score[keep]
+                    full = np.bincount(q, minlength=width) >= n
+                    least[full] = score[np.cumsum(np.bincount(q, minlength=width))[full] - 1]
+        keep = best(q, fid, score)
+        yield pa.RecordBatch.from_arrays([pc.take(qids, pa.array(q[keep])), pa.array(fid[keep]), pa.array(score[keep])], ["qid", "fid", "score"])
+
+    columns = [c for f in boosts for c in (f"dl_{f}", f"terms_{f}", f"tfs_{f}")]
+    return index.rows.select("id", *columns).mapInArrow(run, f"qid {dict(asked.dtypes)['qid']}, fid long, score double")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = 20, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, terms) against (id, terms), by an index that is built for this search; see ``search``."""
+    return search(queries, build_index(docs), n, None, k1, b)
 
 
 def shingles(terms: Column, width: int) -> Column:
     """Runs of ``width`` terms joined by a space; none if there are fewer."""
+    return _runs(terms, width, lambda r: F.array_join(r, " "), "string")
+
+
+def _runs(terms: Column, width: int, made, kind: str) -> Column:
     n = F.size(terms) - (width - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(terms, i, width), " "))
-    return F.when(n >= 1, runs).otherwise(F.array().cast("array<string>"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: made(F.slice(terms, i, width)))
+    return F.when(n >= 1, runs).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def shared_run_truth(queries: DataFrame, docs: DataFrame, width: int = 8) -> DataFrame:
-    """(qid, true_id): the smallest document that shares a run of ``width`` terms with the query."""
-    asked = queries.select("qid", F.explode(F.array_distinct(shingles(F.col("terms"), width))).alias("run"))
-    runs = docs.select("id", F.explode(shingles(F.col("terms"), width)).alias("run"))
-    return runs.join(small(asked), "run").groupBy("qid").agg(F.min("id").alias("true_id"))
+    """(qid, true_id): the smallest document that shares a run of ``width`` terms with the query.
+
+    Runs meet by a 64-bit hash; the terms of the runs that met are compared.
+    """
+    hashed = lambda t: _runs(t, width, lambda r: F.xxhash64(F.array_join(r, " ")), "bigint")
+    asked = queries.select("qid", "terms", F.posexplode(hashed(F.col("terms"))).alias("i", "run"))
+    asked = materialize(asked.select("qid", "run", F.array_join(F.slice("terms", F.col("i") + 1, width), " ").alias("asked")).distinct(), "asked-runs")
+    met = docs.select("id", F.posexplode(hashed(F.col("terms"))).alias("at", "run")).join(small(asked), "run")
+    met = materialize(met.groupBy("qid", "id", "asked").agg(F.collect_set("at").alias("at")), "met-runs")
+    same = F.exists("at", lambda p: F.array_join(F.slice("terms", p + 1, width), " ") == F.col("asked"))
+    return met.join(docs, "id").where(same).groupBy("qid").agg(F.min("id").alias("true_id"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwell.operators.joins import null_safe
+from linkwell.operators.scale import running, with_one
 
 KEY = ["qid", "synid"]
 
@@ -36,6 +40,35 @@ def positions(queries: DataFrame, candidates: DataFrame, truth: DataFrame) -> Da
     return null_safe(asked, first, KEY, "left").select(F.col("qid").alias("et_id"), "synid", F.col("true_id").alias("el_id"), i.cast("int").alias("i"))
 
 
+def barcode_positions(queries: DataFrame, candidates: DataFrame, codes: DataFrame) -> DataFrame:
+    """(et_id, synid, el_id, i) of queries (qid, synid, barcodes, src_id): the first candidate that shares a barcode.
+
+    ``candidates``: qid, synid, fid, ix; ``codes``: fid, barcodes; both hold arrays of numbers.  A query without candidates has
+    a null el_id and place -1; one whose candidates share no barcode has its own ``src_id`` and place -2.
+    """
+    each = candidates.join(codes, "fid").select(F.col("qid").alias("_q"), F.col("synid").alias("_s"), "fid", "ix", F.col("barcodes").alias("_codes"))
+    met = queries.join(each, (F.col("qid") == F.col("_q")) & F.col("synid").eqNullSafe(F.col("_s")), "left")
+    hit = F.arrays_overlap("barcodes", "_codes")
+    best = met.groupBy(*KEY, "src_id").agg(F.min(F.when(hit, F.struct("ix", "fid"))).alias("_hit"), F.count("fid").alias("_n"))
+    found, none = F.col("_hit").isNotNull(), F.col("_n") == 0
+    return best.select(
+        F.col("qid").alias("et_id"), "synid", F.when(found, F.col("_hit.fid")).when(~none, F.col("src_id")).alias("el_id"),
+        F.when(found, F.col("_hit.ix")).when(none, -1).otherwise(-2).cast("int").alias("i"))
+
+
+def shuffled(df: DataFrame, key: Column, seed: str, out: str = "place") -> DataFrame:
+    """All rows with their place, from 1, in the order of a hash of seed and key; numbered by range partitions."""
+    order = F.md5(F.concat(F.lit(seed), key.cast("string")).cast("binary"))
+    return running(df, [order, key], {out: F.lit(1).cast("long")})
+
+
+def balanced(matched: DataFrame, rest: DataFrame, key: str, seed: str) -> DataFrame:
+    """All matched rows and as many of the rest, by a seeded hash; ``matched`` says which."""
+    number = matched.agg(F.count(F.lit(1)).alias("_number"))
+    drawn = with_one(shuffled(rest, F.col(key), seed, "_place"), number).where("_place <= _number").drop("_place", "_number")
+    return matched.withColumn("matched", F.lit(True)).unionByName(drawn.withColumn("matched", F.lit(False)))
+
+
 def seeded_sample(df: DataFrame, key: Column, n: int, seed: str) -> DataFrame:
     """``n`` rows in the order of a hash of seed and key: the same rows in every run."""
     return df.withColumn("_order", F.md5(F.concat(F.lit(seed), key.cast("string")).cast("binary"))).orderBy("_order").limit(n).drop("_order")
@@ -51,33 +84,38 @@ def org_split(samples: DataFrame, org: str, share: float = 0.1, seed: str = "spl
 
     A class of several organisations is split by their hashes.  Organisations that are alone in their
     class are taken in the order of size: one goes to test if the running test share then stays at
-    most ``share``, else to train; the first goes to train.  That decision is sequential, on a table
-    with one row per class, in one group.
+    most ``share``, else to train; the first goes to train.  That decision is sequential, in one pass over the
+    class sizes: m rows need at least m (m + 1) / 2 samples, so the table stays far smaller than its input.
     """
     sizes = samples.groupBy(org).agg(F.count(F.lit(1)).alias("n"))
     peers = Window.partitionBy("n")
     ranked = sizes.withColumns({"peers": F.count(F.lit(1)).over(peers), "place": F.row_number().over(peers.orderBy(unit_hash(F.col(org), seed), org))})
     several = ranked.where("peers > 1").select(org, "n", (F.col("place") <= F.ceil(F.col("peers") * share)).alias("test"))
-    alone = ranked.where("peers = 1").groupBy(F.lit(0).alias("_all")).agg(F.array_sort(F.collect_list(F.struct("n", F.col(org).alias("org")))).alias("orgs"))
-    start = F.struct(F.lit(0).cast("long").alias("test"), F.lit(0).cast("long").alias("all"), F.array().cast(f"array<struct<org:{dict(samples.dtypes)[org]},n:bigint,test:boolean>>").alias("out"))
 
-    def step(state: Column, o: Column) -> Column:
-        to_test = (state["all"] > 0) & ((state["test"] + o["n"]) <= share * (state["all"] + o["n"]))
-        return F.struct(
-            (state["test"] + F.when(to_test, o["n"]).otherwise(F.lit(0).cast("long"))).alias("test"), (state["all"] + o["n"]).alias("all"),
-            F.concat(state["out"], F.array(F.struct(o["org"].alias("org"), o["n"].alias("n"), to_test.alias("test")))).alias("out"))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tested = total = 0
+        for batch in batches:
+            chosen = []
+            for n in batch.column(1).to_pylist():
+                chosen.append(total > 0 and tested + n <= share * (total + n))
+                tested, total = tested + n * chosen[-1], total + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.bool_())], [*batch.schema.names, "test"])
 
-    single = alone.select(F.explode(F.aggregate("orgs", start, step, lambda s: s["out"])).alias("o")).select(F.col("o.org").alias(org), F.col("o.n").alias("n"), F.col("o.test").alias("test"))
-    return several.unionByName(single)
+    alone = ranked.where("peers = 1").select(org, "n").repartition(1).sortWithinPartitions("n").mapInArrow(decide, f"`{org}` {dict(samples.dtypes)[org]}, n long, test boolean")
+    return several.unionByName(alone)
 
 
 def nested_split(samples: DataFrame, org: str, share: float = 0.1) -> DataFrame:
-    """Samples with ``train`` and ``vali``: test organisations first, then validation ones among the rest (they keep train)."""
-    test = org_split(samples, org, share, "test").where("test").select(F.col(org).alias("_t"))
-    rest = samples.join(test, F.col(org).eqNullSafe(F.col("_t")), "left_anti")
-    vali = org_split(rest, org, share, "vali").where("test").select(F.col(org).alias("_v"))
-    out = samples.join(test, F.col(org).eqNullSafe(F.col("_t")), "left").join(vali, F.col(org).eqNullSafe(F.col("_v")), "left")
-    return out.withColumns({"train": F.col("_t").isNull(), "vali": F.col("_v").isNotNull()}).drop("_t", "_v")
+    """Samples with ``train`` and ``vali``: test organisations first, then validation ones among the rest (they keep train).
+
+    Rows without an organisation form an organisation of their own.
+    """
+    flagged = lambda rows, seed, flag: org_split(rows, org, share, seed).where("test").select(F.col(org).alias(f"{flag}_org"), F.lit(True).alias(flag))
+    test = flagged(samples, "test", "_test")
+    rest = samples.join(test, F.col(org).eqNullSafe(F.col("_test_org")), "left_anti")
+    vali = flagged(rest, "vali", "_vali")
+    out = samples.join(test, F.col(org).eqNullSafe(F.col("_test_org")), "left").join(vali, F.col(org).eqNullSafe(F.col("_vali_org")), "left")
+    return out.withColumns({"train": F.col("_test").isNull(), "vali": F.col("_vali").isNotNull()}).drop("_test", "_vali", "_test_org", "_vali_org")
 
 
 def parts(samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,33 +4,58 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from linkwell.functions.similarity import array_stats
+from linkwell.functions.text import without_stop_words
+from linkwell.operators.retrieval import term_counts
+from linkwell.operators.scale import with_one
 from linkwell.storage import materialize
 
 
-def tfidf(docs: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
-    """(id, terms) to (id, term, w): unit rows of tf (ln((1 + N) / (1 + df)) + 1), statistics from ``fit_on``."""
-    base = fit_on if fit_on is not None else docs
+def tfidf(docs: DataFrame, fit_on: DataFrame | None = None, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(id, terms) to (id, words, weights): unit rows of tf (ln((1 + N) / (1 + df)) + 1), statistics from ``fit_on``.
+
+    Terms in ``stop`` and terms that ``fit_on`` lacks are left out.  Terms are counted and rows scaled inside their row.
+    """
+    keep = lambda rows: rows.withColumn("terms", without_stop_words(F.col("terms"), stop)) if stop else rows
+    base = keep(fit_on if fit_on is not None else docs)
     n = base.agg(F.count(F.lit(1)).alias("n_docs"))
     df = base.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    tf = docs.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(df, "term").join(F.broadcast(n)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("w") / size).alias("w"))
+    tf = keep(docs).select("id", F.explode(term_counts(F.col("terms"))).alias("c")).select("id", "c.term", "c.tf")
+    raw = with_one(tf.join(df, "term"), n).select("id", F.struct("term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w")).alias("e"))
+    rows = raw.groupBy("id").agg(F.collect_list("e").alias("e"))
+    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return rows.select("id", F.col("e.term").alias("words"), F.transform("e", lambda x: x["w"] / size).alias("weights"))
+
+
+@F.pandas_udf(DoubleType())
+def sparse_dot(words: pd.Series, weights: pd.Series, others: pd.Series, other_weights: pd.Series) -> pd.Series:
+    """Sum over common words of the products of their weights, a whole batch at once; 0 where a side is null."""
+    def flat(names: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held = [(i, n, v) for i, (n, v) in enumerate(zip(names, values, strict=True)) if n is not None and len(n)]
+        if not held:
+            return np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        return np.repeat([i for i, _, _ in held], [len(n) for _, n, _ in held]), np.concatenate([n for _, n, _ in held]), np.concatenate([v for _, _, v in held])
+
+    (row, name, value), (row2, name2, value2) = flat(words, weights), flat(others, other_weights)
+    codes, known = pd.factorize(np.concatenate([name, name2]))
+    key, key2 = row * (len(known) + 1) + codes[: len(name)], row2 * (len(known) + 1) + codes[len(name) :]
+    _, at, at2 = np.intersect1d(key, key2, return_indices=True)
+    return pd.Series(np.bincount(row[at].astype(np.int64), value[at] * value2[at2], len(words)))
 
 
 def paired_distance(pairs: DataFrame, weights: DataFrame, q: str = "q", d: str = "d") -> DataFrame:
     """``pairs`` with ``distance`` = half the squared distance of the unit rows: 1 - dot, .5 if one side is empty, 0 if both are."""
-    x = weights.select(F.col("id").alias(q), "term", F.col("w").alias("_x"))
-    y = weights.select(F.col("id").alias(d), "term", F.col("w").alias("_y"))
-    dot = pairs.select(q, d).distinct().join(x, q).join(y, [d, "term"]).groupBy(q, d).agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot"))
-    there = weights.select("id").distinct()
-    out = pairs.join(dot, [q, d], "left").join(there.withColumnRenamed("id", "_q"), F.col(q) == F.col("_q"), "left").join(there.withColumnRenamed("id", "_d"), F.col(d) == F.col("_d"), "left")
+    x = weights.select(F.col("id").alias("_q"), F.col("words").alias("_x"), F.col("weights").alias("_xw"))
+    y = weights.select(F.col("id").alias("_d"), F.col("words").alias("_y"), F.col("weights").alias("_yw"))
+    both = pairs.join(x, F.col(q) == F.col("_q"), "left").join(y, F.col(d) == F.col("_d"), "left")
     size = F.col("_q").isNotNull().cast("double") + F.col("_d").isNotNull().cast("double")
-    return out.withColumn("distance", size / 2 - F.coalesce("_dot", F.lit(0.0))).drop("_dot", "_q", "_d")
+    return both.withColumn("_dot", sparse_dot("_x", "_xw", "_y", "_yw")).select(*pairs.columns, (size / 2 - F.col("_dot")).alias("distance"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions import similarity, text
-from linkwell.operators import entities, joins, metrics, ranking, retrieval, sampling, vectors
+from linkwell.operators import entities, features, joins, metrics, ranking, retrieval, sampling, vectors
 from linkwell.plans import models
 from linkwell.plans.oracle import ORACLE_SQL
 from linkwell.storage import table
@@ -61,6 +61,12 @@ def lookup_left_missing(spark, d):
     return joins.lookup_optional(table(spark, d, "supplier"), "s_nationkey", nation, "n_nationkey", "n_name", "nation").select("s_suppkey", "nation")
 
 
+@query
+def lookup_existing(spark, d):
+    links = table(spark, d, "customer").select(F.when(F.col("c_nationkey") < 15, F.col("c_nationkey")).alias("n"), "c_custkey")
+    return joins.lookup_link(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", links, "n", "c_custkey", "existing")
+
+
 @query
 def semi_known_keys(spark, d):
     good = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
@@ -94,7 +100,7 @@ def truth_unique_link(spark, d):
 
 @query
 def nullsafe_pair_join(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("qid"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey")).alias("synid"), F.col("l_partkey").alias("fid"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey")).alias("synid"), F.col("l_partkey").alias("fid"))
     org = rows.select("qid", "synid", (F.col("qid") % 7).alias("org")).distinct()
     return joins.null_safe(rows, org, ["qid", "synid"]).select("qid", "synid", "fid", "org")
 
@@ -122,8 +128,9 @@ def keep_first(spark, d):
 
 @query
 def tokens_ascii(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(retrieval.ascii_terms(F.col("text"))).alias("pos", "term")).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.countDistinct("term").alias("n_distinct"), F.sum((F.col("pos") + 1) * F.length("term")).alias("checksum"))
+    rows = table(spark, d, "documents").select("doc_id", retrieval.ascii_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    checksum = F.aggregate(F.transform("terms", lambda t, i: (i + 1).cast("long") * F.length(t)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"), checksum.alias("checksum"))
 
 
 @query
@@ -151,6 +158,18 @@ def unit_expand(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(text.expand_units(tokens), " ").alias("expanded"))
 
 
+@query
+def analysed_terms(spark, d):
+    terms = text.analyse(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(terms).alias("n_terms"), F.md5(F.array_join(terms, " ").cast("binary")).alias("terms_md5"))
+
+
+@query
+def token_chunks(spark, d):
+    pieces = text.chunks(retrieval.ascii_terms(F.col("text")), 64)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("k", "terms")).select("doc_id", "k", F.md5(F.array_join("terms", " ").cast("binary")).alias("chunk_md5"))
+
+
 @query
 def unique_tokens_ordered(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.array_distinct(retrieval.ascii_terms(F.col("text"))), " ").cast("binary")).alias("unique_md5"))
@@ -181,16 +200,32 @@ def tokenize_names(spark, d):
     return table(spark, d, "part").select("p_partkey", text.tokenize(name).alias("tokens"), text.normalize(name).alias("normal"))
 
 
-@query
-def index_documents(spark, d):
-    part = table(spark, d, "part")
-    products = part.select(
+def products(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("brand_id"), F.length("p_type").cast("long").alias("category_id"),
         F.array(F.col("p_partkey").cast("string")).alias("barcodes"), F.lit("").alias("source"), F.lower("p_type").alias("unit_name"),
         F.array(F.struct(F.col("p_partkey").alias("id"), F.concat("p_type", F.lit(" "), "p_name").alias("name"), F.lit("").alias("comment"))).alias("synonyms"))
+
+
+@query
+def index_documents(spark, d):
+    part = table(spark, d, "part")
     brands = part.select(F.col("p_size").cast("long").alias("id"), F.concat(F.lit("brand"), F.col("p_size").cast("string")).alias("name")).distinct().where("id < 30")
     kinds = part.groupBy(F.length("p_type").cast("long").alias("id")).agg(F.min("p_type").alias("name"))
-    return entities.index_documents(products, brands, kinds).withColumn("barcodes", F.array_join("barcodes", ","))
+    return entities.index_documents(products(spark, d), brands, kinds).withColumn("barcodes", F.array_join("barcodes", ","))
+
+
+@query
+def synonym_names(spark, d):
+    key = F.col("p_partkey")
+    pairs = table(spark, d, "part").select(key.alias("qid"), F.when(key % 3 == 1, key).when(key % 3 == 2, F.lit(-1)).cast("long").alias("synid"))
+    return entities.synonym_name(pairs, products(spark, d))
+
+
+@query
+def all_names(spark, d):
+    mistypes = F.array(F.struct(F.reverse("name").alias("name")))
+    return entities.joined_names(products(spark, d).withColumn("mistypes", mistypes)).select("id", F.array_join("all_names", "|").alias("names"))
 
 
 @query
@@ -224,6 +259,15 @@ def bm25_topk(spark, d):
     return retrieval.bm25_topk(asked(spark, d), indexed(spark, d))
 
 
+@query
+def bm25_two_fields(spark, d):
+    part = table(spark, d, "part")
+    terms = lambda *c: text.analyse(F.concat_ws(" ", *c))
+    docs = part.select(F.col("p_partkey").alias("id"), terms("p_name", "p_brand").alias("name"), terms("p_type", "p_name").alias("synonyms"))
+    asking = part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("qid")).select("qid", terms("p_name", "p_type").alias("terms"))
+    return retrieval.search(asking, retrieval.build_index(docs, ["name", "synonyms"], count_empty=False), 20, {"name": 5.0, "synonyms": 1.0})
+
+
 def candidates(spark, d) -> DataFrame:
     return bm25_topk(spark, d).select("qid", F.lit(None).cast("long").alias("synid"), "fid", "score", "ix")
 
@@ -267,8 +311,20 @@ def recall_scale(spark, d):
 def negatives_seeded(spark, d):
     docs = coded(spark, d)
     linked = truth_unique_link(spark, d).select(F.col("feed_id").alias("doc_id"))
-    rest = joins.unknown(docs.where("doc_id % 2 = 1"), linked, ["doc_id"])
-    return linked.withColumn("matched", F.lit(True)).unionByName(sampling.seeded_sample(rest, F.col("doc_id"), 50, "s1").select("doc_id", F.lit(False).alias("matched")))
+    rest = joins.unknown(docs.where("doc_id % 2 = 1"), linked, ["doc_id"]).select("doc_id")
+    return sampling.balanced(linked, rest, "doc_id", "s1")
+
+
+@query
+def shuffled_rows(spark, d):
+    return sampling.shuffled(table(spark, d, "customer").select("c_custkey"), F.col("c_custkey"), "s2")
+
+
+@query
+def positions_by_barcode(spark, d):
+    codes = lambda text, key: F.array((F.length(text) % 97).cast("long"), (F.col(key) % 89 + 100).cast("long"))
+    asking = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lit(None).cast("long").alias("synid"), codes("text", "item_id").alias("barcodes"), F.col("item_id").alias("src_id"))
+    return sampling.barcode_positions(asking, candidates(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("fid"), codes("text", "doc_id").alias("barcodes"))).drop("synid")
 
 
 @query
@@ -387,7 +443,7 @@ def tfidf_cosine(spark, d):
 @query
 def embedding_cosine_topk(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return vectors.nearest(rows.where("vec_id < 20"), rows, 10)
+    return vectors.nearest(rows.where("vec_id % 100 = 0"), rows, 10)
 
 
 @query
@@ -400,11 +456,39 @@ def embedding_pair_stats(spark, d):
 @query
 def embedding_set_distances(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    group = lambda m: rows.where(F.col("vec_id") % 50 < m).groupBy((F.floor(F.col("vec_id") / 50)).alias("g")).agg(F.collect_list("embedding").alias("vs"))
-    q, t = group(3).withColumnRenamed("vs", "q"), group(5).select((F.col("g") - 1).alias("g"), F.col("vs").alias("t"))
+    sets = rows.groupBy((F.floor(F.col("vec_id") / 50)).alias("g")).agg(F.collect_list("embedding").alias("vs"))
+    q, t = sets.withColumnRenamed("vs", "q"), sets.select((F.col("g") - 1).alias("g"), F.col("vs").alias("t"))
     return q.join(t, "g").select("g", *[r6(c).alias(n) for n, c in vectors.set_distances(F.col("q"), F.col("t")).items()])
 
 
+def word_table(spark, d) -> DataFrame:
+    """A vector for each word of the names that begins with no b: its first and last letters and its length."""
+    word = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().where("word NOT LIKE 'b%'")
+    return word.select("word", F.array(F.ascii("word") - 96, F.ascii(F.right("word", F.lit(1))) - 96, F.length("word")).cast("array<double>").alias("vector"))
+
+
+@query
+def known_words(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tokens"))
+    return features.known_tokens(rows, ["p_partkey"], word_table(spark, d)).select("p_partkey", F.array_join("tokens", " ").alias("known"))
+
+
+@query
+def pair_dataset(spark, d):
+    pairs = name_pairs(spark, d)
+    rows = pairs.select(
+        F.col("q_id").alias("qid"), F.lit(None).cast("long").alias("synid"), F.col("d_id").alias("fid"), ((F.col("q_id") + F.col("d_id")) % 2).cast("int").alias("target"),
+        F.round(F.size(F.array_intersect("q_terms", "d_terms")) / F.size("q_terms"), 6).alias("score"), F.pmod(F.col("d_id"), F.lit(20)).cast("int").alias("ix"), "q_terms", "d_terms")
+    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", F.split("p_name", " ").alias("terms"))
+    weights, held = vectors.tfidf(names), features.token_vectors(names, ["id"], word_table(spark, d), "terms")
+    side = lambda f: f.withColumnRenamed("id", "qid").withColumn("synid", F.lit(None).cast("long"))
+    distances = [
+        features.tfidf_distances(rows, side(weights), weights.withColumnRenamed("id", "fid")),
+        features.vector_distances(rows, side(held), held.withColumnRenamed("id", "fid"))]
+    out = features.pair_dataset(rows, distances, {"length": similarity.length_features, "token_set": similarity.token_set_features}, arrow=False)
+    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 # ranking data
 
 
@@ -422,7 +506,7 @@ def standard_scale(spark, d):
 
 
 def ranked_items(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("target"), "l_quantity", "l_discount")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("target"), "l_quantity", "l_discount")
 
 
 @query
@@ -507,8 +591,9 @@ def pr_curve_ap(spark, d):
 
 @query
 def abstain_curve(spark, d):
-    out = metrics.abstention_curve(judged(spark, d), ["source"], "target", "prob", "doc_id")
-    return out.select("topn", "threshold", "tp", "fp", "tn", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"))
+    scale = metrics.recall_scale(sampling.label(candidates(spark, d), truth(spark, d)))
+    out = metrics.abstention_curve(judged(spark, d), ["source"], "target", "prob", "doc_id", scale=scale)
+    return out.select("topn", "threshold", "tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "mean_precision")])
 
 
 @query
@@ -552,13 +637,21 @@ def org_frequencies(spark, d):
 @query
 def size_classes(spark, d):
     sizes = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("n").agg(F.count(F.lit(1)).alias("orgs"), F.min("source").alias("first"))
+    return sizes.groupBy("n").agg(F.count(F.lit(1)).alias("orgs"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("members"))
 
 
 @query
 def watch_list(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
-    return judged(spark, d).join(docs, "doc_id").orderBy("source", "target", F.desc("prob"), "doc_id").select("source", "doc_id", "target", "prob", "head")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return judged(spark, d).join(docs, "doc_id").orderBy("source", "target", F.desc("prob"), "doc_id").select("source", "doc_id", "target", "prob", "text")
+
+
+@query
+def error_sheet(spark, d):
+    pairs = metrics.type_errors(judged(spark, d), "target", "prob").select(F.col("doc_id").alias("qid"), F.lit(None).cast("long").alias("synid"), F.col("doc_id").alias("fid"), "prob", "target", "error_type")
+    docs = table(spark, d, "documents")
+    sheet = entities.error_sheet(pairs, docs.select(F.col("doc_id").alias("qid"), F.lit(None).cast("long").alias("synid"), F.col("source").alias("text")), docs.select(F.col("doc_id").alias("fid"), "text"))
+    return sheet.select("qid", "fid", "prob", "target", "error_type", "q", "d")
 
 
 # models

@@ -1,22 +1,29 @@
 """Estimators over feature tables, with ``pyspark.ml``.
 
-Spark has no listwise ranking objective: the ranker learns from differences of rows of one query
-(the pairwise logistic loss).  Within a query every row meets a bounded number of the other side,
-so pairs grow with the rows and not with their square.
+Two rankers: a linear one learns from differences of rows of one query (the pairwise logistic loss); within a
+query every row meets a bounded number of the other side, so pairs grow with the rows and not with their
+square.  A boosted one fits a regression tree to the LambdaMART gradients of each round.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions import text
-from linkwell.operators import retrieval
-from linkwell.storage import table
+from linkwell.operators import metrics, retrieval
+from linkwell.operators.ranking import truncate_lists
+from linkwell.storage import discard, materialize, table
 
 
 def gbt_classifier(train: DataFrame, features: list[str], label: str, depth: int = 10, rate: float = 0.1, rounds: int = 100, vali: str | None = None) -> PipelineModel:
@@ -61,6 +68,98 @@ def pairwise_ranker(train: DataFrame, group: str, features: list[str], target: s
     return dict(zip(features, (float(c) for c in model.coefficients)))
 
 
+def lambdas(scores: np.ndarray, target: np.ndarray, k: int = 10) -> np.ndarray:
+    """Gradients of one list: each pair of unequal targets pulls its better row up by what a swap would change in NDCG@k."""
+    n = len(scores)
+    place = np.empty(n, np.int64)
+    place[np.argsort(-scores, kind="stable")] = np.arange(n)
+    discount = np.where(np.arange(n) < k, 1 / np.log2(np.arange(n) + 2), 0)
+    best = (np.sort(target)[::-1] * discount).sum()
+    if best == 0:
+        return np.zeros(n)
+    better = target[:, None] > target[None, :]
+    swap = np.abs((target[:, None] - target[None, :]) * (discount[place][:, None] - discount[place][None, :])) / best
+    pull = np.where(better, swap / (1 + np.exp(np.clip(scores[:, None] - scores[None, :], -50, 50))), 0)
+    return pull.sum(1) - pull.sum(0)
+
+
+@dataclass(frozen=True)
+class BoostedRanker:
+    """Regression trees whose weighted sum ranks the rows of a query."""
+
+    features: list[str]
+    trees: list[DecisionTreeRegressionModel]
+    rate: float
+
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        rows = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(df).withColumn(out, F.lit(0.0))
+        for t in self.trees:
+            rows = t.setFeaturesCol("_x").setPredictionCol("_leaf").transform(rows).withColumn(out, F.col(out) + self.rate * F.col("_leaf")).drop("_leaf")
+        return rows.drop("_x")
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        for i, t in enumerate(self.trees):
+            t.write().overwrite().save(f"{path}/tree-{i:04d}")
+        spark.createDataFrame([(json.dumps({"features": self.features, "rate": self.rate, "trees": len(self.trees)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/ranker")
+
+    @classmethod
+    def load(cls, path: str) -> BoostedRanker:
+        held = json.loads(SparkSession.active().read.text(f"{path}/ranker").first()["value"])
+        return cls(held["features"], [DecisionTreeRegressionModel.load(f"{path}/tree-{i:04d}") for i in range(held["trees"])], held["rate"])
+
+
+def boosted_ranker(train: DataFrame, group: str, features: list[str], target: str, rounds: int = 50, depth: int = 5, rate: float = 0.1, list_size: int = 200, k: int = 10, vali: DataFrame | None = None, patience: int = 10) -> BoostedRanker:
+    """LambdaMART: each round's tree is fitted to the gradients of NDCG@k under the scores so far.
+
+    A list is cut to ``list_size`` rows, positives first, then by a hash of the features: the feature of list-wise
+    rankers that bounds what a task holds.  With ``vali`` rows training stops after ``patience`` rounds without a
+    better mean NDCG, and the trees up to the best round stay.
+    """
+    lists = truncate_lists(train.select(F.col(group).alias("_g"), F.col(target).cast("double").alias("_t"), *features), ["_g"], [F.desc("_t"), F.xxhash64(*features)], list_size)
+    rows = materialize(VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(lists).select("_g", "_t", "_x", F.lit(0.0).alias("_s")), "ranker")
+
+    def gradient(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(_y=lambdas(frame["_s"].to_numpy(), frame["_t"].to_numpy(), k))[["_x", "_s", "_t", "_g", "_y"]]
+
+    trees, best, at = [], -1.0, 0
+    kinds = dict(rows.dtypes)
+    for i in range(rounds):
+        pulled = materialize(rows.withColumn("_x", vector_to_array("_x")).groupBy("_g").applyInPandas(gradient, f"_x array<double>, _s double, _t double, _g {kinds['_g']}, _y double"), "ranker-pull")
+        held = pulled.withColumn("_x", array_to_vector("_x"))
+        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_y", predictionCol="_leaf", maxDepth=depth, seed=1).fit(held)
+        trees.append(tree)
+        old, rows = rows, materialize(tree.transform(held).select("_g", "_t", "_x", (F.col("_s") + rate * F.col("_leaf")).alias("_s")), "ranker")
+        discard(old, pulled)
+        if vali is not None:
+            scored = BoostedRanker(features, trees, rate).score(vali).withColumn("_tie", F.xxhash64(*features))
+            now = metrics.ndcg(scored, [group], target, "score", "_tie", (k,)).agg(F.avg("ndcg")).first()[0] or 0.0
+            best, at = (now, i) if now > best else (best, at)
+            if i - at >= patience:
+                break
+    return BoostedRanker(features, trees[: at + 1] if vali is not None else trees, rate)
+
+
+def embedding_classifier(train: DataFrame, label: str, size: int, q: str = "q_mean", d: str = "d_mean", hidden: tuple[int, ...] = (64, 32), rounds: int = 50) -> PipelineModel:
+    """A perceptron over the mean word vectors of both sides and their distance, coordinate by coordinate."""
+    rows = embedding_inputs(train, size, q, d)
+    return mlp_classifier(rows, [c for c in rows.columns if c.startswith("_e")], label, hidden, rounds)
+
+
+def embedding_inputs(rows: DataFrame, size: int, q: str = "q_mean", d: str = "d_mean") -> DataFrame:
+    """Columns of both vectors and of their absolute difference; a missing vector counts as zero."""
+    at = lambda c, i: F.coalesce(F.get(c, i).cast("double"), F.lit(0.0))
+    return rows.select("*", *[x.alias(f"_e{n}_{i}") for i in range(size) for n, x in (("q", at(q, i)), ("d", at(d, i)), ("x", F.abs(at(q, i) - at(d, i))))])
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def linear_score(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
     total = sum((F.col(f).cast("double") * w for f, w in weights.items()), F.lit(0.0))
     return df.withColumn(out, total)
@@ -101,9 +200,15 @@ def ranker_query(spark, d) -> DataFrame:
     return linear_score(rows.where("held_out"), weights).select("doc_id", "source", "quality", F.round("score", 6).alias("score"))
 
 
+def boosted_ranker_query(spark, d) -> DataFrame:
+    rows = _labelled(spark, d)
+    model = boosted_ranker(rows.where("NOT held_out"), "source", FEATURES, "quality", rounds=4, depth=3, rate=0.5)
+    return model.score(rows.where("held_out")).select("doc_id", "source", "quality", F.round("score", 6).alias("score"))
+
+
 def neighbours_query(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(retrieval.ascii_terms(F.col("text")).alias("tokens"))
     return word_vectors(docs, size=32).findSynonyms("the", 10).select("word", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {"gbt_classifier": gbt_query, "mlp_classifier": mlp_query, "pairwise_ranker": ranker_query, "word2vec_neighbors": neighbours_query}
+QUERIES = {"gbt_classifier": gbt_query, "mlp_classifier": mlp_query, "pairwise_ranker": ranker_query, "boosted_ranker": boosted_ranker_query, "word2vec_neighbors": neighbours_query}

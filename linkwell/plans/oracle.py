@@ -57,6 +57,19 @@ def seeded_unit(seed: str, key: str) -> str:
     return f"('0x' || substr(md5('{seed}' || {key}), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
 
 
+def split(seed: str, rows: str, columns: str) -> str:
+    """Organisations sorted into test and train: several of one size by hash, those alone in their size one after the other."""
+    a, b = columns.split(", ")
+    return f"""sized AS (SELECT {a} || '/' || {b} AS org, count(*) AS n FROM {rows} GROUP BY 1),
+peered AS (SELECT org, n, count(*) OVER (PARTITION BY n) AS peers, row_number() OVER (PARTITION BY n ORDER BY {seeded_unit(seed, 'org')}, org) AS place FROM sized),
+lone AS (SELECT org, n, row_number() OVER (ORDER BY n) AS k FROM peered WHERE peers = 1),
+walk AS (
+  SELECT k, org, n, FALSE AS test, 0::BIGINT AS tested, n::BIGINT AS total FROM lone WHERE k = 1 UNION ALL
+  SELECT l.k, l.org, l.n, w.tested + l.n <= 0.1::DOUBLE * (w.total + l.n), (w.tested + CASE WHEN w.tested + l.n <= 0.1::DOUBLE * (w.total + l.n) THEN l.n ELSE 0 END)::BIGINT, (w.total + l.n)::BIGINT
+  FROM walk w JOIN lone l ON l.k = w.k + 1),
+done AS (SELECT org, n, place <= ceil(peers * 0.1::DOUBLE) AS test FROM peered WHERE peers > 1 UNION ALL SELECT org, n, test FROM walk)"""
+
+
 def gain(method: int, place: str) -> str:
     return f"target / log2({place} + 1)" if method == 1 else f"CASE WHEN {place} = 1 THEN target::DOUBLE ELSE target / log2(greatest({place}, 2)) END"
 
@@ -83,7 +96,7 @@ SELECT p_partkey, trim(p_name || ' ' || CASE WHEN regexp_replace(p_brand, 'Brand
     "count_scan": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "truth_unique_link": f"WITH {LINKS} SELECT * FROM links",
     "nullsafe_pair_join": """
-WITH r AS (SELECT l_orderkey AS qid, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS synid, l_partkey AS fid FROM lineitem WHERE l_linenumber = 1),
+WITH r AS (SELECT l_orderkey AS qid, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS synid, l_partkey AS fid FROM lineitem),
 o AS (SELECT DISTINCT qid, synid, qid % 7 AS org FROM r)
 SELECT r.qid, r.synid, fid, org FROM r JOIN o ON r.qid IS NOT DISTINCT FROM o.qid AND r.synid IS NOT DISTINCT FROM o.synid""",
     "array_explode_overlap": """
@@ -131,7 +144,48 @@ SELECT p_partkey AS id, {LATIN.format("n || CASE WHEN p_size < 30 THEN ' brand'
        length(p_type)::BIGINT AS "categoryId", k.name AS "categoryName", p_partkey::VARCHAR AS barcodes, NULL::VARCHAR AS source,
        {LATIN.format("lower(p_type)")} AS "unitName", {LATIN.format("lower(p_type) || ' ' || n")} AS synonyms
 FROM t JOIN k ON k.id = length(p_type)""",
-    "url_quote": "SELECT page_id, url_encode(url) AS quoted FROM pages",
+    "url_quote": "SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted FROM pages",
+    "analysed_terms": r"""
+WITH k AS (SELECT doc_id, [t for t in regexp_split_to_array(lower(text), '\s+') if length(t) BETWEEN 2 AND 100] AS kept FROM documents)
+SELECT doc_id, len(kept)::INT AS n_terms, md5(array_to_string(kept, ' ')) AS terms_md5 FROM k""",
+    "token_chunks": f"""
+WITH {DOCS}, t AS (SELECT id, (pos - 1) // 64 AS k, pos, term FROM (SELECT id, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS pos FROM docs))
+SELECT id AS doc_id, k::INT AS k, md5(string_agg(term, ' ' ORDER BY pos)) AS chunk_md5 FROM t GROUP BY id, k""",
+    "synonym_names": "SELECT p_partkey AS qid, CASE p_partkey % 3 WHEN 1 THEN p_partkey WHEN 2 THEN -1 END AS synid, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' ' || p_name END AS name FROM part",
+    "all_names": "SELECT p_partkey AS id, p_type || ' ' || p_name || '|' || reverse(p_name) AS names FROM part",
+    "lookup_existing": "SELECT s_suppkey, s_nationkey, (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_nationkey < 15) AS existing FROM supplier",
+    "known_words": """
+SELECT p_partkey, array_to_string([w for w in string_split(p_name, ' ') if w NOT LIKE 'b%'], ' ') AS known FROM part""",
+    "bm25_two_fields": f"""
+WITH docs AS (
+  SELECT p_partkey AS id, unnest(['name', 'synonyms']) AS field, unnest([5.0::DOUBLE, 1.0::DOUBLE]) AS boost,
+         unnest([string_split(lower(p_name || ' ' || p_brand), ' '), string_split(lower(p_type || ' ' || p_name), ' ')]) AS terms FROM part),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT min(p_partkey) AS qid, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS term FROM part GROUP BY p_name, p_type) GROUP BY ALL),
+p AS (SELECT id, field, boost, term, dl, count(*) AS tf FROM (SELECT id, field, boost, len(terms) AS dl, unnest(terms) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
+st AS (SELECT field, count(*) AS n, avg(len(terms)) AS mean FROM docs GROUP BY field),
+sc AS (
+  SELECT qid, id AS fid, round(sum(boost * qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / mean)))), 6) AS score
+  FROM q JOIN p USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL)
+SELECT qid, fid, score, ix::INT AS ix FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fid) - 1 AS ix FROM sc) WHERE ix < 20""",
+    "pair_dataset": f"""
+WITH {NAMES},
+t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM names) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM names),
+r AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN df USING (term), n),
+u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM r),
+dot AS (SELECT q_id, d_id, sum(x.w * y.w) AS dot FROM pairs JOIN u x ON x.id = q_id JOIN u y ON y.id = d_id AND y.term = x.term GROUP BY q_id, d_id),
+v AS (SELECT id, pos, [ascii(term) - 96, ascii(right(term, 1)) - 96, length(term)]::DOUBLE[] AS v FROM (SELECT id, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS pos FROM names) WHERE term NOT LIKE 'b%'),
+m AS (SELECT id, [avg(v[1]), avg(v[2]), avg(v[3])] AS m FROM v GROUP BY id),
+e AS (SELECT q_id, d_id, a.pos, min(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v))) AS least FROM pairs JOIN v a ON a.id = q_id JOIN v b ON b.id = d_id GROUP BY ALL),
+f AS (SELECT q_id, d_id, avg(least) AS f1, quantile_cont(least, 0.5) AS f2, stddev_pop(least) AS f3 FROM e GROUP BY ALL),
+g AS (SELECT q_id, d_id, 1 - list_dot_product(a.m, b.m) / sqrt(list_dot_product(a.m, a.m)) / sqrt(list_dot_product(b.m, b.m)) AS f0 FROM pairs JOIN m a ON a.id = q_id JOIN m b ON b.id = d_id),
+s AS (SELECT q_id, d_id, q, d, qn, dn, len(list_distinct(q)) AS a, len(list_distinct(d)) AS b, len(list_intersect(list_distinct(q), list_distinct(d))) AS c FROM pairs)
+SELECT s.q_id AS qid, NULL::BIGINT AS synid, s.d_id AS fid, ((s.q_id + s.d_id) % 2)::INT AS target, round(c / len(q), 6) AS score, (s.d_id % 20)::DOUBLE AS ix,
+       len(q)::DOUBLE AS q_len, len(d)::DOUBLE AS d_len, round(len(q) / len(d), 6) AS q_per_d, length(qn)::DOUBLE AS q_clen, length(dn)::DOUBLE AS d_clen, round(length(qn) / length(dn), 6) AS c_q_per_d,
+       round(c / (a + b - c), 6) AS jaccard_tok, round(2 * c / (a + b), 6) AS tversky_tok, round(c / least(a, b), 6) AS overlap_tok,
+       round(1 - coalesce(dot, 0), 6) AS tfidf0, round(coalesce(f0, -1), 6) AS fasttext0, round(coalesce(f1, -1), 6) AS fasttext1, round(coalesce(f2, -1), 6) AS fasttext2, round(coalesce(f3, -1), 6) AS fasttext3
+FROM s LEFT JOIN dot USING (q_id, d_id) LEFT JOIN f USING (q_id, d_id) LEFT JOIN g USING (q_id, d_id)""",
     "doc_freq": f"WITH {DOCS} SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY term",
     "term_freq": f"""
 WITH {DOCS}, p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY ALL)
@@ -147,7 +201,22 @@ SELECT n, round(c / t, 6) AS share, round(u / t, 6) AS recall FROM (SELECT i + 1
     "negatives_seeded": f"""
 WITH {LINKS}
 SELECT feed_id AS doc_id, TRUE AS matched FROM links UNION ALL
-(SELECT doc_id, FALSE FROM coded WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT feed_id FROM links) ORDER BY md5('s1' || doc_id) LIMIT 50)""",
+SELECT doc_id, FALSE FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY md5('s1' || doc_id)) AS k FROM coded WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT feed_id FROM links))
+WHERE k <= (SELECT count(*) FROM links)""",
+    "shuffled_rows": "SELECT c_custkey, row_number() OVER (ORDER BY md5('s2' || c_custkey), c_custkey) AS place FROM customer",
+    "positions_by_barcode": f"""
+WITH {BM25}, a AS (SELECT item_id AS qid, [length(text) % 97, item_id % 89 + 100] AS codes FROM benchmark), d AS (SELECT doc_id AS fid, [length(text) % 97, doc_id % 89 + 100] AS codes FROM documents),
+h AS (SELECT a.qid, min(CASE WHEN list_has_any(a.codes, d.codes) THEN ix END) AS i, count(bm.fid) AS n FROM a LEFT JOIN bm USING (qid) LEFT JOIN d USING (fid) GROUP BY a.qid)
+SELECT h.qid AS et_id, CASE WHEN i IS NOT NULL THEN bm.fid WHEN n > 0 THEN h.qid END AS el_id, coalesce(i, CASE WHEN n = 0 THEN -1 ELSE -2 END)::INT AS i
+FROM h LEFT JOIN bm ON bm.qid = h.qid AND bm.ix = h.i""",
+    "org_split": f"WITH RECURSIVE {split('split', 'documents', 'source, lang')} SELECT org, n, test FROM done",
+    "nested_split": f"""
+WITH RECURSIVE {split('test', 'documents', 'source, lang')},
+rest AS (SELECT * FROM documents WHERE source || '/' || lang NOT IN (SELECT org FROM done WHERE test)),
+{split('vali', 'rest', 'source, lang').replace('done', 'vdone').replace('sized', 'vsized').replace('peered', 'vpeered').replace('lone', 'vlone').replace('walk', 'vwalk')},
+p AS (SELECT CASE WHEN source || '/' || lang IN (SELECT org FROM done WHERE test) THEN 'test' WHEN source || '/' || lang IN (SELECT org FROM vdone WHERE test) THEN 'vali' ELSE 'train' END AS part FROM documents)
+SELECT t.part, count(p.part) AS n FROM (SELECT unnest(['train', 'vali', 'test']) AS part) t LEFT JOIN p USING (part) GROUP BY t.part""",
     "hash_split": f"SELECT doc_id, {seeded_unit('test', 'source')} < 0.1 AS test, {seeded_unit('vali', 'source')} < 0.1 AS vali FROM documents",
     "pair_noise_filter": f"""
 WITH {BM25}, {TRUTH}, {LABELLED}
@@ -184,7 +253,7 @@ dot AS (SELECT q, d, sum(x.w * y.w) AS dot FROM p JOIN u x ON x.id = q JOIN u y
 SELECT p.q, p.d, round(1 - coalesce(dot, 0), 6) AS distance FROM p LEFT JOIN dot ON p.q = dot.q AND p.d = dot.d""",
     "embedding_cosine_topk": """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-s AS (SELECT a.vec_id AS q, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine FROM e a, e b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id)
+s AS (SELECT a.vec_id AS q, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT q, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "embedding_pair_stats": """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
@@ -192,10 +261,10 @@ p AS (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e),
 m AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL) GROUP BY label)
 SELECT vec_id, round(1 - list_dot_product(v, m) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(m, m))), 6) AS distance FROM e JOIN m USING (label)""",
     "embedding_set_distances": """
-WITH e AS (SELECT vec_id, vec_id // 50 AS g, vec_id % 50 AS k, embedding::DOUBLE[] AS v FROM embeddings),
+WITH e AS (SELECT vec_id, vec_id // 50 AS g, embedding::DOUBLE[] AS v FROM embeddings),
 c AS (
   SELECT a.g, a.vec_id, min(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))) AS d
-  FROM e a JOIN e b ON b.g = a.g + 1 WHERE a.k < 3 AND b.k < 5 GROUP BY a.g, a.vec_id)
+  FROM e a JOIN e b ON b.g = a.g + 1 GROUP BY a.g, a.vec_id)
 SELECT g, round(avg(d), 6) AS mean_min, round(quantile_cont(d, 0.5), 6) AS median_min, round(stddev_pop(d), 6) AS std_min FROM c GROUP BY g""",
     "group_has_both": """
 WITH r AS (SELECT source AS qid, d.doc_id, toxic AS target FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
@@ -204,10 +273,10 @@ SELECT * FROM r WHERE qid IN (SELECT qid FROM r GROUP BY qid HAVING min(target)
 SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS quantity,
        round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER (), 6) AS price FROM lineitem""",
     "letor_rows": """
-WITH r AS (SELECT *, dense_rank() OVER (ORDER BY l_orderkey) AS g, (l_returnflag = 'R')::INT AS target FROM lineitem WHERE l_orderkey % 20 = 0)
+WITH r AS (SELECT *, dense_rank() OVER (ORDER BY l_orderkey) AS g, (l_returnflag = 'R')::INT AS target FROM lineitem)
 SELECT g AS group_no, l_linenumber, printf('%d qid:%d 1:%.6f 2:%.6f', target, g, l_quantity::DOUBLE, l_discount::DOUBLE) AS line FROM r""",
     "group_sizes": """
-WITH r AS (SELECT *, dense_rank() OVER (ORDER BY l_orderkey) AS g FROM lineitem WHERE l_orderkey % 20 = 0)
+WITH r AS (SELECT *, dense_rank() OVER (ORDER BY l_orderkey) AS g FROM lineitem)
 SELECT g AS group_no, count(*) AS n, sum((l_returnflag = 'R')::INT)::BIGINT AS positives FROM r GROUP BY g""",
     "list_truncate": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) WHERE k <= 3",
     "list_discards": "SELECT count(*) AS lists, sum(n)::BIGINT AS docs, sum(greatest(n - 3, 0))::BIGINT AS discarded FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)",
@@ -234,12 +303,17 @@ WITH {JUDGED}, b AS (SELECT prob AS threshold, sum(target) AS p, count(*) AS n F
 c AS (SELECT threshold, sum(p) OVER w / sum(n) OVER w AS precision, p / sum(p) OVER () AS step FROM b WINDOW w AS (ORDER BY threshold DESC))
 SELECT round(sum(step * precision), 6) AS ap FROM c""",
     "abstain_curve": f"""
-WITH {RANKED}, t AS (SELECT unnest([1, 2, 3, 5, 10, 20]) AS topn), h AS (SELECT unnest(range(0, 101)) / 100.0::DOUBLE AS threshold),
+WITH {BM25}, {TRUTH}, {LABELLED}, {RANKED}, t AS (SELECT unnest([1, 2, 3, 5, 10, 20]) AS topn), h AS (SELECT unnest(range(0, 101)) / 100.0::DOUBLE AS threshold),
 g AS (SELECT source, topn, max(prob) AS pmax, max(target) AS has, max(CASE WHEN rn <= topn THEN target ELSE 0 END) AS hit FROM ranked, t GROUP BY ALL),
 c AS (
   SELECT topn, threshold, count(*) FILTER (has = 1 AND hit = 1 AND pmax >= threshold) AS tp, count(*) FILTER (pmax >= threshold AND (has = 0 OR hit = 0)) AS fp,
-         count(*) FILTER (has = 0 AND pmax < threshold) AS tn, count(*) FILTER (has = 1 AND pmax < threshold) AS fn FROM g, h GROUP BY ALL)
-SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall FROM c""",
+         count(*) FILTER (has = 0 AND pmax < threshold) AS tn, count(*) FILTER (has = 1 AND pmax < threshold) AS fn FROM g, h GROUP BY ALL),
+scale AS (SELECT avg(CASE WHEN ix <> -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS scale FROM samples WHERE target = 1),
+p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS prec, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS rec FROM c)
+SELECT topn, threshold, tp, fp, tn, fn, round(prec, 6) AS precision, round(rec * scale, 6) AS recall, round(avg(prec) OVER (PARTITION BY topn), 6) AS mean_precision FROM p, scale""",
+    "error_sheet": f"""
+WITH {JUDGED} SELECT j.doc_id AS qid, j.doc_id AS fid, prob, target, CASE WHEN target = 0 THEN 1 ELSE 2 END AS error_type, d.source AS q, text AS d
+FROM judged j JOIN documents d ON j.doc_id = d.doc_id WHERE (target = 0 AND prob > 0.9) OR (target = 1 AND prob < 0.1)""",
     "type_errors": f"""
 WITH {JUDGED} SELECT doc_id, prob, target, CASE WHEN target = 0 THEN 1 ELSE 2 END AS error_type FROM judged WHERE (target = 0 AND prob > 0.9) OR (target = 1 AND prob < 0.1)""",
     "prob_histogram": f"""
@@ -252,6 +326,6 @@ WITH {JUDGED} SELECT count(prob) AS n, round(avg(prob), 6) AS mean, round(stddev
        round(quantile_cont(prob, 0.5), 6) AS q2, round(quantile_cont(prob, 0.75), 6) AS q3, max(prob) AS hi FROM judged""",
     "precision_at_cut": f"WITH {JUDGED} SELECT count(*) AS n, round(avg(target), 6) AS precision FROM judged WHERE prob > 0.8",
     "org_frequencies": "SELECT source, n, round(n / sum(n) OVER (), 6) AS freq FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) ORDER BY n DESC, source LIMIT 40",
-    "size_classes": "SELECT n, count(*) AS orgs, min(source) AS first FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) GROUP BY n",
-    "watch_list": f"WITH {JUDGED} SELECT j.source, j.doc_id, target, prob, substr(text, 1, 40) AS head FROM judged j JOIN documents d ON j.doc_id = d.doc_id",
+    "size_classes": "SELECT n, count(*) AS orgs, string_agg(source, ',' ORDER BY source) AS members FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) GROUP BY n",
+    "watch_list": f"WITH {JUDGED} SELECT j.source, j.doc_id, target, prob, text FROM judged j JOIN documents d ON j.doc_id = d.doc_id",
 }

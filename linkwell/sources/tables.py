@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwell.operators.ranking import letor_line, number_groups
+from linkwell.operators.sampling import parts
 
 
 def write_ranking(df: DataFrame, path: str, keys: list[str], target: str, features: list[str], order: list[str]) -> None:
@@ -59,3 +60,34 @@ def padded(df: DataFrame, column: str, size: int, fill) -> DataFrame:
     """The array column cut or filled to ``size``."""
     missing = F.greatest(F.lit(size) - F.size(column), F.lit(0))
     return df.withColumn(column, F.slice(F.concat(F.col(column), F.array_repeat(F.lit(fill), missing)), 1, size))
+
+
+def append_rows(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Add rows of named columns to a table; a table that has other columns raises."""
+    spark, rows = df.sparkSession, df.select(*columns)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        held = spark.read.parquet(path).dtypes
+        if held != rows.dtypes:
+            raise ValueError(f"{path} holds {held}, not {rows.dtypes}")
+    rows.write.mode("append").parquet(path)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame | None:
+    """The feature table at ``path``, or None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
+def write_records(samples: DataFrame, path: str, columns: list[str], files: int = 1) -> None:
+    """``path``/train, vali and test, as record files of the named columns (terms, term ids or vectors); see ``sampling.parts``."""
+    for name, part in zip(("train", "vali", "test"), parts(samples), strict=True):
+        part.select(*columns).repartition(files).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_records(spark: SparkSession, path: str, split: str, terms: dict[str, int] | None = None, fill=0) -> DataFrame:
+    """The records of one split, whose array columns in ``terms`` are cut or filled to a size."""
+    rows = spark.read.parquet(f"{path}/{split}")
+    for column, size in (terms or {}).items():
+        rows = padded(rows, column, size, fill)
+    return rows

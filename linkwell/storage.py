@@ -1,7 +1,7 @@
 """Tables of the driver's data folder, and scratch tables that every executor can read.
 
-Scratch lies below ``spark.checkpoint.dir``.  Only where that setting is absent (tests on one
-machine) a temporary folder takes its place.
+Scratch lies below ``spark.checkpoint.dir``.  Only where that setting is absent and the master is ``local`` (tests on
+one machine) a temporary folder takes its place; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="linkwell-")

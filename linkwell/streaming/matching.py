@@ -1,4 +1,4 @@
-"""Incremental matching: each micro-batch of queries is matched against the static index."""
+"""Incremental matching: each micro-batch of queries is matched against the stored index."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from linkwell.operators.retrieval import bm25_topk
+from linkwell.operators.retrieval import Index, search
 
 
-def match_stream(queries: DataFrame, docs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, n: int = 20, once: bool = False) -> StreamingQuery:
-    """Start a stream of (qid, terms) whose best ``n`` documents go to ``sink`` with the batch's number."""
+def match_stream(queries: DataFrame, index: Index, sink: Callable[[DataFrame, int], None], checkpoint: str, n: int = 20, boosts: dict[str, float] | None = None, once: bool = False) -> StreamingQuery:
+    """Start a stream of (qid, terms) whose best ``n`` documents of the index go to ``sink`` with the batch's number.
+
+    The index is built once, by ``build_index`` or ``open_index``; a batch reads its rows and the frequencies of its own terms.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         if not rows.isEmpty():
-            sink(bm25_topk(rows, docs, n), number)
+            sink(search(rows, index, n, boosts), number)
 
     writer = queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

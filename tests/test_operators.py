@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from linkwell.operators import entities, joins, metrics, ranking, sampling, vectors
+from linkwell.operators import entities, features, joins, metrics, ranking, sampling, scale, vectors
 from linkwell.plans import models
 
 
@@ -61,10 +61,13 @@ def test_abstention(spark):
     df = spark.createDataFrame([("A", 1, 0.9, 0), ("A", 2, 0.6, 1), ("B", 3, 0.4, 0)], "g string, id int, prob double, target int")
     got = {(r.topn, round(r.threshold, 2)): r for r in metrics.abstention_curve(df, ["g"], "target", "prob", "id", (1, 2)).collect()}
     assert len(got) == 202 and all(r.tp + r.fp + r.tn + r.fn == 2 for r in got.values())
-    assert got[1, 0.5][2:] == (0, 1, 1, 0, 0.0, None)
-    assert got[2, 0.5][2:] == (1, 0, 1, 0, 1.0, 1.0)
-    assert got[2, 0.95][2:] == (0, 0, 1, 1, 1.0, 0.0)
+    assert got[1, 0.5][2:8] == (0, 1, 1, 0, 0.0, None)
+    assert got[2, 0.5][2:8] == (1, 0, 1, 0, 1.0, 1.0)
+    assert got[2, 0.95][2:8] == (0, 0, 1, 1, 1.0, 0.0)
     assert got[2, 0.9].tp == 1 and got[2, 0.91].tp == 0
+    assert got[2, 0.3].mean_precision == pytest.approx(sum(r.precision for r in got.values() if r.topn == 2) / 101)
+    half = metrics.abstention_curve(df, ["g"], "target", "prob", "id", (2,), scale=spark.createDataFrame([(0.5,)], "s double"))
+    assert {round(r.threshold, 2): r.recall for r in half.collect()}[0.5] == 0.5
 
 
 def test_splits_keep_organisations_whole(spark):
@@ -77,6 +80,98 @@ def test_splits_keep_organisations_whole(spark):
     assert sampling.parts(data)[2].count() == 490
 
 
+def test_a_missing_organisation_stays_whole(spark):
+    data = spark.createDataFrame([(i, "a") for i in range(4)] + [(10 + i, None) for i in range(5)] + [(20 + i, "c") for i in range(60)], "id int, org string")
+    for seed in ("test", "split", "x", "y"):
+        split = {r.org: r.test for r in sampling.org_split(data, "org", 0.6, seed).collect()}
+        assert set(split) == {"a", None, "c"}
+    out = sampling.nested_split(data, "org", 0.6)
+    tested = {r.org for r in sampling.org_split(data, "org", 0.6, "test").where("test").collect()}
+    assert None in tested and out.count() == 69
+    assert {r.org for r in out.where("NOT train").collect()} == tested and out.where("org IS NULL AND train").isEmpty()
+
+
+def test_samples(spark):
+    matched, rest = spark.range(4).toDF("k"), spark.range(100, 150).toDF("k")
+    got = sampling.balanced(matched, rest, "k", "s").collect()
+    assert sum(r.matched for r in got) == 4 and sum(not r.matched for r in got) == 4
+    assert sorted(map(tuple, sampling.balanced(matched, rest.repartition(7), "k", "s").collect())) == sorted(map(tuple, got))
+    places = [r.place for r in sampling.shuffled(rest, F.col("k"), "s").orderBy("place").collect()]
+    assert places == list(range(1, 51))
+    asking = spark.createDataFrame([(1, None, [5, 6], 77), (2, 9, [7], 78), (3, None, [8], 79)], "qid long, synid long, barcodes array<long>, src_id long")
+    found = spark.createDataFrame([(1, None, 10, 0), (1, None, 11, 1), (2, 9, 10, 0)], "qid long, synid long, fid long, ix int")
+    codes = spark.createDataFrame([(10, [1]), (11, [6, 2])], "fid long, barcodes array<long>")
+    assert rows(sampling.barcode_positions(asking, found, codes), "et_id") == [(1, None, 11, 1), (2, 9, 78, -2), (3, None, None, -1)]
+
+
+def test_running_sums_and_skewed_joins(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i % 5) for i in range(101)], "k long, v long").repartition(6)
+    got = rows(scale.running(df, [F.desc("k")], {"s": F.col("v"), "n": F.lit(1).cast("long")}).select("k", "n", "s"), F.desc("k"))
+    held = {r.k: r.v for r in df.collect()}
+    assert got == [(100 - i, i + 1, sum(held[k] for k in range(100 - i, 101))) for i in range(101)]
+    left = spark.createDataFrame([(1, i) for i in range(5000)] + [(i, i) for i in range(2, 50)], "k long, x long")
+    right = left.where("k < 40").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("y", F.col("k") * 2)
+    assert scale.skewed_join(left, right, "k", "n").agg(F.count(F.lit(1)), F.sum("y")).first()[:] == (5038, 10000 + 2 * sum(range(2, 40)))
+    assert scale.skewed_join(left, right, "k", "n", "left").where("y IS NULL").count() == 10
+
+
+def test_feature_table(spark):
+    texts = spark.createDataFrame([(1, None, ["a", "b", "a"]), (2, 5, ["z"]), (3, None, [])], "qid long, synid long, tokens array<string>")
+    vectors_ = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "word string, vector array<double>")
+    assert [r.tokens for r in features.known_tokens(texts, ["qid", "synid"], vectors_).orderBy("qid").collect()] == [["a", "b", "a"], [], []]
+    q = features.token_vectors(texts, ["qid", "synid"], vectors_)
+    assert [r.vectors for r in q.orderBy("qid").collect()] == [[[1.0, 0.0], [0.0, 2.0], [1.0, 0.0]], [], []]
+    samples = spark.createDataFrame([(1, None, 7, 1, 0.5, 0, ["a", "b"], ["a"]), (1, None, 7, 1, 0.1, 3, ["a", "b"], ["a"]), (2, 5, 7, 0, 0.2, 1, ["z"], ["a"])], "qid long, synid long, fid long, target int, score double, ix int, q_terms array<string>, d_terms array<string>")
+    d = spark.createDataFrame([(7, [[1.0, 0.0]])], "fid long, vectors array<array<double>>")
+    weights = vectors.tfidf(spark.createDataFrame([(1, ["a", "b"]), (7, ["a"])], "id long, terms array<string>"))
+    side = weights.where("id = 1").select(F.col("id").alias("qid"), F.lit(None).cast("long").alias("synid"), "words", "weights")
+    out = features.pair_dataset(samples, [features.vector_distances(samples, q, d), features.tfidf_distances(samples, side, weights.withColumnRenamed("id", "fid"))]).orderBy("qid").collect()
+    assert len(out) == 2 and out[0].score == 0.5 and out[0].ix == 0
+    assert out[0].fasttext0 == pytest.approx(1 - 2 / math.sqrt(8)) and [out[0].fasttext1, out[0].fasttext2] == pytest.approx([1 / 3, 0])
+    assert [out[1][f"fasttext{i}"] for i in range(4)] == [-1, -1, -1, -1] and out[1].tfidf0 == 0.5 and out[0].lvn_1 == 0.5
+    pred = features.with_predictions(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(2, 0.7)], "id long, prob double"))
+    assert rows(pred, "id") == [(1, None), (2, 0.7)]
+    product = "id long, name string, description string, synonyms array<struct<id:long,name:string>>, mistypes array<struct<name:string>>"
+    feed = spark.createDataFrame([(1, "a b", None, [(4, "c")], None), (2, "gone", None, None, None)], product)
+    master = spark.createDataFrame([(2, "m", "d e", None, [("x",)])], product)
+    held_out = spark.createDataFrame([(2,)], "qid long")
+    got = features.training_sentences(feed, master, held_out, lambda t: F.split(t, " ")).collect()
+    assert sorted(" ".join(r.words) for r in got) == ["a b", "c", "d e", "m", "x"]
+    assert [r.all_names for r in entities.joined_names(feed).orderBy("id").collect()] == [["c"], []]
+
+
+def test_boosted_ranker(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    score, target = r.normal(size=12), r.integers(0, 3, 12).astype(float)
+    pull = models.lambdas(score, target, 12)
+    assert pull.sum() == pytest.approx(0) and pull[target == 2].mean() > pull[target == 0].mean() and not models.lambdas(score, target * 0).any()
+    data = [(int(g), float(x), float(y), int(x * x + y > 1.2)) for g in range(40) for x, y in r.random((12, 2))]
+    df = spark.createDataFrame(data, "g int, x double, y double, t int")
+    model = models.boosted_ranker(df.where("g < 30"), "g", ["x", "y"], "t", rounds=6, depth=4, rate=0.5)
+    quality = lambda m: metrics.ndcg(m.score(df.where("g >= 30")).withColumn("i", F.xxhash64("x", "y")), ["g"], "t", "score", "i", (10,)).agg(F.avg("ndcg")).first()[0]
+    assert quality(model) > 0.93
+    model.save(str(tmp_path / "ranker"))
+    assert quality(models.BoostedRanker.load(str(tmp_path / "ranker"))) == pytest.approx(quality(model))
+
+
+def test_embedding_classifier(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    data = []
+    for i in range(300):
+        a = [r.random() for _ in range(3)]
+        same = i % 2
+        data.append((a if i else None, [x + r.gauss(0, 0.02) if same else r.random() for x in a], same))
+    df = spark.createDataFrame(data, "q_mean array<double>, d_mean array<double>, y int")
+    model = models.embedding_classifier(df, "y", 3, hidden=(8,), rounds=80)
+    models.save_model(model, str(tmp_path / "m"))
+    got = models.load_model(str(tmp_path / "m")).transform(models.embedding_inputs(df, 3)).where("prediction = y").count()
+    assert got > 240
+
+
 def test_entities(spark):
     products = spark.createDataFrame(
         [(1, "Сок", "{Org A|x", [(7, "Сок яблочный", "{Org B|y"), (8, "Сок", "merged with master")]), (2, "Чай", "{Org A", []), (3, " ", "{Org A", [])],
@@ -86,6 +181,12 @@ def test_entities(spark):
     assert rows(entities.organisations(products).where("qid = 1"), "synid") == [(1, None, "Org A"), (1, 7, "Org B"), (1, 8, "Org A")]
     pairs = spark.createDataFrame([(["a"], ["a"], 0), (["a"], ["a"], 1), ([], ["a"], 1), (["a"], ["b"], 0)], "q_terms array<string>, d_terms array<string>, target int")
     assert entities.without_noise(pairs).count() == 2
+    asked = spark.createDataFrame([(1, 7), (1, None), (1, 99), (5, 1)], "qid long, synid long")
+    assert rows(entities.synonym_name(asked, products), "qid", "synid") == [(1, None, "Сок"), (1, 7, "Сок яблочный"), (1, 99, None), (5, 1, None)]
+    placed = spark.createDataFrame([(1, 0), (1, -1), (2, 3)], "qid long, ix int")
+    assert rows(entities.with_existing(placed), "qid") == [(2, 3)]
+    links = spark.createDataFrame([(1, 50), (1, 40), (None, 9)], "f long, m long")
+    assert rows(joins.lookup_link(spark.createDataFrame([(1,), (2,), (None,)], "id long"), "id", links, "f", "m", "existing"), F.col("id").asc_nulls_last()) == [(1, 40), (2, None), (None, None)]
 
 
 def test_lookups(spark):
