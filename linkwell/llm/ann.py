@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.llm.batches import bounded
+from linkwell.operators.scale import skewed_join
 from linkwell.storage import discard, materialize
 
 
@@ -574,11 +575,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     top = scored.withColumn("place", rank("rep", F.desc("score"), "vec_id")).where(F.col("place") <= k + 1)
     answers = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
     answers = materialize(asked.join(answers, "rep").select(F.col("a").alias("v"), "rows", "best"), "ann-answers")
-    # at most 1000 vectors can be those of more than a thousandth of the queries: they are broadcast, for no task to hold all of a vector's rows
-    common = answers.agg(F.sum("rows")).first()[0] or 0
-    hot, cold = F.col("rows") > common / 1000, F.col("rows") <= common / 1000
-    often = F.broadcast(answers.where(hot).select("v", "best"))
-    told = asking.join(often, "v").unionByName(asking.join(often.select("v"), "v", "left_anti").join(answers.where(cold).select("v", "best"), "v"))
+    told = skewed_join(asking, answers, "v", "rows")
     others = told.select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     out = others.select("query_id", F.posexplode("best").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

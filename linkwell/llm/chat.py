@@ -64,15 +64,22 @@ def read_chunk(chunk: str) -> tuple[str, str]:
 def events_of(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """A log of (conv_id, turn, role, text) rows, as if each message had been streamed in pieces.
 
-    Rows of one turn keep apart; they are ordered by role and text.  Null texts give no pieces.
+    By a hash of its text a message is streamed plainly, or after a draft that is regenerated, or after a
+    draft that is edited into the message's first piece.  Rows of one turn keep apart; they are ordered by role
+    and the md5 of their text.  Null texts give no pieces, texts of any length as many as they need; repeated rows stay
+    repeated, and an empty table gives no events.
     """
     rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
-    seq = lambda k: F.struct("turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "row", k.alias("k"))
-    pieces = rows.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / piece).cast("int"))).alias("k"))
-    return pieces.select(
-        "conv_id", "turn", seq(F.col("k")).alias("seq"), F.when(F.col("k") == 0, "start").otherwise("delta").alias("kind"), "role",
-        F.when(F.col("k") > 0, F.expr(f"substring(text, (k - 1) * {piece} + 1, {piece})")).alias("text"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("pieces", F.ceil(F.coalesce(F.length("text"), F.lit(0)) / piece))
+    way = F.pmod(F.xxhash64("text"), F.lit(3))  # 0: plain, 1: regenerated, 2: edited
+    rows = rows.withColumn("way", way).withColumn("before", F.when(way == 0, 0).otherwise(2)).withColumn("edited", F.least((way == 2).cast("long"), F.col("pieces")))
+    seq = F.struct("turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "row", "k")
+    each = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("before") + F.col("pieces") - F.col("edited"))).alias("k"))
+    draft, changed = (F.col("k") == 1) & (F.col("way") > 0), (F.col("k") == 2) & (F.col("way") > 0)
+    kind = F.when(F.col("k") == 0, "start").when(changed & (F.col("way") == 1), "regenerate").when(changed, "edit").otherwise("delta")
+    nth = lambda i: F.call_function("substring", F.col("text"), ((i - 1) * piece + 1).cast("int"), F.lit(piece))
+    text = F.when(draft, F.lit("draft </s> ")).when(changed & (F.col("way") == 2), nth(F.lit(1))).when((F.col("k") > F.col("before")), nth(F.col("k") - F.col("before") + F.col("edited")))
+    return each.select("conv_id", "turn", seq.alias("seq"), kind.alias("kind"), "role", text.alias("text"))
 
 
 def format_events(events: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -81,14 +88,17 @@ def format_events(events: DataFrame, block: int = BLOCK) -> DataFrame:
     A conversation's formatted text is its chunks by block (null first) and place.  A turn may have
     several messages: each ``start`` opens one, and later events of the turn change the newest.  An
     event before any ``start`` of its turn opens a message with its own role.  Null roles and texts
-    count as empty, unknown kinds raise.  Null conversations and turns form groups of their own.
-    An empty log gives no chunks; other columns are ignored.
+    count as empty, unknown kinds raise.  Null conversations and turns form groups of their own.  Ids may be of any type
+    that can be sorted.  Events of equal ``seq`` are taken in any order.  Messages of any length are folded whole, one block of
+    turns at a time.  An empty log gives no chunks; other columns are ignored.
     """
     log = events.select("conv_id", F.floor(F.col("turn") / block).alias("block"), "turn", "seq", "kind", "role", "text")
     log = log.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "seq").drop("seq")
     kind = dict(log.dtypes)["conv_id"]
     schema = f"conv_id {kind}, block long, place int, chunk string, loss_start int, loss_chars int"
-    types = pa.schema([("conv_id", log_type(kind)), ("block", pa.int64()), ("place", pa.int32()), ("chunk", pa.string()), ("loss_start", pa.int32()), ("loss_chars", pa.int32())])
+
+    def types(batch: pa.RecordBatch) -> pa.Schema:
+        return pa.schema([("conv_id", batch.schema.field(0).type), ("block", pa.int64()), ("place", pa.int32()), ("chunk", pa.string()), ("loss_start", pa.int32()), ("loss_chars", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, messages, newest = None, [], {}
@@ -118,25 +128,28 @@ def format_events(events: DataFrame, block: int = BLOCK) -> DataFrame:
                 else:
                     raise ValueError(f"unknown event {what!r}")
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(types.names, x, strict=True)) for x in out], schema=types)
+                yield _batch(out, types(batch))
         if key is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(types.names, x, strict=True)) for x in chunks()], schema=types)
+            yield _batch(chunks(), types(batch))
 
     return bounded(log).mapInArrow(run, schema)
 
 
-def log_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def _batch(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(types.names, x, strict=True)) for x in rows], schema=types)
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
     """One row per conversation, from its formatted text alone: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars.  The digests are fed chunk by chunk, so memory holds one chunk.
+    loss_sha256, formatted_chars.  The digests are fed chunk by chunk, so memory holds one chunk; a digest is sequential,
+    so the chunks of a conversation pass through one task.  No chunks give no rows.
     """
     kind = dict(chunks.dtypes)["conv_id"]
     rows = chunks.select("conv_id", "block", "place", "chunk", "loss_start", "loss_chars").repartition("conv_id").sortWithinPartitions("conv_id", "block", "place")
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    types = pa.schema([("conv_id", log_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+    def types(batch: pa.RecordBatch) -> pa.Schema:
+        return pa.schema([("conv_id", batch.schema.field(0).type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None  # conversation, turns, digest, masked code points, digest, code points
@@ -160,8 +173,8 @@ def read_back(chunks: DataFrame) -> DataFrame:
                 state[4].update(masked.encode())
                 state[5] += len(chunk)
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(types.names, x, strict=True)) for x in out], schema=types)
+                yield _batch(out, types(batch))
         if state is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(types.names, row(), strict=True))], schema=types)
+            yield _batch([row()], types(batch))
 
     return bounded(rows).mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""Exact de-duplication that no hot text can overload.
+"""Groups of exact copies, found so that no hot text can overload a task.
 
 1. Local: Spark's partial aggregation folds equal texts inside each input partition.
 2. Salted: the survivors are grouped by (digest, salt, text); a text with a third of all rows
@@ -24,20 +24,20 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
+def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
     """One row for every input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty.  Of equal texts the largest id stays.
     A null id loses against any other; if all ids of a group are null, keep_id is null and its rows
     count as kept.  Rows that repeat both id and text are the same document: each of them counts in
-    group_size and reports the same ``kept``.  An empty table gives no rows; other columns of the
-    input are ignored, whatever their names.
+    group_size and reports the same ``kept``.  Texts of any length are read and compared whole, in the JVM.  An empty
+    table gives no rows; other columns of the input are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "doc_id", "text", F.encode(digest(F.col("text")), "UTF-8").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     salted = rows.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     whole = salted.groupBy("digest", "text").agg(F.max("winner").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
-    groups = materialize(whole.select("digest", F.xxhash64("text").alias("probe"), "keep_id", "group_size", "salts"), "exact-groups")
+    groups = materialize(whole.select("digest", "keep_id", "group_size", "salts"), "exact-groups")
     ambiguous = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
     by_salt = groups.select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size")
     lean = rows.select("doc_id", "digest", "salt", F.sha2("text", 256).alias("text_sha256"))
@@ -55,9 +55,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input's rows whose text is kept, with all their columns.
 
     A row is judged by its id and text, so a repeated id with another text is judged alone.  Of rows
-    that repeat both, one stays.
+    that repeat both, one stays.  Nulls, long texts and empty tables are treated as in ``exact_copies``.
     """
-    verdict = materialize(exact_dedup(docs, id_col, text_col, salts).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "exact-verdict")
+    verdict = materialize(exact_copies(docs, id_col, text_col, salts).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "exact-verdict")
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     left = without(docs, docs[id_col], sha, verdict.where(~F.col("kept")).select("_id", "_sha").distinct())
     repeated = verdict.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -34,7 +34,11 @@ _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label|style)\s*=\s*
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Element names of HTML, by how they are read (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg math iframe object canvas video audio head title xmp noframes".split())
+RAW = frozenset("script style template head title desc metadata annotation annotation-xml".split())
+#: Read as text, marks included.
+LITERAL = frozenset(("xmp", "plaintext", "listing"))
+#: Nodes even without attributes, as what they hold may stand in for something else.
+STANDS_IN = frozenset("noscript iframe object canvas video audio noframes noembed svg".split())
 BLOCK = frozenset("html body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary center hr dialog menu hgroup search select textarea".split())
 #: What an opening tag closes, if it is open inside the given boundary (fixed values).
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": ((), ())}
@@ -109,6 +113,12 @@ def parse(text: str) -> Page:
             if (k := newest((name,))) > least:
                 pop(k)
             continue
+        if name in LITERAL:
+            end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+            block += 1
+            add(html.escape(text[at : end.start() if end else n], quote=False))
+            block, at = block + 1, end.end() if end else n
+            continue
         if name in RAW:
             if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at) or (name == "head" and re.compile(r"<body[\s>]", re.I).search(text, at))
@@ -130,7 +140,7 @@ def parse(text: str) -> Page:
         if name in CLOSES and name in ENDS_P and (k := newest(("p",))) > (holding[-1] if holding else 0):
             pop(k)
         holder, tokens = stack[-1][1], attribute_tokens(attributes)
-        if name in BLOCK or tokens:
+        if name in BLOCK or name in STANDS_IN or tokens:
             holder = page.node(name, holder, tokens)
         if name in ("input", "button", "select", "textarea", "option"):
             page.controls[holder] += 1
@@ -226,15 +236,15 @@ def decode(page: Page, logits: np.ndarray) -> list[bool]:
 
 
 def render(page: Page, keep: list[bool]) -> str:
-    """Kept blocks in page order: references decoded, white space as one space, one line each."""
+    """Kept blocks in page order, one line each: white space as one space, references decoded, each within its run of text."""
     lines, now, parts = [], -1, []
     for node, block, run, _ in [*page.runs, (0, -2, "", False)]:
         if block != now:
-            if line := " ".join(html.unescape("".join(parts)).split()):
+            if line := " ".join("".join(parts).split()):
                 lines.append(line)
             now, parts = block, []
         if keep[node]:
-            parts.append(run)
+            parts.append(html.unescape(run))
     return "\n".join(lines)
 
 
@@ -320,12 +330,20 @@ def training_pages(number: int, seed: int = 11) -> Iterator[str]:
     def share() -> str:
         return f"<div{attr('share social sharing tools byline meta author date tags')}>{r.choice((' '.join(link() for _ in range(3)), words(2, 5)))}</div>"
 
+    def stand_in() -> str:
+        t = r.choice(("video", "audio", "object", "iframe", "canvas", "noframes", "noscript", "noscript"))
+        return f"<{t}>" + r.choice(("{}", "<p>{}</p>")).format(sentence(3, 9) + r.choice(("", link()))) + f"</{t}>"
+
     def paragraph() -> str:
         body = " ".join(sentence() for _ in range(r.choice((1, 1, 2, 3, 5, 9))))
         if r.random() < 0.08:
             body = words(1, 2) + "."
         if r.random() < 0.15:
             body = body.replace(" ", f" <{(t := r.choice(('b', 'i', 'em', 'a href=/x', 'strong', 'span')))}>", 1) + f"</{t.split()[0]}>"
+        if r.random() < 0.05:
+            body += f" <math><mi>{word()[0]}</mi> = <mn>{r.randint(2, 99)}</mn></math> {sentence()}"
+        if r.random() < 0.05:
+            body += f" <noscript>{sentence()}</noscript> {sentence()}"
         kind = r.random()
         if kind < 0.72:
             return f"<p>{MARK}{body}</p>"
@@ -347,13 +365,13 @@ def training_pages(number: int, seed: int = 11) -> Iterator[str]:
             elif k < 0.17:
                 parts.append(f"<blockquote>{r.choice(('', '<p>'))}{MARK}{sentence()}</blockquote>")
             elif k < 0.19:
-                parts.append(f"<pre>{MARK}{sentence()}</pre>")
+                parts.append(r.choice((f"<pre>{MARK}{sentence()}</pre>", f"<xmp>{MARK}{sentence()}</xmp>", f"<noscript>{MARK}{sentence()}</noscript>")))
             elif k < 0.22:
                 parts.append(f"<figure><img src=x.png><figcaption>{MARK}{sentence()}</figcaption></figure>")
             elif k < 0.25:
                 parts.append("<table>" + "".join(f"<tr><td>{MARK}{words(1, 3)}<td>{MARK}{words(1, 3)}</tr>" for _ in range(3)) + "</table>")
             elif k < 0.33:
-                parts.append(r.choice((advert, share, side, notice, form))())
+                parts.append(r.choice((advert, share, side, notice, form, stand_in))())
         if not parts:
             parts = [paragraph()]
         inner = "".join(parts) + (comments() if r.random() < 0.12 else "") + (share() if r.random() < 0.1 else "")
@@ -369,13 +387,15 @@ def training_pages(number: int, seed: int = 11) -> Iterator[str]:
         return f"{MARK}{sentence()}<br>{sentence()}" + inner
 
     for _ in range(number):
-        before = [f() for f in r.sample((menu, header, advert, notice, form, side), r.randint(0, 4))]
+        before = [f() for f in r.sample((menu, header, advert, notice, form, side, stand_in), r.randint(0, 4))]
         after = [f() for f in r.sample((comments, side, advert, notice, form, menu, share), r.randint(0, 3))] + ([footer()] if r.random() < 0.75 else [])
         main = article()
         if r.random() < 0.3:
             main = f"<div{maybe('wrapper container page layout row', 0.6)}>{main}{side() if r.random() < 0.4 else ''}</div>"
         if r.random() < 0.1:
             main = f"<table><tr><td>{menu()}<td>{main}</table>"
+        if r.random() < 0.35:
+            before.insert(r.randint(0, len(before)), f"<noscript>{sentence(3, 12)}</noscript>")
         inner = "".join(before) + main + "".join(after)
         if r.random() < 0.2:
             inner = f"<div{maybe('wrapper container page site', 0.6)}>{inner}</div>"

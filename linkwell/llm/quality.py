@@ -3,7 +3,11 @@
 A bounded sample of labelled texts gives a vocabulary, its inverse document frequencies and a
 truncated singular value decomposition; the labelled vectors are broadcast.  Every document is
 projected, and blocks of documents are multiplied with all labelled vectors, so cosines are exact.
-The nearest ones vote for their label with a weight that grows with their similarity.
+The nearest ones vote for their label with a weight that grows with their similarity; those as near as the last
+of them vote too.
+
+Training takes a bounded number of labelled rows, whole texts of any length.  The texts stay on the executors, which
+count terms and then send the driver each document's counts of the chosen terms.
 
 Terms are words, and signs of a text's shape: marks that stick to words or stand alone, letter case,
 immediate repetitions.
@@ -24,22 +28,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwell.llm.batches import bounded, kept
+from linkwell.llm.labelled import sample_rows
+from linkwell.storage import discard, materialize
 
+_RUN = re.compile(r"(.)\1+", re.S)
 _EDGE = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: most labelled rows used; ``longest``: code points of the longest text among them.
-    ``block``: documents multiplied at once.  ``remembered``: most tokens kept in a projector's table."""
+    """``sample``: most labelled rows used; ``words``, ``signs``: most terms kept of each kind, each in at least ``seen`` texts.
+    ``size``: axes of the latent space.  ``digits``: decimals at which cosines count as equal.  ``block``: documents multiplied at once.  ``remembered``: most tokens kept in a projector's table."""
 
     sample: int = 4000
-    longest: int = 200_000
     words: int = 2000
     signs: int = 400
     seen: int = 3
     size: int = 32
     neighbours: int = 15
+    digits: int = 9
     sharpness: float = 4.0
     sign_weight: float = 3.0
     block: int = 256
@@ -47,11 +54,11 @@ class Settings:
 
 
 def token_terms(token: str) -> tuple[str, ...]:
-    """The terms of a token: its word, its marks, its case.  Terms that aren't words begin with \\0."""
+    """The terms of a token: its word, its marks (a run of one mark as two), its case.  Terms that aren't words begin with \\0."""
     before, word, after = _EDGE.match(token).groups()
     terms = [word.lower()] if word else []
     if marks := before + after:
-        terms.append("\0" + marks[-4:])
+        terms.append("\0" + _RUN.sub(r"\1\1", marks))
     if len(word) > 1 and word.isupper():
         terms.append("\0upper")
     if any(c.isdigit() for c in word):
@@ -65,6 +72,18 @@ def counts(text: str) -> tuple[Counter, int]:
     return Counter(tokens), sum(map(eq, tokens, tokens[1:]))
 
 
+def bag_of(text: str) -> Counter:
+    """A text's terms with their numbers."""
+    tokens, repeats = counts(text)
+    bag: Counter = Counter()
+    for t, c in tokens.items():
+        for x in token_terms(t):
+            bag[x] += c
+    if repeats:
+        bag["\0repeat"] = repeats
+    return bag
+
+
 @dataclass
 class Model:
     """What is sent to the executors; its size is bounded by the settings."""
@@ -76,9 +95,15 @@ class Model:
     labels: np.ndarray
     settings: Settings
 
+    def project(self, ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The latent vector of counts of terms, in double precision; zero without terms."""
+        out = (np.log1p(number) * self.idf[ids]) @ self.axes[ids]
+        size = np.linalg.norm(out)
+        return out / size if size > 0 else out
+
     def vectorise(self, texts: list[str]) -> np.ndarray:
         """Unit rows of the latent space; a text without known terms has a zero row."""
-        out = np.zeros((len(texts), self.axes.shape[1]), np.float32)
+        out = np.zeros((len(texts), self.axes.shape[1]))
         known = self.__dict__.setdefault("known", {})
         for i, text in enumerate(texts):
             tokens, repeats = counts(text)
@@ -99,10 +124,8 @@ class Model:
                 n.append(repeats)
             if ids:
                 place, back = np.unique(ids, return_inverse=True)
-                row = np.log1p(np.bincount(back, n)).astype(np.float32) * self.idf[place]
-                out[i] = row @ self.axes[place]
-        size = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(size > 0, size, 1)
+                out[i] = self.project(place, np.bincount(back, n))
+        return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The weighted share of label 1 among the nearest labelled vectors, 0 to 1."""
@@ -114,36 +137,22 @@ class Model:
             if not len(self.labels):
                 out[k : k + len(block)] = prior
                 continue
-            cosine = self.vectorise(block) @ self.vectors.T
+            cosine = np.round(self.vectorise(block) @ self.vectors.T, s.digits)
             m = min(s.neighbours, len(self.labels))
-            near = np.argpartition(-cosine, m - 1, axis=1)[:, :m]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** s.sharpness
+            # all that are as near as the m-th
+            near = cosine >= np.partition(cosine, -m, axis=1)[:, [-m]]
+            weight = np.where(near, np.maximum(cosine, 0), 0) ** s.sharpness
             total = weight.sum(1)
-            out[k : k + len(block)] = np.where(total > 1e-9, (weight * self.labels[near]).sum(1) / np.where(total > 1e-9, total, 1), prior)
+            out[k : k + len(block)] = np.where(total > 1e-9, weight @ self.labels / np.where(total > 1e-9, total, 1), prior)
         return np.clip(out, 0, 1)
 
 
-def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
-    s, found = settings, [counts(t) for t in texts]
-    bags = []
-    for tokens, repeats in found:
-        bag: Counter = Counter()
-        for t, c in tokens.items():
-            for x in token_terms(t):
-                bag[x] += c
-        if repeats:
-            bag["\0repeat"] = repeats
-        bags.append(bag)
-    df = Counter(x for bag in bags for x in bag)
-    common = lambda signs, most: [x for x, n in sorted(df.items(), key=lambda p: (-p[1], p[0])) if n >= s.seen and (x[0] == "\0") == signs][:most]
-    chosen = common(False, s.words) + common(True, s.signs)
-    terms = {x: i for i, x in enumerate(chosen)}
-    idf = np.array([np.log(1 + len(bags) / df[x]) * (s.sign_weight if x[0] == "\0" else 1) for x in chosen], np.float32)
-    a = np.zeros((len(bags), len(terms)), np.float32)
-    for i, bag in enumerate(bags):
-        for x, c in bag.items():
-            if (j := terms.get(x)) is not None:
-                a[i, j] = np.log1p(c) * idf[j]
+def solve(names: list[str], df: list[int], rows: list[tuple[int, list[int], list[int]]], s: Settings) -> Model:
+    """The model of chosen terms, the numbers of texts that hold them, and (label, term places, counts) of each text."""
+    idf = np.array([np.log(1 + len(rows) / n) * (s.sign_weight if x[0] == "\0" else 1) for x, n in zip(names, df, strict=True)])
+    a = np.zeros((len(rows), len(names)), np.float32)
+    for i, (_, ids, number) in enumerate(rows):
+        a[i, ids] = np.log1p(number) * idf[ids] if len(ids) else 0
     size = np.linalg.norm(a, axis=1, keepdims=True)
     a /= np.where(size > 0, size, 1)
     k = min(s.size, *a.shape) if a.size else 0
@@ -151,23 +160,60 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     q = np.random.default_rng(7).standard_normal((a.shape[1], k + min(16, a.shape[1] - k))).astype(np.float32) if k else np.zeros((a.shape[1], 0), np.float32)
     for _ in range(5 if k else 0):
         q = np.linalg.qr(a.T @ (a @ np.linalg.qr(q)[0]))[0]
-    axes = (q @ np.linalg.svd(a @ q, full_matrices=False)[2].T)[:, :k].astype(np.float32) if k else q
-    model = Model(terms, idf, np.ascontiguousarray(axes), np.zeros((0, k), np.float32), np.zeros(0), s)
-    model.vectors, model.labels = model.vectorise(texts), np.array(labels, np.float64)
-    model.__dict__.pop("known", None)
+    axes = (q @ np.linalg.svd(a @ q, full_matrices=False)[2].T)[:, :k] if k else q
+    model = Model({x: i for i, x in enumerate(names)}, idf, np.ascontiguousarray(axes, np.float64), np.zeros((0, k)), np.array([y for y, _, _ in rows], np.float64), s)
+    model.vectors = np.stack([model.project(np.array(ids, np.int64), np.array(number)) for _, ids, number in rows]) if rows else model.vectors
     return model
 
 
+def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
+    """A model of whole texts and their labels, on one machine."""
+    s, bags = settings, [bag_of(t) for t in texts]
+    df = Counter(x for bag in bags for x in bag)
+    common = lambda signs, most: [x for x, n in sorted(df.items(), key=lambda p: (-p[1], p[0])) if n >= s.seen and (x[0] == "\0") == signs][:most]
+    names = common(False, s.words) + common(True, s.signs)
+    place = {x: i for i, x in enumerate(names)}
+    rows = []
+    for y, bag in zip(labels, bags, strict=True):
+        held = sorted((place[x], c) for x, c in bag.items() if x in place)
+        rows.append((y, [i for i, _ in held], [c for _, c in held]))
+    return solve(names, [df[x] for x in names], rows, s)
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``settings.sample`` labelled rows for which ``allowed`` (of doc_id) holds, those with
-    the smallest hash of their id, so that reruns agree.  Null labels are left out; of several
-    labels of one id the smallest counts.
+    """Fit on at most ``settings.sample`` labelled rows for which ``allowed`` (of doc_id) holds; see ``sample_rows``.
+
+    Of several labels of one id the smallest counts.  Null texts count as empty.
     """
-    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & allowed)
-    chosen = chosen.groupBy("doc_id").agg(F.min("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= settings.longest)
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
-    return fit(found["text"].to_pylist(), found["y"].to_pylist(), settings)
+    s = settings
+    rows = sample_rows(docs, labels, allowed, s.sample, F.min, id_col, text_col, label_col)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                df.update(bag_of(text).keys())
+        names = sorted(df)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([df[x] for x in names], pa.int64())], ["term", "df"])
+
+    terms = bounded(rows.select("text")).mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") >= s.seen)
+    terms = materialize(terms, "quality-terms")
+    sign = F.ascii("term") == 0
+    chosen = [r for signs, most in ((False, s.words), (True, s.signs)) for r in terms.where(sign == signs).orderBy(F.desc("df"), "term").limit(most).collect()]
+    names, df = [r["term"] for r in chosen], [r["df"] for r in chosen]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: i for i, x in enumerate(names)}
+        for batch in batches:
+            found = [sorted((place[x], c) for x, c in bag_of(t).items() if x in place) for t in batch.column(3).to_pylist()]
+            columns = (pa.array([[x[j] for x in row] for row in found], pa.list_(pa.int64())) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "sha", "y", "ids", "number"])
+
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, sha string, y int, ids array<long>, number array<long>"
+    found = bounded(rows).mapInArrow(read, schema).toArrow().sort_by([("doc_id", "ascending"), ("sha", "ascending")])
+    model = solve(names, df, list(zip(*(found[c].to_pylist() for c in ("y", "ids", "number")), strict=True)), s)
+    discard(rows, terms)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import ann, chat, exact_dedup, html_extract, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from linkwell.llm import ann, chat, exact_copies, html_extract, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from linkwell.storage import scratch_path, table
 
 #: Operator 9: parts of 128 MB, made from eight arrivals.
@@ -57,8 +57,8 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
-def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies.exact_copies(table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, scratch_path(spark, "shards"), docs.schema, target_bytes=SHARD_BYTES)
     store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
     store.compact()
-    store.vacuum()
+    store.vacuum(keep=1, least_age=0)  # nobody else knows this store
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -88,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
-    "op7_exact_dedup": op7_exact_dedup,
+    "op7_exact_copies": op7_exact_copies,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
@@ -98,8 +98,9 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS h
   FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS i FROM d),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (
@@ -119,13 +120,12 @@ u AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
 r AS (
   SELECT d.doc_id, d.size, u.source_size, u.target, u.times, u.target - u.times * u.source_size AS rest,
-         sum(d.size) OVER p AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
-  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
-  WINDOW p AS (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, d.size AS own
+  FROM n AS d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, source_size, target,
        (size * least(2, times + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
-    "op7_exact_dedup": """
+    "op7_exact_copies": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",

@@ -31,12 +31,52 @@ MARK, BREAK = "▁", "\ud800"
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of an encoded protocol buffer."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or varint()
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+#: Settings of a vocabulary file that ``Codec`` can follow, by message and field number, with the values it takes for granted
+#: (fixed values): merges, no mark at a word's end; no normalisation, a space mark in front, white space kept and escaped.
+EXPECTED = {2: {3: 2, 24: 0}, 3: {2: b"", 3: 1, 4: 0, 5: 1}}
+_DEFAULT = {2: {3: 1, 24: 0}, 3: {2: b"", 3: 1, 4: 1, 5: 1}}
+
+
+def check_settings(model: bytes) -> None:
+    """Raises ValueError for a vocabulary of another kind, normaliser or prefix rule."""
+    held = {n: dict(d) for n, d in _DEFAULT.items()}
+    for number, value in fields(model):
+        if number in held:
+            held[number].update((f, v) for f, v in fields(value) if f in held[number])
+    if held != EXPECTED:
+        raise ValueError(f"the vocabulary's settings {held} are not {EXPECTED}")
+
+
 class Codec:
     """Encodes and decodes as the library does, without sampling.  ``cached`` bounds the segment table."""
 
-    def __init__(self, model: bytes, cached: int = 400_000, longest: int = 48):
+    def __init__(self, model: bytes, cached: int = 200_000, longest: int = 48):
         import sentencepiece
 
+        check_settings(model)
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]

@@ -1,11 +1,15 @@
 """Shards of a table: arrivals are appended as small immutable files and compacted by size tiers.
 
-A store is a folder with ``shards/`` and ``manifests/``.  A manifest lists the shards of one version
-and is committed by renaming a finished file to its version's name, which fails if another writer
-took that version first; readers see the old list or the new one, never a part.  Compaction merges
-shards of a similar size (one tier: sizes within a factor ``fanout``) into files of about
-``target_bytes`` and commits the result as one version.  Shards that the newest manifest doesn't
-list stay until ``vacuum``.
+A store is a folder with ``shards/`` and ``manifests/``.  A manifest states which shards one version adds to its
+base and removes from it (each sixteenth lists all) and is committed by renaming a finished file to its version's name,
+which fails if another writer took that version first; readers see the old list or the new one, never a part.  The file
+system's rename must be atomic and must not overwrite.  A writer that loses the race applies its change to the
+version that won.  Compaction merges shards of a similar size (one tier: sizes within a factor ``fanout``) into files of
+about ``target_bytes``, tiers at the same time, and commits the result as one version.  Shards that recent
+manifests don't list stay until ``vacuum``.
+
+Rows are copied as they are: nulls, empty and very long texts, ties and repeated rows stay; columns beside those of the
+schema are left out, whatever their names.
 
 Rows move through DataFrame readers and writers only.  Merging reads a tier's files and coalesces
 them, so it needs no shuffle.
@@ -15,13 +19,19 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Each so many versions the manifest lists all shards.
+WHOLE_EVERY = 16
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -51,38 +61,64 @@ class ShardStore:
         names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/manifests"))]
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
-        if version == 0:
-            return []
+    def _manifest(self, version: int) -> dict:
         stream = self._fs.open(self._path(f"{self.root}/manifests/v{version:08d}.json"))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
 
-    def commit(self, shards: list[Shard], base: int) -> int:
-        """Make ``shards`` version ``base`` + 1, or raise if that version exists already."""
-        text = json.dumps({"version": base + 1, "base": base, "shards": [vars(s) for s in shards]})
-        draft = self._path(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
+    def shards(self, version: int | None = None) -> list[Shard]:
+        version, changes = self.version() if version is None else version, []
+        while version:
+            changes.append(found := self._manifest(version))
+            version = 0 if found["whole"] else found["base"]
+        listed: dict[str, Shard] = {}
+        for c in reversed(changes):
+            for path in c["remove"]:
+                del listed[path]
+            listed |= {x["path"]: Shard(**x) for x in c["add"]}
+        return list(listed.values())
+
+    def commit(self, add: list[Shard], remove: list[Shard], base: int) -> int:
+        """Make the change version ``base`` + 1, or raise FileExistsError if that version exists already."""
+        version = base + 1
+        gone, whole = {s.path for s in remove}, version % WHOLE_EVERY == 0
+        if whole:
+            add = [s for s in self.shards(base) if s.path not in gone] + add
+        text = json.dumps({"version": version, "base": base, "whole": whole, "add": [vars(s) for s in add], "remove": [] if whole else sorted(gone)})
+        draft, name = self._path(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifests/v{version:08d}.json")
         out = self._fs.create(draft, False)
         out.write(bytearray(text.encode()))
         out.close()
         try:
-            self._context.rename(draft, self._path(f"{self.root}/manifests/v{base + 1:08d}.json"), self._keep)
-        except Exception:
+            self._context.rename(draft, name, self._keep)
+        except Exception as e:
             self._fs.delete(draft, False)
+            if self._fs.exists(name):
+                raise FileExistsError(str(name)) from e
             raise
-        return base + 1
+        return version
+
+    def _change(self, add: list[Shard], remove: list[Shard], base: int | None = None) -> int | None:
+        """Commit a change to the newest version, however often another writer is faster; None if a shard to remove is gone."""
+        while True:
+            base = self.version() if base is None else base
+            if remove and not {s.path for s in remove} <= {s.path for s in self.shards(base)}:
+                return None
+            try:
+                return self.commit(add, remove, base)
+            except FileExistsError:
+                base = None
 
     # writing
 
-    def _files(self, folder: str) -> list[Shard]:
+    def _files(self, folder: str, before: float = math.inf) -> list[Shard]:
+        """The folder's shards that were written before a time."""
         found, files = [], self._fs.listFiles(self._path(folder), True)
         while files.hasNext():
             f = files.next()
-            if f.getPath().getName().endswith(".parquet"):
+            if f.getPath().getName().endswith(".parquet") and f.getModificationTime() <= before * 1000:
                 found.append(Shard(f.getPath().toString(), f.getLen()))
         return sorted(found, key=lambda s: s.path)
 
@@ -106,10 +142,10 @@ class ShardStore:
             for s in self._files(folder):
                 by.setdefault(s.path.rsplit("/", 2)[1], []).append(s)
             groups = [by[k] for k in sorted(by, key=lambda k: (len(k), k))]
-        version = self.version()
+        version = None
         for new in filter(None, groups):
-            version = self.commit(self.shards(version) + new, version)
-        return version
+            version = self._change(new, [], version)
+        return self.version() if version is None else version
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fanout)) + 1) if size >= self.smallest else 0
@@ -122,28 +158,40 @@ class ShardStore:
                 tiers.setdefault(self.tier(s.bytes), []).append(s)
         return [t for _, t in sorted(tiers.items()) if len(t) >= self.fanout]
 
+    def _merge(self, run: list[Shard]) -> list[Shard]:
+        files = max(1, min(len(run) // self.fanout, math.ceil(sum(s.bytes for s in run) / self.target_bytes)))
+        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
+        self._frame(run).coalesce(files).write.option("compression", "zstd").parquet(folder)
+        return self._files(folder)
+
     def compact(self) -> int:
-        """Merge tier by tier until no tier has ``fanout`` shards; the newest version.
+        """Merge tiers until none has ``fanout`` shards; the newest version.
 
-        Each merge of a tier makes at most a ``fanout``-th of its files, so the loop ends.
+        Each merge of a tier makes at most a ``fanout``-th of its files, so the loop ends.  If another writer
+        has removed a shard that was merged, the merged files go and the tiers are planned anew.
         """
-        version = self.version()
-        while runs := self.plan(shards := self.shards(version)):
-            for run in runs:
-                files = max(1, min(len(run) // self.fanout, math.ceil(sum(s.bytes for s in run) / self.target_bytes)))
-                folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-                self._frame(run).coalesce(files).write.option("compression", "zstd").parquet(folder)
-                gone = {s.path for s in run}
-                shards = [s for s in shards if s.path not in gone] + self._files(folder)
-            version = self.commit(shards, version)
-        return version
-
-    def vacuum(self) -> int:
-        """Delete shards that the newest version doesn't list; their number."""
-        listed = {s.path for s in self.shards()}
-        old = [s for s in self._files(f"{self.root}/shards") if s.path not in listed]
-        for s in old:
+        while runs := self.plan(self.shards()):
+            with ThreadPoolExecutor(len(runs)) as pool:
+                merged = [x for part in pool.map(inheritable_thread_target(self.spark)(self._merge), runs) for x in part]
+            if self._change(merged, [s for run in runs for s in run]) is None:
+                self._delete(merged)
+        return self.version()
+
+    def _delete(self, shards: list[Shard]) -> None:
+        for s in shards:
             self._fs.delete(self._path(s.path), False)
+
+    def vacuum(self, keep: int = 8, least_age: float = 86_400) -> int:
+        """Delete shards that none of the newest ``keep`` versions lists and that are ``least_age`` seconds old; their number.
+
+        The age protects files that another writer has written but not committed, and readers of older versions: it
+        must be longer than any write or read takes.  0 is for a store that nobody else uses.
+        """
+        newest = self.version()
+        listed = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.shards(v)}
+        before = time.time() - least_age
+        old = [s for s in self._files(f"{self.root}/shards", before) if s.path not in listed]
+        self._delete(old)
         return len(old)
 
     # reading

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates found with Golay-code fuzzy hashing.
+"""SimHash near copies found with Golay-code fuzzy hashing.
 
 Fingerprints link at three or fewer differing bits.  Their 64 bits are split into three segments,
 which are read as 23-bit words of the perfect Golay code.  Three errors over three segments leave at
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwell.llm.batches import bounded
-from linkwell.llm.exact_dedup import without
+from linkwell.llm.exact_copies import without
+from linkwell.operators.scale import skewed_join
 from linkwell.storage import discard, materialize
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -144,42 +145,44 @@ def components(edges: DataFrame) -> DataFrame:
             both = both.union(e.select(F.col("b"), F.col("a")))
         else:  # from the larger node to smaller ones
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hung = both.join(least, "u")
+        # a hub's links are not gathered: its least neighbour is broadcast to them
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links")).select("u", F.least("u", "m").alias("m"), "links")
+        least = materialize(least, "links-least")
+        hung = skewed_join(both, least, "u", "links")
         if large:
             hung = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             hung = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return hung.where("a <> b").distinct()
+        out = materialize(hung.where("a <> b").distinct(), "links")
+        discard(least, e)
+        return out
 
     def seen(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         return r[0], r[1]
 
-    now = materialize(edges.select("a", "b"), "links")
-    before = None
+    now, before = materialize(edges.select("a", "b"), "links"), None
     while before != (mark := seen(now)):
-        before, old = mark, now
-        now = materialize(star(star(now, True), False), "links")
-        discard(old)
+        before, now = mark, star(star(now, True), False)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, sha, fp, component_id) for every row."""
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprint-nodes")
     root = components(links(nodes))
-    named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "sha", "fp", "component_id")
+    named = materialize(nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    by_print = skewed_join(named, ids, "root", "prints").select("fp", "rows", "component_id")
+    return skewed_join(prints, materialize(by_print, "fingerprint-components"), "fp", "rows").select("doc_id", "sha", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every input row: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
-    Texts without words, null texts among them, have fingerprint zero and link like any other.  Null
+    Texts without words, null texts among them, have fingerprint zero and link like any other; texts of any length are
+    read whole, their shingles hashed in blocks.  Null
     ids take part in links; a component of null ids only has a null component_id.  Rows that repeat
     an id keep their own fingerprints.  An empty table gives no rows; other columns are ignored.
     """

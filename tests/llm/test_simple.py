@@ -1,4 +1,4 @@
-"""Exact operators against brute force on small tables: dedup, mixing, SentencePiece, sharding, chat."""
+"""Exact operators against brute force on small tables: exact copies, mixing, SentencePiece, sharding, chat."""
 
 import hashlib
 import random
@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from linkwell.llm import chat, exact_dedup, mixing, queries, sentencepiece_codec, sharding
+from linkwell.llm import chat, exact_copies, mixing, queries, sentencepiece_codec, sharding
 from linkwell.storage import scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -23,7 +23,7 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-def brute_dedup(rows):
+def brute_copies(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[t or ""].append(i)
@@ -34,19 +34,19 @@ def brute_dedup(rows):
     return sorted(out, key=repr)
 
 
-def test_exact_dedup(spark):
+def test_exact_copies(spark):
     rows = [*enumerate(TEXTS), (None, "x"), (None, "lone"), (3, "other"), (5, "x")]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, digest string, salt int")
-    for digest in (exact_dedup._sha256, lambda t: F.substring(F.sha2(t, 256), 1, 1)):  # the second collides
-        got = exact_dedup.exact_dedup(df, salts=3, digest=digest).collect()
-        assert sorted((tuple(r) for r in got), key=repr) == brute_dedup(rows)
-    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+    for digest in (exact_copies._sha256, lambda t: F.substring(F.sha2(t, 256), 1, 1)):  # the second collides
+        got = exact_copies.exact_copies(df, salts=3, digest=digest).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute_copies(rows)
+    assert exact_copies.exact_copies(df.limit(0)).count() == 0
 
 
 def test_drop_copies(spark):
     rows = [*enumerate(TEXTS), (3, "other"), (9, "x")]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _id int, _sha int")
-    got = exact_dedup.drop_copies(df.drop("_id", "_sha")).collect()
+    got = exact_copies.drop_copies(df).collect()
     assert sorted((r.doc_id, r.text or "") for r in got) == sorted({(i, t or "") for i, t in rows if i == max(j for j, u in rows if (u or "") == (t or ""))})
 
 
@@ -86,6 +86,19 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_takes_repeated_rows_one_by_one(spark):
+    texts = ["a b c d e f g h i j", "k l m n o"]
+    rows = [(i % 2, texts[i % 2 if i < 60 else 0] + (f" {i}" if i >= 80 else ""), "s", 5) for i in range(100)] + [(None, "w w w", "t", 1)] * 30 + [(None, None, "t", 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target long")
+    got = mixing.mix(df).collect()
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for g in got:
+        sizes[g.source], taken[g.source], target[g.source] = sizes[g.source] + g._size, taken[g.source] + g._size * g._copies, g._target
+    assert len(got) == len(rows) and {g.target for g in got} <= {1, 5}
+    for s, expected in brute_targets(sizes).items():
+        assert target[s] == pytest.approx(expected) and abs(taken[s] - target[s]) <= (5.5 if s == "s" else 1.5)
+
+
 ODD = ["", " ", "  ", "a", " a  b ", "\n", "a\n\n b", "▁x ▁", "\x00\x01", "<s></s><unk>", "梦😀é", "\r\n\t;", "            deep", "x" * 5000, "日本語 text", "​", "a\u2028b"]
 
 
@@ -110,6 +123,15 @@ def test_codec_notices_a_difference():
         codec.check()
 
 
+def test_codec_refuses_other_settings():
+    model = queries.tokenizer_model()
+    sentencepiece_codec.check_settings(model)
+    for message, field, value in ((2, 3, b"\x01"), (3, 2, b"\x01x"), (3, 4, b"\x01")):  # unigram, a normaliser, white space removed
+        tail = bytes([field << 3 | (2 if field == 2 else 0)]) + value
+        with pytest.raises(ValueError, match="settings"):
+            sentencepiece_codec.Codec(model + bytes([message << 3 | 2, len(tail)]) + tail)
+
+
 def test_encode_decode(spark):
     df = docs(spark, [*TEXTS, *ODD]).withColumn("ids", F.lit(0))
     library = sentencepiece_codec.Codec(queries.tokenizer_model()).library
@@ -135,10 +157,42 @@ def test_sharding(spark):
     assert sum(len(t) for t in [store.shards(7)]) == len(before)
     key = lambda d: sorted(map(str, d.collect()))
     assert key(store.read()) == key(df.union(df.where("doc_id < 5")))
-    with pytest.raises(Exception):  # noqa: B017  another writer took the version
-        store.commit(after, store.version() - 1)
+    with pytest.raises(FileExistsError):  # another writer took the version
+        store.commit(after, [], store.version() - 1)
     assert store.shards() == after
-    assert store.vacuum() > 0 and key(store.read()) == key(df.union(df.where("doc_id < 5")))
+    assert store.vacuum() == 0 and store.vacuum(keep=1, least_age=0) > 0 and key(store.read()) == key(df.union(df.where("doc_id < 5")))
+
+
+def test_shard_sizes_and_other_writers(spark, monkeypatch):
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    target = 1 << 20
+    new = lambda: sharding.ShardStore(spark, root, df.schema, target_bytes=target, fanout=4, smallest=1 << 15)
+    root = scratch_path(spark, "t")
+    store, other = new(), new()
+    store.append(df, F.pmod("doc_id", F.lit(40)))
+    assert store.version() == 40
+    # while one compacts, another appends: both changes stand
+    merge = sharding.ShardStore._merge
+    added = []
+
+    def late(self, run):
+        out = merge(self, run)
+        if not added:
+            added.append(other.append(df.limit(10)))
+        return out
+
+    monkeypatch.setattr(sharding.ShardStore, "_merge", late)
+    store.compact()
+    monkeypatch.undo()
+    store.compact()
+    sizes = sorted(s.bytes for s in store.shards())
+    assert store.read().count() == 60_010 and not store.plan(store.shards())
+    whole = sum(sizes)
+    assert max(sizes) <= 2 * target and sum(s for s in sizes if s >= target // 2) > 0.8 * whole
+    # a shard that is gone cannot be removed again, and the loser's files go
+    gone = store.shards(40)[0]
+    assert store._change([], [gone]) is None
+    assert store.read(17).count() < store.read(40).count() == 60_000
 
 
 CHAT = ["</s>[INST] ok [/INST]", "\\</s>", "\\\\[INST]", "", None, "a\nb \\", "[/INST", "<s", "[OUT][ROLE]x[/ROLE]", "é😀" * 700]
@@ -176,6 +230,18 @@ def test_chat(spark):
     assert chat.read_back(chat.format_events(chat.events_of(df.limit(0)))).count() == 0
 
 
+def test_chat_ids_of_other_types(spark):
+    rows = [(1, 0, "user", "a" * 70_000 + "[INST]"), (1, 1, "assistant", "b</s>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat.events_of(df)
+    assert {e.kind for e in chat.events_of(spark.range(99).selectExpr("id conv_id", "id turn", "'user' role", "repeat(id, 9) text"), piece=4).collect()} == {"start", "delta", "regenerate", "edit"}
+    expected = [tuple(r)[1:] for r in chat.read_back(chat.format_events(events)).collect()]
+    assert expected[0][1] == sha(f"user\n{rows[0][3]}\nassistant\nb</s>\n")
+    for kind in ("short", "string", "decimal(9,2)", "date", "binary"):
+        value = F.lit("2020-01-02").cast(kind) if kind in ("date", "binary") else F.col("conv_id").cast(kind)
+        assert [tuple(r)[1:] for r in chat.read_back(chat.format_events(events.withColumn("conv_id", value))).collect()] == expected
+
+
 def test_events_are_folded(spark):
     log = [(1, 0, 1, "start", "user", None), (1, 0, 2, "delta", None, "he"), (1, 0, 3, "delta", None, "llo"), (1, 1, 4, "start", "assistant", "bad"), (1, 1, 5, "regenerate", None, None),
            (1, 1, 6, "delta", None, "good"), (1, 0, 7, "edit", None, "hi"), (1, 2, 8, "delta", "user", "late")]
