@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkwell.functions.text import bound
 from linkwell.operators.joins import small
 from linkwell.storage import materialize
 
@@ -33,12 +34,16 @@ def ascii_terms(text: Column) -> Column:
 
 def term_counts(terms: Column) -> Column:
     """An array of terms as array<struct<term, tf>>, by term: equal terms stand together once they are sorted."""
-    ordered = F.sort_array(terms)
-    at = F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1)))
-    starts = F.filter(at, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(terms) + 1))
-    counts = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).alias("tf")))
-    return F.when(F.size(terms) > 0, counts).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+    def counted(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        return bound(F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))), lambda starts: runs(ordered, starts))
+
+    def runs(ordered: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(ordered)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).alias("tf")))
+
+    # nothing is sorted or searched twice: what a lambda names is computed before it
+    return F.when(F.size(terms) > 0, bound(F.sort_array(terms), counted)).when(terms.isNotNull(), F.array().cast("array<struct<term:string,tf:int>>"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
