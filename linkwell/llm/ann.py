@@ -56,7 +56,9 @@ class Settings:
 
 
 #: Rows of an Arrow batch here, and bytes up to which a search's front is broadcast.
-ROWS, FRONT_BYTES = 20_000, 16 << 20
+ROWS, FRONT_BYTES = 8_000, 16 << 20
+#: Of the rounds' tables: codes hardly shrink, and this codec holds little memory outside the heap.
+CODEC = "snappy"
 #: Nodes (kind -1: ``src`` entries have changed, ``lists`` holds the packed list) and messages to ``dst`` about ``src``.
 ROW = "dst long, kind int, src long, sim double, floor double, fresh boolean, code binary, lists binary"
 _ROW = pa.schema([("dst", pa.int64()), ("kind", pa.int32()), ("src", pa.int64()), ("sim", pa.float64()), ("floor", pa.float64()), ("fresh", pa.bool_()), ("code", pa.binary()), ("lists", pa.binary())])
@@ -423,9 +425,9 @@ def build(nodes: DataFrame, dims: int, s: Settings = Settings()) -> DataFrame:
     offers = first_offers(nodes, number, dims, s)
     empty = nodes.select(
         F.col("id").alias("dst"), F.lit(NODE).alias("kind"), F.lit(0).cast("long").alias("src"), F.lit(0.0).alias("sim"), F.lit(0.0).alias("floor"), F.lit(False).alias("fresh"), "code", F.expr("X''").alias("lists"))
-    now, turn, last = materialize(empty.unionByName(offers), "ann-round"), 0, False
+    now, turn, last = materialize(empty.unionByName(offers), "ann-round", CODEC), 0, False
     while True:
-        before, now = now, materialize(one_round(now, dims, s, turn, last), "ann-round")
+        before, now = now, materialize(one_round(now, dims, s, turn, last), "ann-round", CODEC)
         discard(before)
         _forget(nodes.sparkSession)
         found = now.where(F.col("kind") == NODE)
