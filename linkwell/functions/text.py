@@ -192,7 +192,8 @@ def url_quote(s: Column) -> Column:
     return s
 
 
-def chunks(values: Column, size: int) -> Column:
-    """An array in pieces of ``size``, the last one shorter; no pieces of an empty array."""
+def chunks(values: Column, size: int, fill: Column | None = None) -> Column:
+    """An array in pieces of ``size``, the last one shorter or, with ``fill``, filled up; no pieces of an empty array."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(size))
-    return F.filter(F.transform(starts, lambda i: F.slice(values, i, size)), lambda c: F.size(c) > 0)
+    pieces = F.filter(F.transform(starts, lambda i: F.slice(values, i, size)), lambda c: F.size(c) > 0)
+    return pieces if fill is None else F.transform(pieces, lambda c: F.concat(c, F.array_repeat(fill, F.lit(size) - F.size(c))))

@@ -98,3 +98,13 @@ def error_sheet(errors: DataFrame, q_texts: DataFrame, d_texts: DataFrame) -> Da
     """Errors (qid, synid, fid, prob, target, error_type) with the whole texts of both sides, worst first within their type."""
     q = null_safe(errors, q_texts.select("qid", "synid", F.col("text").alias("q")), ["qid", "synid"], "left")
     return q.join(d_texts.select("fid", F.col("text").alias("d")), "fid", "left").orderBy("error_type", F.when(F.col("error_type") == 1, -F.col("prob")).otherwise(F.col("prob")), "qid", "synid", "fid")
+
+
+def retrieved(samples: DataFrame) -> DataFrame:
+    """Samples without true rows that retrieval missed (place -1)."""
+    return samples.where("ix <> -1")
+
+
+def for_fitting(corpus: DataFrame, held_out: DataFrame) -> DataFrame:
+    """The corpus without the queries of held-out samples (qid); master rows, whose qid is null, stay."""
+    return corpus.join(held_out.select("qid").where("qid IS NOT NULL").distinct(), "qid", "left_anti")

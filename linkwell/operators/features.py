@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from linkwell.functions.similarity import pair_features
 from linkwell.operators.joins import null_safe
+from linkwell.operators.vectors import DISTANCES, sparse_dot, vector_set_distances
 
 KEY = ["qid", "synid", "fid"]
 #: Names of the embedding distances: of the means, then mean, median and deviation of the least distances.
@@ -33,24 +31,12 @@ def token_vectors(texts: DataFrame, key: list[str], vectors: DataFrame, tokens:
     return null_safe(texts.select(*key), held, key, "left").withColumn("vectors", F.coalesce("vectors", F.array().cast("array<array<double>>")))
 
 
-@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in EMBEDDING]))
-def embedding_distances(q: pd.Series, d: pd.Series) -> pd.DataFrame:
-    """Cosine distance of the mean vectors, and mean, median and population deviation of each left vector's least distance.
-
-    Without vectors on a side the first is null and the others are -1.
-    """
-    def unit(v: np.ndarray) -> np.ndarray:
-        return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300)
-
-    out = []
-    for a, b in zip(q, d, strict=True):
-        if a is None or b is None or not len(a) or not len(b):
-            out.append((None, -1.0, -1.0, -1.0))
-            continue
-        x, y = np.stack(a), np.stack(b)
-        least = (1 - unit(x) @ unit(y).T).min(1)
-        out.append((float(1 - unit(x.mean(0)) @ unit(y.mean(0))), float(least.mean()), float(np.median(least)), float(least.std())))
-    return pd.DataFrame(out, columns=EMBEDDING, dtype="float64")
+def vocabulary_ids(texts: DataFrame, key: list[str], vocabulary: DataFrame, tokens: str = "tokens", missing: int = -1) -> DataFrame:
+    """``texts`` with the ids of their tokens in a vocabulary (word, id), in order, as ``ids``; ``missing`` for unknown ones."""
+    words = vocabulary.select("word", F.col("id").cast("long").alias("_id"))
+    each = texts.select(*key, F.posexplode(tokens).alias("_i", "word")).join(words, "word", "left")
+    held = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_id", F.lit(missing)).alias("_id")))), lambda x: x["_id"]).alias("ids"))
+    return null_safe(texts, held, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 
 
 def one_of_each(pairs: DataFrame, order: list[str]) -> DataFrame:
@@ -74,8 +60,6 @@ def pair_dataset(samples: DataFrame, distances: list[DataFrame], native: dict |
 
 def tfidf_distances(pairs: DataFrame, q_weights: DataFrame, d_weights: DataFrame, name: str = "tfidf0") -> DataFrame:
     """The key and the distance of pairs; weights by (qid, synid) and by fid, from ``vectors.tfidf``."""
-    from linkwell.operators.vectors import sparse_dot
-
     q = q_weights.select("qid", "synid", F.col("words").alias("_x"), F.col("weights").alias("_xw"))
     d = d_weights.select("fid", F.col("words").alias("_y"), F.col("weights").alias("_yw"))
     both = null_safe(pairs.select(*KEY), q, ["qid", "synid"], "left").join(d, "fid", "left")
@@ -86,7 +70,7 @@ def tfidf_distances(pairs: DataFrame, q_weights: DataFrame, d_weights: DataFrame
 def vector_distances(pairs: DataFrame, q_vectors: DataFrame, d_vectors: DataFrame) -> DataFrame:
     """The key and the four embedding distances of pairs; vectors by (qid, synid) and by fid, from ``token_vectors``."""
     both = null_safe(pairs.select(*KEY), q_vectors.withColumnRenamed("vectors", "_q"), ["qid", "synid"]).join(d_vectors.withColumnRenamed("vectors", "_d"), "fid")
-    return both.withColumn("_e", embedding_distances("_q", "_d")).select(*KEY, *[F.col(f"_e.{n}").alias(n) for n in EMBEDDING])
+    return both.withColumn("_e", vector_set_distances("_q", "_d")).select(*KEY, *[F.col(f"_e.{d}").alias(n) for d, n in zip(DISTANCES, EMBEDDING, strict=True)])
 
 
 def with_predictions(samples: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:

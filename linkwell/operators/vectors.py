@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from linkwell.functions.similarity import array_stats
 from linkwell.functions.text import without_stop_words
 from linkwell.operators.retrieval import term_counts
 from linkwell.operators.scale import with_one
@@ -74,11 +73,34 @@ def mean_vector(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("mean"))
 
 
+#: Of the means, and mean, median and deviation of the least distances.
+DISTANCES = ("of_means", "mean_min", "median_min", "std_min")
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in DISTANCES]))
+def vector_set_distances(q: pd.Series, d: pd.Series) -> pd.DataFrame:
+    """Cosine distance of the mean vectors, and mean, median and population deviation of each left vector's least distance.
+
+    Without vectors on a side the first is null and the others are -1.  A zero vector has distance 1 from all.
+    """
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300)
+
+    out = []
+    for a, b in zip(q, d, strict=True):
+        if a is None or b is None or not len(a) or not len(b):
+            out.append((None, -1.0, -1.0, -1.0))
+            continue
+        x, y = np.stack(a).astype(np.float64), np.stack(b).astype(np.float64)
+        least = (1 - unit(x) @ unit(y).T).min(1)
+        out.append((float(1 - unit(x.mean(0)) @ unit(y.mean(0))), float(least.mean()), float(np.median(least)), float(least.std())))
+    return pd.DataFrame(out, columns=DISTANCES, dtype="float64")
+
+
 def set_distances(q: Column, d: Column) -> dict[str, Column]:
-    """Of two arrays of vectors: for each vector of ``q`` the least cosine distance to ``d``, as mean, median and population deviation; -1 if a side is empty."""
-    least = F.transform(q, lambda x: F.array_min(F.transform(d, lambda y: 1 - cosine(x, y))))
-    stats, none = array_stats(least), (F.size(q) == 0) | (F.size(d) == 0)
-    return {n: F.when(none, F.lit(-1.0)).otherwise(F.coalesce(stats[k], F.lit(-1.0))) for n, k in (("mean_min", "1"), ("median_min", "4"), ("std_min", "2"))}
+    """The least distances of two arrays of vectors, one product of matrices for a row; -1 if a side is empty."""
+    found = vector_set_distances(q, d)
+    return {n: found[n] for n in DISTANCES[1:]}
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:

@@ -303,14 +303,14 @@ WITH {JUDGED}, b AS (SELECT prob AS threshold, sum(target) AS p, count(*) AS n F
 c AS (SELECT threshold, sum(p) OVER w / sum(n) OVER w AS precision, p / sum(p) OVER () AS step FROM b WINDOW w AS (ORDER BY threshold DESC))
 SELECT round(sum(step * precision), 6) AS ap FROM c""",
     "abstain_curve": f"""
-WITH {BM25}, {TRUTH}, {LABELLED}, {RANKED}, t AS (SELECT unnest([1, 2, 3, 5, 10, 20]) AS topn), h AS (SELECT unnest(range(0, 101)) / 100.0::DOUBLE AS threshold),
-g AS (SELECT source, topn, max(prob) AS pmax, max(target) AS has, max(CASE WHEN rn <= topn THEN target ELSE 0 END) AS hit FROM ranked, t GROUP BY ALL),
+WITH {BM25}, {TRUTH}, {LABELLED}, {RANKED}, tops AS (SELECT unnest([1, 2, 3, 5, 10, 20]) AS topn), h AS (SELECT unnest(range(0, 101)) / 100.0::DOUBLE AS threshold),
+g AS (SELECT source, topn, max(prob) AS pmax, max(target) AS has, max(CASE WHEN rn <= topn THEN target ELSE 0 END) AS hit FROM ranked, tops GROUP BY ALL),
 c AS (
   SELECT topn, threshold, count(*) FILTER (has = 1 AND hit = 1 AND pmax >= threshold) AS tp, count(*) FILTER (pmax >= threshold AND (has = 0 OR hit = 0)) AS fp,
          count(*) FILTER (has = 0 AND pmax < threshold) AS tn, count(*) FILTER (has = 1 AND pmax < threshold) AS fn FROM g, h GROUP BY ALL),
 scale AS (SELECT avg(CASE WHEN ix <> -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS scale FROM samples WHERE target = 1),
-p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS prec, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS rec FROM c)
-SELECT topn, threshold, tp, fp, tn, fn, round(prec, 6) AS precision, round(rec * scale, 6) AS recall, round(avg(prec) OVER (PARTITION BY topn), 6) AS mean_precision FROM p, scale""",
+shares AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS prec, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS rec FROM c)
+SELECT topn, threshold, tp, fp, tn, fn, round(prec, 6) AS precision, round(rec * scale, 6) AS recall, round(avg(prec) OVER (PARTITION BY topn), 6) AS mean_precision FROM shares, scale""",
     "error_sheet": f"""
 WITH {JUDGED} SELECT j.doc_id AS qid, j.doc_id AS fid, prob, target, CASE WHEN target = 0 THEN 1 ELSE 2 END AS error_type, d.source AS q, text AS d
 FROM judged j JOIN documents d ON j.doc_id = d.doc_id WHERE (target = 0 AND prob > 0.9) OR (target = 1 AND prob < 0.1)""",

@@ -62,6 +62,29 @@ def dictionaries(entities: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {n: entities[n].select(F.col("_id").alias("id"), "name") for n in ENTITIES if n in entities and n != "etalons" and "name" in entities[n].columns}
 
 
+#: What a dictionary's rows are found by, where it is not the id, and which column names a row, where it is not the name (fixed values).
+FOUND_BY, NAMED_BY = {"units": "name", "classifiers": "name"}, {"featureValues": "value"}
+
+
+def rows_by_key(entities: dict[str, DataFrame], name: str) -> DataFrame | None:
+    """The whole rows of a dictionary with their ``key``: the id, or the name of units and classifiers; None if the dump lacks it.
+
+    Rows without a key are left out; of several rows of a key one stays.
+    """
+    if name not in entities:
+        return None
+    rows = entities[name].withColumn("key", F.col(FOUND_BY.get(name, "_id")))
+    return rows.where("key IS NOT NULL").dropDuplicates(["key"])
+
+
+def ids_by_name(entities: dict[str, DataFrame], name: str) -> DataFrame | None:
+    """(label, id) of a dictionary: names, or the values of feature values; of equal names the largest id counts."""
+    label = NAMED_BY.get(name, "name")
+    if name not in entities or name in FOUND_BY or label not in entities[name].columns:
+        return None
+    return entities[name].where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.max("_id").alias("id"))
+
+
 def write_index(docs: DataFrame, path: str) -> None:
     """Search documents as JSON lines, letters kept as they are."""
     docs.write.mode("overwrite").json(path)

@@ -119,6 +119,8 @@ def test_feature_table(spark):
     texts = spark.createDataFrame([(1, None, ["a", "b", "a"]), (2, 5, ["z"]), (3, None, [])], "qid long, synid long, tokens array<string>")
     vectors_ = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "word string, vector array<double>")
     assert [r.tokens for r in features.known_tokens(texts, ["qid", "synid"], vectors_).orderBy("qid").collect()] == [["a", "b", "a"], [], []]
+    ids = features.vocabulary_ids(texts, ["qid", "synid"], spark.createDataFrame([("a", 4), ("z", 9)], "word string, id int"))
+    assert [r.ids for r in ids.orderBy("qid").collect()] == [[4, -1, 4], [9], []]
     q = features.token_vectors(texts, ["qid", "synid"], vectors_)
     assert [r.vectors for r in q.orderBy("qid").collect()] == [[[1.0, 0.0], [0.0, 2.0], [1.0, 0.0]], [], []]
     samples = spark.createDataFrame([(1, None, 7, 1, 0.5, 0, ["a", "b"], ["a"]), (1, None, 7, 1, 0.1, 3, ["a", "b"], ["a"]), (2, 5, 7, 0, 0.2, 1, ["z"], ["a"])], "qid long, synid long, fid long, target int, score double, ix int, q_terms array<string>, d_terms array<string>")
@@ -184,7 +186,9 @@ def test_entities(spark):
     asked = spark.createDataFrame([(1, 7), (1, None), (1, 99), (5, 1)], "qid long, synid long")
     assert rows(entities.synonym_name(asked, products), "qid", "synid") == [(1, None, "Сок"), (1, 7, "Сок яблочный"), (1, 99, None), (5, 1, None)]
     placed = spark.createDataFrame([(1, 0), (1, -1), (2, 3)], "qid long, ix int")
-    assert rows(entities.with_existing(placed), "qid") == [(2, 3)]
+    assert rows(entities.with_existing(placed), "qid") == [(2, 3)] and entities.retrieved(placed).count() == 2
+    texts = spark.createDataFrame([(1, None), (2, None), (None, 8)], "qid long, fid long")
+    assert sorted(map(tuple, entities.for_fitting(texts, placed.where("qid = 1")).select("qid", "fid").collect()), key=str) == [(2, None), (None, 8)]
     links = spark.createDataFrame([(1, 50), (1, 40), (None, 9)], "f long, m long")
     assert rows(joins.lookup_link(spark.createDataFrame([(1,), (2,), (None,)], "id long"), "id", links, "f", "m", "existing"), F.col("id").asc_nulls_last()) == [(1, 40), (2, None), (None, None)]
 

@@ -30,6 +30,10 @@ def test_feed(spark, tmp_path):
     feeds.write_feed(found, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/etalons.parquet")).count() == 2
     assert list(feeds.dictionaries(found)) == ["brands"]
+    assert [r.key for r in feeds.rows_by_key(found, "etalons").orderBy("key").collect()] == [1, 2] and feeds.rows_by_key(found, "units") is None
+    held = {"units": spark.createDataFrame([(1, "кг")], "_id long, name string"), "featureValues": spark.createDataFrame([(3, "red"), (4, "red")], "_id long, value string")}
+    assert feeds.rows_by_key(held, "units").first().key == "кг" and feeds.ids_by_name(held, "units") is None
+    assert tuple(feeds.ids_by_name(held, "featureValues").first()) == ("red", 4) and feeds.ids_by_name(found, "brands").first().id == 5
 
 
 def test_ranking_text(spark, tmp_path):

@@ -83,3 +83,14 @@ def test_number_splitting_agrees_with_a_scan(spark, values):
 @pytest.mark.parametrize(("word", "root"), [("важная", "важн"), ("вагонами", "вагон"), ("красивейшие", "красив"), ("бегать", "бега"), ("смеявшись", "смея"), ("молочный", "молочн"), ("сила", "сил")])
 def test_stem(word, root):
     assert stem(word) == root
+
+
+def test_chunks_and_quoting(spark):
+    rows = spark.createDataFrame([([1, 2, 3],), ([],)], "a array<int>")
+    assert [r[0] for r in rows.select(text.chunks(F.col("a"), 2)).collect()] == [[[1, 2], [3]], []]
+    assert rows.select(text.chunks(F.col("a"), 2, F.lit(0))).first()[0] == [[1, 2], [3, 0]]
+    assert column(spark, ["a*b~c/d e", "é-_.+", None], text.url_quote) == ["a%2Ab~c/d%20e", "%C3%A9-_.%2B", None]
+
+
+def test_analyser(spark):
+    assert column(spark, ["Красивые Яблоки и я  РОССИЯ xx", "", None], text.analyse) == [["красив", "яблок", "xx"], [], None]
