@@ -33,7 +33,7 @@ def ascii_terms(text: Column) -> Column:
 
 
 def term_counts(terms: Column) -> Column:
-    """An array of terms as array<struct<term, tf>>, by term: equal terms stand together once they are sorted."""
+    """An array of terms as array<struct<term, tf>>, by term: equal terms stand together once they are sorted.  Null counts as empty."""
     def counted(ordered: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(ordered) - 1)
         return bound(F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))), lambda starts: runs(ordered, starts))
@@ -43,7 +43,7 @@ def term_counts(terms: Column) -> Column:
         return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).alias("tf")))
 
     # nothing is sorted or searched twice: what a lambda names is computed before it
-    return F.when(F.size(terms) > 0, bound(F.sort_array(terms), counted)).when(terms.isNotNull(), F.array().cast("array<struct<term:string,tf:int>>"))
+    return F.when(F.size(terms) > 0, bound(F.sort_array(terms), counted)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
