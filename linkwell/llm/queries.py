@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import ann, chat, exact_copies, html_extract, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from linkwell.llm import ann, chat, divergence, exact_copies, html_extract, merkle, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from linkwell.storage import scratch_path, table
 
 #: Operator 9: parts of 128 MB, made from eight arrivals.
@@ -81,6 +81,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_events(chat.events_of(rows.unionByName(own))))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(fold_of(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": tampered})
+    folded = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.fold(F.col("altered_leaf"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -92,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
+    "op11_merkle": op11_merkle,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,4 +144,75 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+    "op11_merkle": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text, row_number() OVER () AS k,
+         list_reduce(
+           list_concat([4294967295::BIGINT], flatten(list_transform(str_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
+  FROM documents),
+e AS (
+  SELECT k, doc_id, source,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+         text, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered
+  FROM d),
+h AS (
+  SELECT k, doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(front || coalesce(strlen(tampered) || ':' || tampered, '-')) AS altered FROM e),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM h),
+t AS (
+  SELECT 0 AS level, source, pos, leaf AS hash, n FROM leaves
+  UNION ALL
+  SELECT level + 1, source, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY level, source, pos // 3, n),
+tops AS (SELECT source, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, pos, hash, n FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+sides AS (
+  SELECT a.level, a.source, a.pos, coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM t AS a LEFT JOIN t AS b ON a.level = b.level AND a.source IS NOT DISTINCT FROM b.source AND a.pos // 3 = b.pos // 3 AND a.pos <> b.pos
+  WHERE a.n > 1 GROUP BY a.level, a.source, a.pos),
+crown AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM u AS a LEFT JOIN u AS b ON a.level = b.level AND a.pos // 3 = b.pos // 3 AND a.pos <> b.pos
+  WHERE a.n > 1 GROUP BY a.level, a.pos),
+steps AS (
+  SELECT leaves.k, 0 AS part, s.level, s.l, s.r FROM leaves JOIN sides AS s ON s.source IS NOT DISTINCT FROM leaves.source AND s.pos = leaves.pos // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT leaves.k, 1, c.level, c.l, c.r FROM leaves JOIN tops ON tops.source IS NOT DISTINCT FROM leaves.source JOIN crown AS c ON c.pos = tops.pos // (3 ** c.level)::BIGINT),
+proofs AS (SELECT k, list({'l': l, 'h': '', 'r': r} ORDER BY part, level) AS steps, string_agg(l || r, '' ORDER BY part, level) AS siblings FROM steps GROUP BY k),
+folded AS (
+  SELECT leaves.*, tops.hash AS subroot, (SELECT hash FROM u WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+         list_reduce(list_concat([{'l': '', 'h': altered, 'r': ''}], coalesce(steps, [])), lambda a, s: {'l': '', 'h': sha256(s.l || a.h || s.r), 'r': ''}).h AS folded_root
+  FROM leaves JOIN tops ON tops.source IS NOT DISTINCT FROM leaves.source LEFT JOIN proofs USING (k))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
+    "op13_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n_lang) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+e AS (
+  SELECT g.lang, g.source, kept.term, kept.n_lang, coalesce(c.n, 0) AS n, v.v, v.n AS all_n
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // ((sum(n) OVER (PARTITION BY lang, source)) + 2 * v) AS p,
+         1 + (1000000000::HUGEINT * (n_lang + 2)) // (all_n + 2 * v) AS q
+  FROM e),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }
