@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import ann, chat, divergence, exact_copies, html_extract, merkle, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
+from linkwell.llm import ann, chat, divergence, exact_copies, html_extract, merkle, minhash, mixing, quality, sentencepiece_codec, sharding, simhash, toxicity
 from linkwell.storage import scratch_path, table
 
 #: Operator 9: parts of 128 MB, made from eight arrivals.
@@ -89,6 +89,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
     "op11_merkle": op11_merkle,
+    "op12_minhash": op12_minhash,
     "op13_divergence": op13_divergence,
 }
 
@@ -187,6 +192,21 @@ folded AS (
          list_reduce(list_concat([{'l': '', 'h': altered, 'r': ''}], coalesce(steps, [])), lambda a, s: {'l': '', 'h': sha256(s.l || a.h || s.r), 'r': ''}).h AS folded_root
   FROM leaves JOIN tops ON tops.source IS NOT DISTINCT FROM leaves.source LEFT JOIN proofs USING (k))
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
+    "op12_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT k, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' '))) END AS found
+  FROM w),
+x AS (SELECT k, len(found) AS n, unnest(found) AS shingle FROM s),
+common AS (SELECT a.k AS a, b.k AS b, a.n AS n, b.n AS m, count(*) AS c FROM x AS a JOIN x AS b USING (shingle) WHERE a.k < b.k GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (n + m - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT k AS a, k AS b FROM s UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+least AS (SELECT reach.a AS k, min(s.doc_id) AS component_id FROM reach JOIN s ON s.k = reach.b GROUP BY reach.a)
+SELECT doc_id, len(found)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN least USING (k)""",
     "op13_divergence": r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
