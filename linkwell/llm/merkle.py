@@ -126,19 +126,19 @@ def grow(leaves: DataFrame, sizes: DataFrame) -> Forest:
         grp = head["grp"].combine_chunks().take(pa.array([0] * len(levels), pa.int32()))
         return pa.table({"level": pa.array(levels, pa.int32()), "grp": grp, "pos": pa.array(places, pa.int64()), "hash": pa.array(hashes, pa.string())})
 
-    passes, now = [], leaves.select("grp", "pos", "hash")
+    passes, now, left = [], leaves.select("grp", "pos", "hash"), sizes
     largest = sizes.agg(F.max("n")).first()[0] or 0
     while True:
         rows = now.select("grp", F.floor(F.col("pos") / BLOCK).alias("block"), "pos", "hash", F.lit(None).cast("long").alias("n"))
-        heads = _blocks(sizes).select("grp", "block", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("hash"), "n")
+        heads = _blocks(left).select("grp", "block", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("hash"), "n")
         nodes = rows.unionByName(heads).groupBy("grp", "block").applyInArrow(lift, schema)
         path = scratch_path(spark, "merkle-nodes")
         nodes.sortWithinPartitions("level", "grp", "pos").write.partitionBy("level").parquet(path)
         passes.append(spark.read.schema(schema).parquet(path))
         if largest <= BLOCK:
             return Forest(leaves, sizes, tuple(passes))
-        now = passes[-1].where(F.col("level") == LEVELS).join(sizes.where(F.col("n") <= BLOCK).select(F.col("grp").alias("_g")), F.col("grp").eqNullSafe(F.col("_g")), "left_anti")
-        sizes = sizes.where(F.col("n") > BLOCK).select("grp", F.ceil(F.col("n") / BLOCK).alias("n"))
+        now = passes[-1].where(F.col("level") == LEVELS).join(left.where(F.col("n") <= BLOCK).select(F.col("grp").alias("_g")), F.col("grp").eqNullSafe(F.col("_g")), "left_anti")
+        left = left.where(F.col("n") > BLOCK).select("grp", F.ceil(F.col("n") / BLOCK).alias("n"))
         largest = -(-largest // BLOCK)
 
 
