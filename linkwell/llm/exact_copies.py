@@ -54,14 +54,22 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The input's rows whose text is kept, with all their columns.
 
-    A row is judged by its id and text, so a repeated id with another text is judged alone.  Of rows
-    that repeat both, one stays.  Nulls, long texts and empty tables are treated as in ``exact_copies``.
+    A row is judged by its id and text, so a repeated id with another text is judged alone.  Of rows that repeat both,
+    null and empty texts being equal, the one whose other columns come first as JSON text stays (null members are left
+    out of it), so reruns keep the same row.  Nulls, long texts and empty tables are treated as in ``exact_copies``.
     """
     verdict = materialize(exact_copies(docs, id_col, text_col, salts).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "exact-verdict")
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     left = without(docs, docs[id_col], sha, verdict.where(~F.col("kept")).select("_id", "_sha").distinct())
-    repeated = verdict.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
+    repeated = verdict.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_sha")
+    if repeated.isEmpty():
+        return left
+    once = without(left, left[id_col], sha, repeated)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])), F.col(text_col).isNull())
+    again = left.join(repeated, left[id_col].eqNullSafe(repeated["_id"]) & (sha == repeated["_sha"]))
+    one = again.groupBy("_id", "_sha").agg(F.min_by(whole, order).alias("_row")).select("_row.*")
+    return once.unionByName(one)
 
 
 def without(docs: DataFrame, key: Column, sha: Column, drop: DataFrame, most: int = 200_000) -> DataFrame:
