@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -103,22 +105,73 @@ def set_distances(q: Column, d: Column) -> dict[str, Column]:
     return {n: found[n] for n in DISTANCES[1:]}
 
 
+#: Bytes of query vectors that are broadcast at once; similarities that a task holds at once.
+QUERY_BYTES, CELLS = 32 << 20, 4_000_000
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
-    """(q, rank, key, cosine): exact neighbours of the query vectors among all rows but themselves.
+    """(q, rank, key, cosine): exact neighbours of the query vectors among all rows but themselves, by rounded cosine, then by key.
 
-    Queries are broadcast.  More than ``most`` are searched in blocks of about that many by a hash of their key, one
-    after the other, whose results are kept in scratch tables.
+    Query vectors are broadcast, at most ``most`` rows and 32 MB at once, and multiplied with the vectors batch by batch;
+    each task keeps the best ``k`` of every query.  More queries are searched in blocks by a hash of their key, whose
+    results are kept in scratch tables.  A zero vector has no cosine and comes last; null vectors take no part.
     """
-    number = queries.count()
-    if number > most:
-        blocks = -(-number // most)
+    queries, vectors = (x.select(key, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull()) for x in (queries, vectors))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("cells")).first()
+    blocks = max(1, -(-size["n"] // most), -(-8 * size["cells"] // QUERY_BYTES))
+    if blocks == 1:
+        found = _nearest(queries, vectors, k, key, vector)
+    else:
         block = lambda b: queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        return reduce(DataFrame.unionByName, [materialize(_nearest(block(b), vectors, k, key, vector), "nearest") for b in range(blocks)])
-    return _nearest(queries, vectors, k, key, vector)
+        found = reduce(DataFrame.unionByName, [materialize(_nearest(block(b), vectors, k, key, vector), "nearest") for b in range(blocks)])
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("cosine"), key))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows of a list column; rows of zeros become NaN."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.full(x.shape, np.nan), where=size > 0)
 
 
 def _nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    asked = F.broadcast(queries.select(F.col(key).alias("q"), F.col(vector).alias("_qv")))
-    scored = vectors.join(asked, F.col(key) != F.col("q")).select("q", key, F.round(cosine(F.col("_qv"), F.col(vector)), 6).alias("cosine"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), key))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    """(q, key, cosine): each task's best ``k`` of every query."""
+    asked, kind = queries.toArrow(), dict(queries.dtypes)[key]
+    schema = f"q {kind}, `{key}` {dict(vectors.dtypes)[key]}, cosine double"
+    if not len(asked):
+        return queries.sparkSession.createDataFrame([], schema)
+    dim = max(1, len(asked[vector][0]))
+    sent = queries.sparkSession.sparkContext.broadcast((asked[key].combine_chunks(), _unit(asked[vector].combine_chunks(), dim)))
+
+    def names(column: pa.Array) -> np.ndarray:
+        found = column.to_numpy(zero_copy_only=False)
+        return found.astype(str) if found.dtype == object else found
+
+    def best(q: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        order = np.lexsort((other, -np.nan_to_num(cosine, nan=-2.0), q))
+        first = np.r_[True, q[order][1:] != q[order][:-1]][: len(order)]
+        starts = np.flatnonzero(first)
+        return order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) < k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, unit = sent.value
+        own_names, held, step = names(own), None, max(1, CELLS // len(own))
+        for batch in batches:
+            for a in range(0, len(batch), step):
+                part = batch.slice(a, step)
+                other = names(part.column(0))
+                cosine = np.round(_unit(part.column(1), dim) @ unit.T, 6)
+                free = other[:, None] != own_names[None, :]
+                if len(part) > k:  # the k-th best of the part bounds what can stay
+                    rank = np.where(free, np.nan_to_num(cosine, nan=-2.0), -3.0)
+                    free &= rank >= np.partition(rank, len(part) - k, 0)[len(part) - k]
+                d, q = np.nonzero(free)
+                new = (q, other[d], cosine[d, q])
+                held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+                held = tuple(x[keep] for keep in [best(*held)] for x in held)
+        if held is not None:
+            q, other, cosine = held
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(q)), pa.array(other.tolist() if other.dtype.kind == "U" else other), pa.array(cosine, from_pandas=True)], ["q", key, "cosine"])
+
+    return vectors.mapInArrow(run, schema)
