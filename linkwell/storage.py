@@ -57,3 +57,40 @@ def discard(*frames: DataFrame) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def listing(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def claim(spark: SparkSession, path: str, text: str) -> None:
+    """Make a file at once and whole, or raise FileExistsError if there is one: of several writers one succeeds."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where, draft = hadoop.Path(path), hadoop.Path(f"{path.rsplit('/', 1)[0]}/.draft-{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    files = where.getFileSystem(conf)
+    files.mkdirs(where.getParent())
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    keep = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    keep[0] = hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(where.toUri(), conf).rename(draft, where, keep)
+    except Exception as e:
+        files.delete(draft, False)
+        if files.exists(where):
+            raise FileExistsError(path) from e
+        raise
