@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from linkwell.functions import text
 from linkwell.operators import metrics, retrieval
-from linkwell.operators.ranking import truncate_lists
+from linkwell.operators.scale import skewed_join
 from linkwell.storage import discard, materialize, table
 
 
@@ -112,11 +112,15 @@ class BoostedRanker:
 def boosted_ranker(train: DataFrame, group: str, features: list[str], target: str, rounds: int = 50, depth: int = 5, rate: float = 0.1, list_size: int = 200, k: int = 10, vali: DataFrame | None = None, patience: int = 10) -> BoostedRanker:
     """LambdaMART: each round's tree is fitted to the gradients of NDCG@k under the scores so far.
 
-    A list is cut to ``list_size`` rows, positives first, then by a hash of the features: the feature of list-wise
-    rankers that bounds what a task holds.  With ``vali`` rows training stops after ``patience`` rounds without a
+    A longer list than ``list_size`` rows is dealt by a hash into lists of about that many, in each of which both classes
+    stand in proportion; so every row takes part and no task holds a long list.  With ``vali`` rows training stops after ``patience`` rounds without a
     better mean NDCG, and the trees up to the best round stay.
     """
-    lists = truncate_lists(train.select(F.col(group).alias("_g"), F.col(target).cast("double").alias("_t"), *features), ["_g"], [F.desc("_t"), F.xxhash64(*features)], list_size)
+    keyed = train.select(F.to_json(F.struct(F.col(group).alias("k"))).alias("_k"), F.col(target).cast("double").alias("_t"), *features)
+    sizes = keyed.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / list_size).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    lists = skewed_join(keyed, sizes, "_k", "_n")
+    # equal rows are dealt apart by their place in the table
+    lists = lists.withColumn("_g", F.concat_ws("/", "_k", F.pmod(F.xxhash64(*features, F.monotonically_increasing_id()), F.col("_m"))))
     rows = materialize(VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(lists).select("_g", "_t", "_x", F.lit(0.0).alias("_s")), "ranker")
 
     def gradient(frame: pd.DataFrame) -> pd.DataFrame:
