@@ -67,8 +67,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = without(left, left[id_col], sha, repeated)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     order = F.struct(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])), F.col(text_col).isNull())
-    again = left.join(repeated, left[id_col].eqNullSafe(repeated["_id"]) & (sha == repeated["_sha"]))
-    one = again.groupBy("_id", "_sha").agg(F.min_by(whole, order).alias("_row")).select("_row.*")
+    rows = left.select(whole.alias("row"), left[id_col].alias("id"), sha.alias("digest"), order.alias("order"))  # the input's names may be any
+    again = rows.join(repeated, rows["id"].eqNullSafe(repeated["_id"]) & (rows["digest"] == repeated["_sha"]))
+    one = again.groupBy("_id", "_sha").agg(F.min_by("row", "order").alias("row")).select("row.*")
     return once.unionByName(one)
 
 
