@@ -4,7 +4,8 @@ A bounded sample of labelled texts gives a vocabulary, its inverse document freq
 truncated singular value decomposition; the labelled vectors are broadcast.  Every document is
 projected, and blocks of documents are multiplied with all labelled vectors, so cosines are exact.
 The nearest ones vote for their label with a weight that grows with their similarity; those as near as the last
-of them vote too.
+of them vote too.  How many vote is chosen on the labelled rows: each is scored by the others, and the
+number with the least squared error, both labels weighing alike, is taken.
 
 Training takes a bounded number of labelled rows, whole texts of any length.  The texts stay on the executors, which
 count terms and then send the driver each document's counts of the chosen terms.
@@ -38,14 +39,15 @@ _EDGE = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 @dataclass(frozen=True)
 class Settings:
     """``sample``: most labelled rows used; ``words``, ``signs``: most terms kept of each kind, each in at least ``seen`` texts.
-    ``size``: axes of the latent space.  ``digits``: decimals at which cosines count as equal.  ``block``: documents multiplied at once.  ``remembered``: most tokens kept in a projector's table."""
+    ``size``: axes of the latent space.  ``digits``: decimals at which cosines count as equal.  ``block``: documents multiplied at once.  ``remembered``: most tokens kept in a projector's table.
+    ``neighbours``: the numbers of neighbours to choose from."""
 
     sample: int = 4000
     words: int = 2000
     signs: int = 400
     seen: int = 3
     size: int = 32
-    neighbours: int = 15
+    neighbours: tuple[int, ...] = (3, 5, 9, 15)
     digits: int = 9
     sharpness: float = 4.0
     sign_weight: float = 3.0
@@ -94,6 +96,7 @@ class Model:
     vectors: np.ndarray
     labels: np.ndarray
     settings: Settings
+    voters: int = 15
 
     def project(self, ids: np.ndarray, number: np.ndarray) -> np.ndarray:
         """The latent vector of counts of terms, in double precision; zero without terms."""
@@ -138,14 +141,32 @@ class Model:
                 out[k : k + len(block)] = prior
                 continue
             cosine = np.round(self.vectorise(block) @ self.vectors.T, s.digits)
-            m = min(s.neighbours, len(self.labels))
-            # all that are as near as the m-th
-            near = cosine >= np.partition(cosine, -m, axis=1)[:, [-m]]
-            weight = np.where(near, np.maximum(cosine, 0), 0) ** s.sharpness
-            total = weight.sum(1)
-            out[k : k + len(block)] = np.where(total > 1e-9, weight @ self.labels / np.where(total > 1e-9, total, 1), prior)
+            out[k : k + len(block)] = self.vote(cosine, self.voters, prior)
         return np.clip(out, 0, 1)
 
+    def vote(self, cosine: np.ndarray, voters: int, prior: float) -> np.ndarray:
+        """The weighted share of label 1 among the ``voters`` nearest of each row, and all that are as near as the last of them."""
+        m = min(voters, cosine.shape[1])
+        near = cosine >= np.partition(cosine, -m, axis=1)[:, [-m]]
+        weight = np.where(near, np.maximum(cosine, 0), 0) ** self.settings.sharpness
+        total = weight.sum(1)
+        return np.where(total > 1e-9, weight @ self.labels / np.where(total > 1e-9, total, 1), prior)
+
+    def choose_voters(self) -> int:
+        """The number of neighbours that scores the labelled rows best when each is left out of its own vote."""
+        s, n = self.settings, len(self.labels)
+        if n < 2 or self.labels.min() == self.labels.max():
+            return s.neighbours[-1]
+        share = np.where(self.labels == 1, self.labels.sum(), n - self.labels.sum())
+        error = dict.fromkeys(s.neighbours, 0.0)
+        for k in range(0, n, s.block):
+            cosine = np.round(self.vectors[k : k + s.block] @ self.vectors.T, s.digits)
+            cosine[np.arange(len(cosine)), np.arange(k, k + len(cosine))] = -1
+            for m in s.neighbours:
+                gap = self.vote(cosine, m, float(self.labels.mean())) - self.labels[k : k + s.block]
+                error[m] += float((gap**2 / share[k : k + s.block]).sum())
+        return min(s.neighbours, key=lambda m: (round(error[m], s.digits), -m))
+
 
 def solve(names: list[str], df: list[int], rows: list[tuple[int, list[int], list[int]]], s: Settings) -> Model:
     """The model of chosen terms, the numbers of texts that hold them, and (label, term places, counts) of each text."""
@@ -163,6 +184,7 @@ def solve(names: list[str], df: list[int], rows: list[tuple[int, list[int], list
     axes = (q @ np.linalg.svd(a @ q, full_matrices=False)[2].T)[:, :k] if k else q
     model = Model({x: i for i, x in enumerate(names)}, idf, np.ascontiguousarray(axes, np.float64), np.zeros((0, k)), np.array([y for y, _, _ in rows], np.float64), s)
     model.vectors = np.stack([model.project(np.array(ids, np.int64), np.array(number)) for _, ids, number in rows]) if rows else model.vectors
+    model.voters = model.choose_voters()
     return model
 
 

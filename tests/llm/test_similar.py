@@ -161,18 +161,39 @@ def test_training_sample_is_bounded(spark):
     assert sample_rows(df, labels, F.lit(True), 7, F.max, "doc_id", "text", "y").count() <= 7
 
 
-def test_learnt_queries_on_held_out_rows(spark):
+# the rarer label of each: precision and recall of calling it, on a table that holds 18 toxic and 11 bad documents
+@pytest.mark.parametrize("name, label, rare, precision, recall", [("op1_toxicity", "toxic", 1, 0.85, 0.7), ("op2_quality", "quality", 0, 0.85, 0.85)])
+def test_learnt_queries_on_held_out_rows(spark, name, label, rare, precision, recall):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    # the rarer label of each: precision and recall of calling it, on a table that holds 18 toxic ones
-    for name, label, rare, precision, recall in (("op1_toxicity", "toxic", 1, 0.85, 0.7), ("op2_quality", "quality", 0, 0.85, 0.85)):
-        got = queries.QUERIES[name](spark, SF)
-        rows = got.join(labels, "doc_id").where("held_out").select("doc_id", "score", "predicted", F.col(label).alias("y")).collect()
-        assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
-        assert all(0 <= r.score <= 1 for r in rows) and all(zlib.crc32(str(r.doc_id).encode()) % (3 if label == "toxic" else 5) == (1 if label == "toxic" else 0) for r in rows)
-        called, true = [r for r in rows if r.predicted == rare], [r for r in rows if r.y == rare]
-        both = sum(r.y == rare for r in called)
-        print(name, len(rows), both / len(called), both / len(true))
-        assert both >= precision * len(called) and both >= recall * len(true)
+    got = queries.QUERIES[name](spark, SF)
+    rows = got.join(labels, "doc_id").where("held_out").select("doc_id", "score", "predicted", F.col(label).alias("y")).collect()
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(0 <= r.score <= 1 for r in rows) and all(zlib.crc32(str(r.doc_id).encode()) % (3 if label == "toxic" else 5) == (1 if label == "toxic" else 0) for r in rows)
+    called, true = [r for r in rows if r.predicted == rare], [r for r in rows if r.y == rare]
+    both = sum(r.y == rare for r in called)
+    print(name, len(rows), both / len(called), both / len(true))
+    assert both >= precision * len(called) and both >= recall * len(true)
+
+
+def test_voters_are_chosen_by_leaving_one_out():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = (x[:, 0] + rng.normal(scale=0.3, size=60) > 0.4).astype(float)
+    s = quality.Settings(neighbours=(1, 4, 11))
+    model = quality.Model({}, np.zeros(0), np.zeros((0, 4)), x, y, s)
+    error = {}
+    for m in s.neighbours:
+        error[m] = 0
+        for i in range(60):
+            cos = np.round(x @ x[i], s.digits)
+            cos[i] = -1
+            near = cos >= np.sort(cos)[-m]
+            w = np.where(near, np.maximum(cos, 0), 0) ** s.sharpness
+            p = (w @ y) / w.sum() if w.sum() > 1e-9 else y.mean()
+            error[m] += (p - y[i]) ** 2 / (y == y[i]).sum()
+    assert model.choose_voters() == min(error, key=error.get)
+    assert quality.Model({}, np.zeros(0), np.zeros((0, 4)), x, np.ones(60), s).choose_voters() == 11
 
 
 def test_learnt_operators_edge_cases(spark):
@@ -192,7 +213,7 @@ def test_quality_votes_are_exact():
     r = random.Random(9)
     texts = [" ".join(r.choice(("alpha", "beta", "gamma", "delta", "###", "ODD")) for _ in range(r.randint(1, 30))) for _ in range(120)]
     labels = [int("###" not in t) for t in texts]
-    s = quality.Settings(neighbours=7, size=5, block=32, seen=1)
+    s = quality.Settings(neighbours=(7,), size=5, block=32, seen=1)
     m = quality.fit(texts, labels, s)
     v, y = m.vectorise(texts), np.array(labels, float)
     for i, got in enumerate(m.score(texts)):
