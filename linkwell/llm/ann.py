@@ -536,6 +536,104 @@ def search(graph: DataFrame, queries: DataFrame, dims: int, s: Settings = Settin
     return pool.mapInArrow(best, "node long, found long")
 
 
+#: Vectors of a code from which it is met in blocks; vectors, and queries, of such a block; bytes of queries that are scanned at once.
+CROWD, BLOCK, SCAN_BYTES = 64, 512, 8 << 20
+
+
+def _rank(part: str, *order: Column | str) -> Column:
+    return F.row_number().over(Window.partitionBy(part).orderBy(*order))
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two tables in double precision, each as the same sum of products wherever it is computed."""
+    a, b = _tame(a), _tame(b)
+    return np.einsum("id,jd->ij", a, b) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+
+
+def _met(asked: DataFrame, met: DataFrame, reps: DataFrame, node_of: DataFrame, dims: int, k: int) -> DataFrame:
+    """(rep, vec_id, score) of the vectors of all nodes that the queries met.
+
+    Vectors of a code that many share are met in blocks: such a block multiplies its queries with its vectors and returns
+    each query's k + 1 best, so a crowd's pairs are no rows and no task gets them all.
+    """
+    held = reps.join(node_of, "code").select(F.col("node").alias("near"), F.col("v").alias("b"), "ids")
+    pairs = materialize(asked.join(met, "node").select("rep", "a", "near"), "ann-met")
+    crowds = held.groupBy("near").agg(F.count(F.lit(1)).alias("vectors")).where(F.col("vectors") > CROWD)
+    crowds = crowds.join(pairs.groupBy("near").agg(F.count(F.lit(1)).alias("queries")), "near")
+    crowds = materialize(crowds.select("near", F.ceil(F.col("vectors") / BLOCK).alias("pieces"), F.ceil(F.col("queries") / BLOCK).alias("parts")), "ann-crowds")
+    wide = F.broadcast(crowds) if crowds.count() <= 100_000 else crowds
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_tame(_vectors(batch.column(i)).reshape(len(batch), dims)) if len(batch) else np.zeros((0, 1)) for i in (2, 3))
+            cosine = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["rep", "ids", "score"])
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        reps, lists = left["rep"].to_numpy(), right["ids"].to_pylist()
+        found: list[tuple[int, int, float]] = []
+        if len(left) and len(right):
+            cosine = _cosines(*(_vectors(t[c].combine_chunks()) for t, c in ((left, "a"), (right, "b"))))
+            ids, of = np.concatenate([np.array(x, np.int64) for x in lists]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            for rep, row in zip(reps.tolist(), cosine, strict=True):
+                score, seen = row[of], set()
+                for j in np.lexsort((ids, -score)):
+                    if ids[j] not in seen:
+                        seen.add(ids[j])
+                        found.append((rep, int(ids[j]), float(score[j])))
+                        if len(seen) > k:
+                            break
+        return pa.table({n: pa.array([x[i] for x in found], t) for i, (n, t) in enumerate((("rep", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
+
+    single = pairs.join(wide.select("near"), "near", "left_anti").join(held, "near").select("rep", "ids", "a", "b")
+    scored = bounded(single).mapInArrow(exact, "rep long, ids array<long>, score double").select("rep", F.explode("ids").alias("vec_id"), "score")
+    if crowds.isEmpty():
+        return scored
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = pairs.join(wide, "near").select("rep", "a", "near", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), every("pieces").alias("piece"))
+    right = held.join(wide, "near").select("b", "ids", "near", F.pmod(F.xxhash64("b"), F.col("pieces")).alias("piece"), every("parts").alias("part"))
+    key = ["near", "part", "piece"]
+    return scored.unionByName(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(block, "rep long, vec_id long, score double"))
+
+
+def _scanned(asking: DataFrame, rows: DataFrame, dims: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): exact answers for ids with several vectors, of which the nearest counts, from every row."""
+    number = asking.count()
+    blocks = -(-number * dims * 8 // SCAN_BYTES)
+
+    def part(i: int) -> DataFrame:
+        chosen = asking.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
+        sent = asking.sparkSession.sparkContext.broadcast((chosen["query_id"].to_numpy(), _vectors(chosen["v"].combine_chunks()).reshape(-1, dims)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, vectors = sent.value
+            best: dict[int, dict[int, float]] = {int(q): {} for q in own}
+            for batch in batches:
+                if not len(batch) or not len(own):
+                    continue
+                ids = batch.column(0).to_numpy()
+                cosine = _cosines(vectors, _vectors(batch.column(1)).reshape(-1, dims))
+                for q in best:
+                    score, held, seen = cosine[own == q].max(0), best[q], set()
+                    for j in np.lexsort((ids, -score)):
+                        i = int(ids[j])
+                        if i != q and i not in seen:
+                            seen.add(i)
+                            held[i] = max(held.get(i, NONE), float(score[j]))
+                            if len(seen) == k:
+                                break
+                    best[q] = dict(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:k])
+            found = [(q, i, v) for q, held in best.items() for i, v in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+        return materialize(bounded(rows.select("id", "v")).mapInArrow(run, "query_id long, vec_id long, score double"), "ann-scanned")
+
+    out = part(0)
+    for i in range(1, blocks):
+        out = out.unionByName(part(i))
+    return out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """For each row for which ``is_query`` (of the column ``id``) holds, its ``k`` nearest other rows:
     query_id, rank (from 1), vec_id, score.  Nearest first, ties to the smaller id.
@@ -543,41 +641,39 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     Rows whose id or vector is null, or whose vector is empty, zero, or holds null or non-finite components take no
     part, nor do vectors of another length than most; vectors of any length and size of components are read whole.
     For equal vectors the k + 1 smallest ids stand: no result can hold more of them.  Rows that repeat an id and its
-    vector count once.  Fewer candidates than ``k`` give fewer ranks; an empty table gives no rows.  Other columns are
+    vector count once.  Of an id that repeats with other vectors the nearest counts, on either side, and an id is never
+    its own neighbour; queries of such ids are answered by a scan of all rows.  Fewer candidates than ``k`` give fewer ranks; an empty table gives no rows.  Other columns are
     ignored, whatever their names.
     """
-    rank = lambda part, *order: F.row_number().over(Window.partitionBy(part).orderBy(*order))
     rows = materialize(coded(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"])), "ann-vectors")
     head = rows.select(F.size("v").alias("d")).first()
     if not head:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = head["d"]
     # distinct vectors with their smallest ids: a window's limit holds before its shuffle, so a very common vector stays small
-    few = rows.withColumn("place", rank("v", "id")).where(F.col("place") <= k + 1)
+    few = rows.withColumn("place", _rank("v", "id")).where(F.col("place") <= k + 1)
     reps = few.groupBy("v", "code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     reps = materialize(reps.select("v", "code", "ids", F.get("ids", 0).alias("rep")), "ann-reps")
     node_of = materialize(reps.groupBy("code").agg(F.min("rep").alias("node")), "ann-codes")
     graph = build(node_of.select(F.col("node").alias("id"), "code"), dims, settings)
     asking = rows.where(is_query).select(F.col("id").alias("query_id"), "v")
+    many = materialize(asking.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("query_id"), "ann-repeated")
+    several = None if many.isEmpty() else materialize(asking.join(many, "query_id"), "ann-several")
+    asking = asking if several is None else asking.join(many, "query_id", "left_anti")
     # each different vector is searched once
     asked = asking.groupBy("v").agg(F.count(F.lit(1)).alias("rows")).join(reps, "v").join(node_of, "code").select("rep", "node", "rows", F.col("v").alias("a"))
     asked = materialize(asked, "ann-asked")
     met = search(graph, asked.select(F.col("node").alias("id")), dims, settings, k).withColumnRenamed("found", "near")
-    held = reps.join(node_of, "code").select(F.col("node").alias("near"), F.col("v").alias("b"), "ids")
-    pairs = asked.join(met, "node").join(held, "near").select("rep", "ids", "a", "b")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (_tame(_vectors(batch.column(i)).reshape(len(batch), dims)) if len(batch) else np.zeros((0, 1)) for i in (2, 3))
-            cosine = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["rep", "ids", "score"])
-
-    scored = bounded(pairs).mapInArrow(exact, "rep long, ids array<long>, score double").select("rep", "score", F.explode("ids").alias("vec_id"))
+    scored = _met(asked, met, reps, node_of, dims, k).groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
     # a query's own id is one of the k + 1, if it is among them at all
-    top = scored.withColumn("place", rank("rep", F.desc("score"), "vec_id")).where(F.col("place") <= k + 1)
+    top = scored.withColumn("place", _rank("rep", F.desc("score"), "vec_id")).where(F.col("place") <= k + 1)
     answers = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
     answers = materialize(asked.join(answers, "rep").select(F.col("a").alias("v"), "rows", "best"), "ann-answers")
     told = skewed_join(asking, answers, "v", "rows")
     others = told.select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     out = others.select("query_id", F.posexplode("best").alias("at", "x"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    out = out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    if several is None:
+        return out
+    scanned = _scanned(several, rows, dims, k).withColumn("rank", _rank("query_id", F.desc("score"), "vec_id")).where(F.col("rank") <= k)
+    return out.unionByName(scanned.select("query_id", "rank", "vec_id", "score"))

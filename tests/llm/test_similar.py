@@ -379,6 +379,43 @@ def test_ann_tight_cluster_and_isolated_query(spark):
     assert ann_recall(spark, np.concatenate([[-base], base + r.normal(size=(2999, 16)) * 0.02])) >= 0.95
 
 
+def brute_by_id(rows, queries, k):
+    """Of ids with several vectors the nearest pair counts; an id is not its own neighbour."""
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        best = {}
+        for i in np.flatnonzero(ids == q):
+            for j, c in enumerate(u @ u[i]):
+                if ids[j] != q:
+                    best[int(ids[j])] = max(best.get(int(ids[j]), -2), c)
+        out[q] = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:k]
+    return out
+
+
+def test_ann_ids_with_several_vectors(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=8)
+    rows = [(0, base + r.normal(size=8) * 1e-3) for _ in range(7)] + [(i, r.normal(size=8)) for i in range(1, 61)] + [(7, base + r.normal(size=8) * 0.1) for _ in range(9)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows] + [(0, rows[0][1].tolist()), (50, None)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for g in ann.nearest(df, F.col("id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got[g.query_id].append((g.rank, g.vec_id, round(g.score, 9)))
+    expected = brute_by_id(rows, (0, 50), 5)
+    assert dict(got) == {q: [(k + 1, i, round(float(c), 9)) for k, (i, c) in enumerate(x)] for q, x in expected.items()}
+
+
+def test_ann_crowd_of_one_code(spark, monkeypatch):
+    """Vectors of one code are met in blocks, with the same answers; equal vectors among them."""
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    r = np.random.default_rng(9)
+    v = np.concatenate([r.normal(size=16)[None] * (1 + r.random((700, 1))) + r.normal(size=(700, 16)) * 1e-5, r.normal(size=(300, 16))])
+    v[100:140] = v[100]
+    assert len(np.unique(ann._codes(v[:700]), axis=0)) < 20
+    assert ann_recall(spark, v, step=10) >= 0.99
+
+
 def test_ann_very_common_vector(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(3000, 16))
