@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkwell.operators.scale import running
+from linkwell.operators.scale import running, skewed_join
 
 INFO = ("qid", "synid", "fid", "target", "train", "vali")
 
@@ -48,3 +48,14 @@ def letor_line(target: Column, group: Column, features: list[Column]) -> Column:
     """``target qid:group 1:v 2:v ...`` with every feature at six decimals."""
     pattern = "%d qid:%d" + "".join(f" {i}:%.6f" for i in range(1, len(features) + 1))
     return F.format_string(pattern, target.cast("long"), group, *[f.cast("double") for f in features])
+
+
+def dealt_lists(df: DataFrame, group: str, features: list[str], size: int) -> DataFrame:
+    """``df`` with ``_g``, the name of a list: a group of more than ``size`` rows is dealt by a hash into lists of about that many.
+
+    Equal rows are dealt apart by their place in the table; null is a group.
+    """
+    keyed = df.withColumn("_n", F.to_json(F.struct(F.col(group).alias("k"))))
+    sizes = keyed.groupBy("_n").agg(F.ceil(F.count(F.lit(1)) / size).alias("_m"), F.count(F.lit(1)).alias("_rows"))
+    dealt = F.pmod(F.xxhash64(*features, F.monotonically_increasing_id()), F.col("_m"))
+    return skewed_join(keyed, sizes, "_n", "_rows").withColumn("_g", F.concat_ws("/", "_n", dealt)).drop("_n", "_m")

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions import text
-from linkwell.operators import metrics, retrieval
-from linkwell.operators.scale import skewed_join
+from linkwell.operators import metrics, retrieval, subwords
+from linkwell.operators.ranking import dealt_lists
+from linkwell.plans import neural
 from linkwell.storage import discard, materialize, table
 
 
@@ -113,14 +114,10 @@ def boosted_ranker(train: DataFrame, group: str, features: list[str], target: st
     """LambdaMART: each round's tree is fitted to the gradients of NDCG@k under the scores so far.
 
     A longer list than ``list_size`` rows is dealt by a hash into lists of about that many, in each of which both classes
-    stand in proportion; so every row takes part and no task holds a long list.  With ``vali`` rows training stops after ``patience`` rounds without a
-    better mean NDCG, and the trees up to the best round stay.
+    stand in proportion; so every row takes part and no task holds a long list.  With ``vali`` rows training stops
+    after ``patience`` rounds without a better mean NDCG, and the trees up to the best round stay.
     """
-    keyed = train.select(F.to_json(F.struct(F.col(group).alias("k"))).alias("_k"), F.col(target).cast("double").alias("_t"), *features)
-    sizes = keyed.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / list_size).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    lists = skewed_join(keyed, sizes, "_k", "_n")
-    # equal rows are dealt apart by their place in the table
-    lists = lists.withColumn("_g", F.concat_ws("/", "_k", F.pmod(F.xxhash64(*features, F.monotonically_increasing_id()), F.col("_m"))))
+    lists = dealt_lists(train.select(F.col(group).alias("_k"), F.col(target).cast("double").alias("_t"), *features), "_k", features, list_size)
     rows = materialize(VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(lists).select("_g", "_t", "_x", F.lit(0.0).alias("_s")), "ranker")
 
     def gradient(frame: pd.DataFrame) -> pd.DataFrame:
@@ -210,9 +207,23 @@ def boosted_ranker_query(spark, d) -> DataFrame:
     return model.score(rows.where("held_out")).select("doc_id", "source", "quality", F.round("score", 6).alias("score"))
 
 
+def neural_query(spark, d) -> DataFrame:
+    rows = _labelled(spark, d)
+    model = neural.train(rows.where("NOT held_out"), "source", FEATURES, "quality", neural.Settings(hidden=(32, 16), dropout=0.1, rate=0.1, steps=40, slices=2))
+    return model.score(rows.where("held_out")).select("doc_id", "source", "quality", F.round("score", 6).alias("score"))
+
+
+def subword_query(spark, d) -> DataFrame:
+    """The nearest words of part names, for those names with their second letter left out."""
+    names = table(spark, d, "part").select(F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("words"))
+    model = subwords.fit(names, subwords.Settings(dim=32, epochs=3, least=2, buckets=50_000, sample=0, shard_words=20_000))
+    word = model.vocabulary.where(F.length("word") > 4).select(F.concat(F.left("word", F.lit(1)), F.substr("word", F.lit(3))).alias("word"))
+    return model.neighbours(word, 3).select("q", "rank", "word", F.round("cosine", 6).alias("cosine"))
+
+
 def neighbours_query(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(retrieval.ascii_terms(F.col("text")).alias("tokens"))
     return word_vectors(docs, size=32).findSynonyms("the", 10).select("word", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {"gbt_classifier": gbt_query, "mlp_classifier": mlp_query, "pairwise_ranker": ranker_query, "boosted_ranker": boosted_ranker_query, "word2vec_neighbors": neighbours_query}
+QUERIES = {"gbt_classifier": gbt_query, "mlp_classifier": mlp_query, "pairwise_ranker": ranker_query, "boosted_ranker": boosted_ranker_query, "neural_ranker": neural_query, "subword_neighbors": subword_query, "word2vec_neighbors": neighbours_query}
