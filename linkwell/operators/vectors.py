@@ -13,41 +13,73 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from linkwell.functions.text import without_stop_words
-from linkwell.operators.retrieval import term_counts
-from linkwell.operators.scale import with_one
 from linkwell.storage import materialize
 
 
+#: Terms up to which their document frequencies are broadcast, 16 bytes each.
+BROADCAST_TERMS = 2_000_000
+
+
 def tfidf(docs: DataFrame, fit_on: DataFrame | None = None, stop: tuple[str, ...] = ()) -> DataFrame:
     """(id, terms) to (id, words, weights): unit rows of tf (ln((1 + N) / (1 + df)) + 1), statistics from ``fit_on``.
 
-    Terms in ``stop`` and terms that ``fit_on`` lacks are left out.  Terms are counted and rows scaled inside their row.
+    Words are 64-bit hashes of terms, ascending.  Terms in ``stop`` and terms that ``fit_on`` lacks are left out, and so are rows
+    of which nothing is left.  Terms are hashed once; up to two million document frequencies are sent to the tasks, which count,
+    weigh and scale inside the row; beyond that terms meet their frequencies by a shuffle.
     """
-    keep = lambda rows: rows.withColumn("terms", without_stop_words(F.col("terms"), stop)) if stop else rows
-    base = keep(fit_on if fit_on is not None else docs)
-    n = base.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = base.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    tf = keep(docs).select("id", F.explode(term_counts(F.col("terms"))).alias("c")).select("id", "c.term", "c.tf")
-    raw = with_one(tf.join(df, "term"), n).select("id", F.struct("term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w")).alias("e"))
-    rows = raw.groupBy("id").agg(F.collect_list("e").alias("e"))
+    def hashed(rows: DataFrame) -> DataFrame:
+        kept = without_stop_words(F.col("terms"), stop) if stop else F.col("terms")
+        return materialize(rows.select("id", F.transform(F.coalesce(kept, F.array().cast("array<string>")), lambda t: F.xxhash64(t)).alias("words")), "tfidf-words")
+
+    rows = hashed(docs)
+    base = rows if fit_on is None else hashed(fit_on)
+    n = base.count()
+    df = materialize(base.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "tfidf-frequencies")
+    if df.count() > BROADCAST_TERMS:
+        return _tfidf_joined(rows, df, n)
+    table = df.orderBy("word").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((table["word"].to_numpy(), np.log((1 + n) / (1 + table["df"].to_numpy())) + 1))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            word, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            order = np.lexsort((word, row))
+            word, row = word[order], row[order]
+            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])][: len(word)])
+            tf, word, row = np.diff(np.r_[first, len(word)]), word[first], row[first]
+            at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+            held = known[at] == word if len(known) else np.zeros(len(word), bool)
+            word, row, weight = word[held], row[held], tf[held] * idf[at[held]]
+            size = np.bincount(row, minlength=len(batch))
+            weight /= np.sqrt(np.bincount(row, weight**2, len(batch)))[row]
+            some = np.flatnonzero(size)
+            offsets = pa.array(np.r_[0, np.cumsum(size[some])].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(offsets, pa.array(word)), pa.ListArray.from_arrays(offsets, pa.array(weight))], ["id", "words", "weights"])
+
+    return materialize(rows.mapInArrow(weigh, f"id {dict(rows.dtypes)['id']}, words array<bigint>, weights array<double>"), "tfidf")
+
+
+def _tfidf_joined(rows: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """As ``tfidf``, for more terms than a task should hold."""
+    tf = rows.withColumn("_row", F.monotonically_increasing_id()).select("id", "_row", F.explode("words").alias("word")).groupBy("_row", "word").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("tf"))
+    raw = tf.join(df, "word").select("_row", "id", F.struct("word", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w")).alias("e"))
+    grouped = raw.groupBy("_row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("e")).alias("e"))  # one row's terms
     size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return rows.select("id", F.col("e.term").alias("words"), F.transform("e", lambda x: x["w"] / size).alias("weights"))
+    return materialize(grouped.select("id", F.col("e.word").alias("words"), F.transform("e", lambda x: x["w"] / size).alias("weights")), "tfidf")
 
 
 @F.pandas_udf(DoubleType())
 def sparse_dot(words: pd.Series, weights: pd.Series, others: pd.Series, other_weights: pd.Series) -> pd.Series:
-    """Sum over common words of the products of their weights, a whole batch at once; 0 where a side is null."""
-    def flat(names: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        held = [(i, n, v) for i, (n, v) in enumerate(zip(names, values, strict=True)) if n is not None and len(n)]
-        if not held:
-            return np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
-        return np.repeat([i for i, _, _ in held], [len(n) for _, n, _ in held]), np.concatenate([n for _, n, _ in held]), np.concatenate([v for _, _, v in held])
-
-    (row, name, value), (row2, name2, value2) = flat(words, weights), flat(others, other_weights)
-    codes, known = pd.factorize(np.concatenate([name, name2]))
-    key, key2 = row * (len(known) + 1) + codes[: len(name)], row2 * (len(known) + 1) + codes[len(name) :]
-    _, at, at2 = np.intersect1d(key, key2, return_indices=True)
-    return pd.Series(np.bincount(row[at].astype(np.int64), value[at] * value2[at2], len(words)))
+    """Sum over common words of the products of their weights; 0 where a side is null.  Words ascend."""
+    out = np.zeros(len(words))
+    for i, (a, x, b, y) in enumerate(zip(words, weights, others, other_weights, strict=True)):
+        if a is not None and b is not None and len(a) and len(b):
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            hit = b[at] == a
+            out[i] = x[hit] @ y[at[hit]]
+    return pd.Series(out)
 
 
 def paired_distance(pairs: DataFrame, weights: DataFrame, q: str = "q", d: str = "d") -> DataFrame:

@@ -13,7 +13,7 @@ from linkwell.functions import similarity, text
 from linkwell.operators import entities, features, joins, metrics, ranking, retrieval, sampling, vectors
 from linkwell.plans import models
 from linkwell.plans.oracle import ORACLE_SQL
-from linkwell.storage import table
+from linkwell.storage import stored, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {}
@@ -269,11 +269,12 @@ def bm25_two_fields(spark, d):
 
 
 def candidates(spark, d) -> DataFrame:
-    return bm25_topk(spark, d).select("qid", F.lit(None).cast("long").alias("synid"), "fid", "score", "ix")
+    """The best documents of each query, searched once for each state of the tables."""
+    return stored(spark, d, ("documents", "benchmark"), "candidates", bm25_topk).select("qid", F.lit(None).cast("long").alias("synid"), "fid", "score", "ix")
 
 
 def truth(spark, d) -> DataFrame:
-    return retrieval.shared_run_truth(asked(spark, d), indexed(spark, d))
+    return stored(spark, d, ("documents", "benchmark"), "truth", lambda spark, d: retrieval.shared_run_truth(asked(spark, d), indexed(spark, d)))
 
 
 @query
@@ -435,9 +436,9 @@ def all_pair_features(spark, d):
 
 @query
 def tfidf_cosine(spark, d):
-    docs = indexed(spark, d).where(F.size("terms") > 0)
-    pairs = docs.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")).join(docs.select(F.col("id").alias("d")), "d", "left_semi")
-    return vectors.paired_distance(pairs, vectors.tfidf(docs)).select("q", "d", r6("distance").alias("distance"))
+    weights = vectors.tfidf(indexed(spark, d).where(F.size("terms") > 0))
+    pairs = weights.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")).join(weights.select(F.col("id").alias("d")), "d", "left_semi")
+    return vectors.paired_distance(pairs, weights).select("q", "d", r6("distance").alias("distance"))
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,23 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+_stored: dict[tuple, tuple[list, DataFrame]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A frame that ``make`` derives from tables: written at first and read from then on, until one of the tables is written anew."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    stamps = []
+    for t in tables:
+        where = hadoop.Path(f"{sf_dir}/{t}.parquet")
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        stamps.append((status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored or _stored[key][0] != stamps:
+        _stored[key] = (stamps, materialize(make(spark, sf_dir), name))
+    return _stored[key][1]
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later step reads."""
     for df in frames:
