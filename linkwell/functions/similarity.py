@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from linkwell.functions import strings as S
+from linkwell.functions import kernels as K
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -83,39 +83,52 @@ def text_features(q: Column, d: Column) -> dict[str, Column]:
     return {"qgram": qgram_distance(a, b), "prefix": _prefix_distance(a, b), "postfix": _prefix_distance(F.reverse(a), F.reverse(b))}
 
 
-MATRICES = {"jaro": S.jaro, "jaro_win": S.jaro_winkler, "lcsseq": S.lcs_similarity}
+#: Matrix features by the measure of their cells, then features of token lists and of joined texts; those of the second line are not in use by default.
+MATRICES = ("jaro", "jaro_win", "lcsseq")
+EXTRA_MATRICES, EXTRA_TEXTS = ("bag", "ratcliff"), ("editex", "affine")
 TOKENS = {
-    "genjack_tok": S.generalised_jaccard,
-    "me_tok": S.monge_elkan,
-    "menw_tok": lambda a, b: S.monge_elkan(a, b, S.needleman_wunsch),
-    "genjack_jw_tok": lambda a, b: S.generalised_jaccard(a, b, S.jaro_winkler, 0.8),
-    "seqratio_tok": S.sequence_ratio,
-    "setratio_tok": S.set_ratio,
+    "genjack_tok": lambda b: b.generalised_jaccard("jaro", 0.5),
+    "me_tok": lambda b: b.monge_elkan("jaro_win"),
+    "menw_tok": lambda b: b.monge_elkan("needleman_wunsch"),
+    "genjack_jw_tok": lambda b: b.generalised_jaccard("jaro_win", 0.8),
+    "seqratio_tok": K.Batch.sequence_ratio,
+    "setratio_tok": K.Batch.set_ratio,
 }
 TEXTS = {
-    "lcsseq": S.lcs_similarity,
-    "lcsstr": S.common_substring,
-    "fuzz_ratio": lambda a, b: S.percent(S.ratio(a, b)),
-    "fuzz_partial_ratio": lambda a, b: S.percent(S.partial_ratio(a, b)),
-    "fuzz_token_sort_ratio": lambda a, b: S.percent(S.token_sort_ratio(a, b)),
-    "fuzz_token_set_ratio": lambda a, b: S.percent(S.token_set_ratio(a, b)),
+    "lcsseq": lambda b: K.lcs_similarities(*b.text),
+    "lcsstr": lambda b: K.PAIRS["lcsstr"](*b.text),
+    "fuzz_ratio": lambda b: K.percent(K.ratios(*b.text)),
+    "fuzz_partial_ratio": lambda b: K.percent(b.partial_ratio()),
+    "fuzz_token_sort_ratio": lambda b: K.percent(b.token_sort_ratio()),
+    "fuzz_token_set_ratio": lambda b: K.percent(b.token_set_ratio()),
+    "editex": lambda b: K.PAIRS["editex"](*b.text),
+    "affine": lambda b: K.PAIRS["affine"](*b.text),
 }
-ARROW_NAMES = [*(f"{m}_{k}" for m in MATRICES for k in range(1, 6)), *TOKENS, *TEXTS]
-
-
-@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ARROW_NAMES]))
-def arrow_features(q: pd.Series, d: pd.Series) -> pd.DataFrame:
-    """All features without a native form, of token arrays; null where a side has no tokens for a matrix."""
-    rows = []
-    for a, b in zip(q, d):
-        a, b = list(a if a is not None else []), list(b if b is not None else [])
-        row: list[float | None] = []
-        for fn in MATRICES.values():
-            row += S.best_matches(a, b, fn) if a and b else [None] * 5
-        row += [float(fn(a, b)) for fn in TOKENS.values()]
-        x, y = " ".join(a), " ".join(b)
-        rows.append(row + [float(fn(x, y)) for fn in TEXTS.values()])
-    return pd.DataFrame(rows, columns=ARROW_NAMES, dtype="float64")
+ARROW_NAMES = [*(f"{m}_{k}" for m in MATRICES for k in range(1, 6)), *TOKENS, *(t for t in TEXTS if t not in EXTRA_TEXTS)]
+EXTRA_NAMES = [*(f"{m}_{k}" for m in EXTRA_MATRICES for k in range(1, 6)), *EXTRA_TEXTS]
+
+
+def batch_features(names: list[str]):
+    """A function of two columns of token arrays to a struct of the named features; only these are computed.
+
+    Null arrays count as empty; matrix features are null where a side has no tokens.
+    """
+    matrix = {f"{m}_{k}": (m, k - 1) for m in (*MATRICES, *EXTRA_MATRICES) for k in range(1, 6)}
+    if unknown := [n for n in names if n not in matrix and n not in TOKENS and n not in TEXTS]:
+        raise ValueError(f"no such features: {unknown}")
+
+    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in names]))
+    def found(q: pd.Series, d: pd.Series) -> pd.DataFrame:
+        batch = K.Batch(*([list(x) if x is not None else [] for x in side] for side in (q, d)))
+        tables = {m: batch.statistics(m) for m in {matrix[n][0] for n in names if n in matrix}}
+        return pd.DataFrame({n: tables[matrix[n][0]][:, matrix[n][1]] if n in matrix else (TOKENS.get(n) or TEXTS[n])(batch) for n in names}, dtype="float64")
+
+    return found
+
+
+def arrow_features(q: Column | str, d: Column | str) -> Column:
+    """All features without a native form that are in use by default, of token arrays."""
+    return batch_features(ARROW_NAMES)(q, d)
 
 
 #: Name to builder of {feature: Column}; users may add their own.

@@ -397,7 +397,7 @@ def prefix_suffix(spark, d):
 
 
 def arrow_part(spark, d, names) -> DataFrame:
-    rows = name_pairs(spark, d).withColumn("f", similarity.arrow_features("q_terms", "d_terms"))
+    rows = name_pairs(spark, d).withColumn("f", similarity.batch_features(names)("q_terms", "d_terms"))
     return rows.select("q_id", "d_id", *[r6(F.col(f"f.{n}")).alias(n) for n in names])
 
 
@@ -426,6 +426,11 @@ def soft_token_features(spark, d):
     return arrow_part(spark, d, list(similarity.TOKENS))
 
 
+@query
+def extra_pair_features(spark, d):
+    return arrow_part(spark, d, similarity.EXTRA_NAMES)
+
+
 @query
 def all_pair_features(spark, d):
     return similarity.pair_features(name_pairs(spark, d)).drop("q_terms", "d_terms")
