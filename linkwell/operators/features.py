@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +19,56 @@ KEY = ["qid", "synid", "fid"]
 EMBEDDING = ("fasttext0", "fasttext1", "fasttext2", "fasttext3")
 
 
+#: Words, and bytes of words and vectors, up to which a vocabulary is sent to every task.
+VOCABULARY_WORDS, VOCABULARY_BYTES = 1_000_000, 128 << 20
+
+
+def _sent(vocabulary: DataFrame, columns: list[str]) -> pa.Table | None:
+    """The vocabulary's distinct words in memory, or None if it is too large for every task."""
+    words = vocabulary.where("word IS NOT NULL").dropDuplicates(["word"]).select("word", *columns)
+    width = sum(F.size(c) * 8 if dict(vocabulary.dtypes)[c].startswith("array") else F.lit(8) for c in columns) if columns else F.lit(0)
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + F.coalesce(width, F.lit(0))).alias("b")).first()
+    return words.toArrow().combine_chunks() if size["n"] <= VOCABULARY_WORDS and (size["b"] or 0) <= VOCABULARY_BYTES else None
+
+
+def _looked_up(texts: DataFrame, tokens: str, table: pa.Table, out: str, kind: str, made) -> DataFrame:
+    """``texts`` with the column ``out``, which ``made`` (place of each token or -1, lengths of the lists) gives, by lookups inside the row."""
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+    kept = [c for c in texts.columns if c != out]
+    types = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("_tokens"))
+            found = pc.fill_null(pc.index_in(lists.flatten(), sent.value["word"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
+            column = made(found, pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), sent.value, lists)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], column], [*kept, out])
+
+    rows = texts.select(*kept, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("_tokens"))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{out}` {kind}").select(*texts.columns, *([] if out in texts.columns else [out]))
+
+
+def _lists(values: pa.Array, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), values)
+
+
+def _held(found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the flat list of the tokens that were found, and how many each list has of them."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    return np.flatnonzero(found >= 0), np.bincount(row[found >= 0], minlength=len(lengths))
+
+
 def known_tokens(texts: DataFrame, key: list[str], vocabulary: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``texts`` with only the tokens that the vocabulary (word) holds, in order; none left gives an empty array."""
+    """``texts`` with only the tokens that the vocabulary (word) holds, in order; none left gives an empty array.
+
+    A vocabulary of bounded size is looked up inside the row; a larger one is joined.
+    """
+    if (table := _sent(vocabulary, [])) is not None:
+        def made(found, lengths, table, lists):
+            at, n = _held(found, lengths)
+            return _lists(lists.flatten().take(pa.array(at)), n)
+
+        return _looked_up(texts, tokens, table, tokens, "array<string>", made)
     each = texts.select(*key, F.posexplode(tokens).alias("_i", "word")).join(vocabulary.select("word").distinct(), "word", "left_semi")
     held = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda x: x["word"]).alias("_held"))
     return null_safe(texts, held, key, "left").withColumn(tokens, F.coalesce("_held", F.array().cast("array<string>"))).drop("_held")
@@ -24,17 +77,35 @@ def known_tokens(texts: DataFrame, key: list[str], vocabulary: DataFrame, tokens
 def token_vectors(texts: DataFrame, key: list[str], vectors: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(key, vectors): the vectors (word, vector) of each text's known tokens, in order.
 
-    Give it every text once: the vectors of a query then serve all its pairs.
+    Give it every text once: the vectors of a query then serve all its pairs.  Vectors of bounded size are looked up inside
+    the row; larger ones are joined.
     """
-    each = texts.select(*key, F.posexplode(tokens).alias("_i", "word")).join(vectors.select("word", F.col("vector").cast("array<double>").alias("_v")), "word")
+    vectors = vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
+    if (table := _sent(vectors, ["vector"])) is not None:
+        def made(found, lengths, table, lists):
+            at, n = _held(found, lengths)
+            return _lists(table["vector"].combine_chunks().take(pa.array(found[at])), n)
+
+        rows = texts.select(*key, F.col(tokens).alias("_words"))
+        return _looked_up(rows, "_words", table, "vectors", "array<array<double>>", made).drop("_words")
+    each = texts.select(*key, F.posexplode(tokens).alias("_i", "word")).join(vectors.withColumnRenamed("vector", "_v"), "word")
     held = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("vectors"))
     return null_safe(texts.select(*key), held, key, "left").withColumn("vectors", F.coalesce("vectors", F.array().cast("array<array<double>>")))
 
 
 def vocabulary_ids(texts: DataFrame, key: list[str], vocabulary: DataFrame, tokens: str = "tokens", missing: int = -1) -> DataFrame:
-    """``texts`` with the ids of their tokens in a vocabulary (word, id), in order, as ``ids``; ``missing`` for unknown ones."""
-    words = vocabulary.select("word", F.col("id").cast("long").alias("_id"))
-    each = texts.select(*key, F.posexplode(tokens).alias("_i", "word")).join(words, "word", "left")
+    """``texts`` with the ids of their tokens in a vocabulary (word, id), in order, as ``ids``; ``missing`` for unknown ones.
+
+    A vocabulary of bounded size is looked up inside the row; a larger one is joined.
+    """
+    words = vocabulary.select("word", F.col("id").cast("long").alias("id"))
+    if (table := _sent(words, ["id"])) is not None:
+        def made(found, lengths, table, lists):
+            ids = np.r_[table["id"].to_numpy(), missing]
+            return _lists(pa.array(ids[np.where(found >= 0, found, len(ids) - 1)].astype(np.int64)), lengths)
+
+        return _looked_up(texts, tokens, table, "ids", "array<bigint>", made)
+    each = texts.select(*key, F.posexplode(tokens).alias("_i", "word")).join(words.withColumnRenamed("id", "_id"), "word", "left")
     held = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_id", F.lit(missing)).alias("_id")))), lambda x: x["_id"]).alias("ids"))
     return null_safe(texts, held, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 

@@ -23,8 +23,8 @@ from linkwell.operators.joins import small
 from linkwell.storage import materialize
 
 K1, B = 1.2, 0.75
-#: Query terms of one block, which are collected and broadcast; scores that a task holds at once.
-BLOCK_TERMS, CELLS = 1_000_000, 4_000_000
+#: Query terms and queries of one block, which are collected and broadcast; scores that a task holds at once.
+BLOCK_TERMS, BLOCK_QUERIES, CELLS = 1_000_000, 20_000, 4_000_000
 
 
 def ascii_terms(text: Column) -> Column:
@@ -105,7 +105,8 @@ def search(queries: DataFrame, index: Index, n: int = 20, boosts: dict[str, floa
     boost (1 for all by default).  Only documents that hold a term are found.  Ties go to the smaller id.
     """
     asked = materialize(queries.select("qid", F.explode("terms").alias("term")).where("term IS NOT NULL").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
-    blocks = -(-asked.count() // BLOCK_TERMS)
+    size = asked.agg(F.count(F.lit(1)).alias("terms"), F.count_distinct("qid").alias("queries")).first()
+    blocks = max(-(-size["terms"] // BLOCK_TERMS), -(-size["queries"] // BLOCK_QUERIES))
     if not blocks:
         return queries.sparkSession.createDataFrame([], f"qid {dict(asked.dtypes)['qid']}, fid long, score double, ix int")
     parts = [asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked for i in range(blocks)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkwell.functions import similarity, text
 from linkwell.operators import entities, features, joins, metrics, ranking, retrieval, sampling, vectors
+from linkwell.operators.quantiles import quantiles
 from linkwell.plans import models
 from linkwell.plans.oracle import ORACLE_SQL
 from linkwell.storage import stored, table
@@ -624,8 +625,10 @@ def match_share(spark, d):
 
 @query
 def describe_prob(spark, d):
-    q = lambda p: F.percentile("prob", p)
-    return judged(spark, d).agg(F.count("prob").alias("n"), r6(F.avg("prob")).alias("mean"), r6(F.stddev_samp("prob")).alias("std"), F.min("prob").alias("lo"), r6(q(F.lit(0.25))).alias("q1"), r6(q(F.lit(0.5))).alias("q2"), r6(q(F.lit(0.75))).alias("q3"), F.max("prob").alias("hi"))
+    rows = judged(spark, d)
+    quartiles = {f"q{k}": r6(F.lit(v).cast("double")) for k, v in enumerate(quantiles(rows, "prob", [0.25, 0.5, 0.75]), 1)}
+    whole = rows.agg(F.count("prob").alias("n"), r6(F.avg("prob")).alias("mean"), r6(F.stddev_samp("prob")).alias("std"), F.min("prob").alias("lo"), F.max("prob").alias("hi"))
+    return whole.select("n", "mean", "std", "lo", *[c.alias(n) for n, c in quartiles.items()], "hi")
 
 
 @query
