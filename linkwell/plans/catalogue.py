@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwell.functions import similarity, text
-from linkwell.operators import entities, features, joins, metrics, ranking, retrieval, sampling, vectors
+from linkwell.operators import entities, features, joins, metrics, ranking, retrieval, sampling, segments, vectors
 from linkwell.operators.quantiles import quantiles
 from linkwell.plans import models
 from linkwell.plans.oracle import ORACLE_SQL
-from linkwell.storage import stored, table
+from linkwell.storage import materialize, scratch_path, stored, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {}
@@ -269,6 +269,34 @@ def bm25_two_fields(spark, d):
     return retrieval.search(asking, retrieval.build_index(docs, ["name", "synonyms"], count_empty=False), 20, {"name": 5.0, "synonyms": 1.0})
 
 
+def grown(spark, docs: DataFrame, fields: list[str], count_empty: bool) -> segments.SegmentIndex:
+    """An index that four arrivals, a correction and merges have made; a fourth of the documents came twice."""
+    index = segments.SegmentIndex(spark, scratch_path(spark, "segments"), fields, count_empty)
+    docs = materialize(docs, "arrivals")
+    arrival = F.pmod(F.xxhash64("id"), F.lit(4))
+    for i in range(4):
+        index.add(docs.where(arrival == i))
+    old = docs.where(arrival == 1).select("id", *[F.array(F.lit("outdated")).alias(f) for f in fields])
+    index.add(old)
+    index.add(docs.where(arrival == 1))
+    index.merge()
+    return index
+
+
+@query
+def segment_topk(spark, d):
+    return grown(spark, indexed(spark, d), ["terms"], True).search(asked(spark, d))
+
+
+@query
+def segment_two_fields(spark, d):
+    part = table(spark, d, "part")
+    terms = lambda *c: text.analyse(F.concat_ws(" ", *c))
+    docs = part.select(F.col("p_partkey").alias("id"), terms("p_name", "p_brand").alias("name"), terms("p_type", "p_name").alias("synonyms"))
+    asking = part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("qid")).select("qid", terms("p_name", "p_type").alias("terms"))
+    return grown(spark, docs, ["name", "synonyms"], False).search(asking, 20, {"name": 5.0, "synonyms": 1.0})
+
+
 def candidates(spark, d) -> DataFrame:
     """The best documents of each query, searched once for each state of the tables."""
     return stored(spark, d, ("documents", "benchmark"), "candidates", bm25_topk).select("qid", F.lit(None).cast("long").alias("synid"), "fid", "score", "ix")

@@ -329,3 +329,5 @@ WITH {JUDGED} SELECT count(prob) AS n, round(avg(prob), 6) AS mean, round(stddev
     "size_classes": "SELECT n, count(*) AS orgs, string_agg(source, ',' ORDER BY source) AS members FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) GROUP BY n",
     "watch_list": f"WITH {JUDGED} SELECT j.source, j.doc_id, target, prob, text FROM judged j JOIN documents d ON j.doc_id = d.doc_id",
 }
+#: An index that has grown answers as one built at once.
+ORACLE_SQL |= {"segment_topk": ORACLE_SQL["bm25_topk"], "segment_two_fields": ORACLE_SQL["bm25_two_fields"]}
