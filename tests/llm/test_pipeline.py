@@ -76,3 +76,21 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     assert len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, DIR).count() > 50
+
+
+ODD = [
+    (1, "one good text of some words", "en", "s1", 27), (1, "one good text of some words", "en", "s1", 27), (2, None, None, None, None), (2, "", "en", "s1", 0), (None, "a text without an id", "de", None, None),
+    (3, "one good text of some words", None, "s2", 27), (4, "Ein ganz anderer Satz steht hier", "de", "s2", 32)]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, stage):
+    """Nulls, repeated rows, extra columns with names that stages use themselves, and no rows at all."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs.withColumns({c: F.lit("x") for c in ("_id", "_sha", "sha", "fp", "root", "score", "predicted", "_copies", "_size", "kept", "keep_id", "component_id", "n_tokens")})
+    got, plain = (stage(spark, d, DIR) for d in (clashing, docs))
+    row = lambda df: sorted(map(repr, df.select("doc_id", *[c for c in df.columns if c in (corpus_pipeline.COLUMNS if df.columns == list(corpus_pipeline.COLUMNS) else ("n_tokens", "ids_sha256"))]).collect()))
+    assert row(got) == row(plain) and (stage is not corpus_pipeline.drop_toxic or len(row(plain)) == len(ODD))
+    assert stage(spark, docs.limit(0), DIR).collect() == []
+    if stage is corpus_pipeline.drop_exact_copies:
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()) == [(False, 2, ""), (False, 3, "one good text of some words"), (False, 4, "Ein ganz anderer Satz steht hier"), (True, 0, "a text without an id")]
