@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkwell.operators.ranking import letor_line, number_groups
 from linkwell.operators.sampling import parts
+from linkwell.sources import records
 
 
 def write_ranking(df: DataFrame, path: str, keys: list[str], target: str, features: list[str], order: list[str]) -> None:
@@ -79,15 +80,22 @@ def read_features(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
 
 
-def write_records(samples: DataFrame, path: str, columns: list[str], files: int = 1) -> None:
-    """``path``/train, vali and test, as record files of the named columns (terms, term ids or vectors); see ``sampling.parts``."""
+def write_records(samples: DataFrame, path: str, columns: list[str], files: int = 1, framed: bool = False) -> None:
+    """``path``/train, vali and test, as record files of the named columns (terms, term ids or vectors); see ``sampling.parts``.
+
+    The files are Parquet or, if ``framed``, check-summed records; see ``records``.
+    """
     for name, part in zip(("train", "vali", "test"), parts(samples), strict=True):
-        part.select(*columns).repartition(files).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows = part.select(*columns).repartition(files)
+        if framed:
+            records.write(rows, f"{path}/{name}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def read_records(spark: SparkSession, path: str, split: str, terms: dict[str, int] | None = None, fill=0) -> DataFrame:
+def read_records(spark: SparkSession, path: str, split: str, terms: dict[str, int] | None = None, fill=0, framed: bool = False) -> DataFrame:
     """The records of one split, whose array columns in ``terms`` are cut or filled to a size."""
-    rows = spark.read.parquet(f"{path}/{split}")
+    rows = records.read(spark, f"{path}/{split}") if framed else spark.read.parquet(f"{path}/{split}")
     for column, size in (terms or {}).items():
         rows = padded(rows, column, size, fill)
     return rows
