@@ -93,7 +93,7 @@ def test_manifest_survives_small_blocks(spark, monkeypatch):
     """Blocks of nine leaves: many passes."""
     monkeypatch.setattr(merkle, "LEVELS", 2)
     monkeypatch.setattr(merkle, "BLOCK", 9)
-    for n in (1, 2, 3, 9, 10, 28, 81, 82, 250):
+    for n in (1, 3, 10, 82, 250):
         rows = [(i, f"t{i}\n", "en", "hot" if i % 3 else None, i) for i in range(n)]
         assert manifest(spark.createDataFrame(rows, SCHEMA)) == brute_manifest(rows), n
 
