@@ -134,11 +134,12 @@ def records(pieces: DataFrame) -> DataFrame:
     listed = bool(head and re.match(r'\s*\{\s*"Database"\s*:\s*\[', head["value"]))
     depth = 5 if listed else 4
     closes = ~F.col("inside") & (F.col("ends") == depth - 1)
-    ahead = Window.partitionBy("file", "split").orderBy("i").rowsBetween(0, Window.unboundedFollowing)
+    # backwards: a frame that ends with its partition would be summed anew for every row
+    ahead = Window.partitionBy("file", "split").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     marked = placed.withColumn("end", F.min(F.when(closes, F.struct("split", "i"))).over(ahead))
     firsts = marked.groupBy("file", "split").agg(F.min("end").alias("first"), F.min(F.when(~F.col("inside") & (F.col("ends") == 2), F.struct("split", "i"))).alias("item"))
-    later = Window.partitionBy("file").orderBy("split").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.withColumns({"next": F.first("first", ignorenulls=True).over(later), "item": F.min("item").over(Window.partitionBy("file"))})
+    later = Window.partitionBy("file").orderBy(F.desc("split")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumns({"next": F.last("first", ignorenulls=True).over(later), "item": F.min("item").over(Window.partitionBy("file"))})
     firsts = small(materialize(firsts.select("file", "split", "next", "item"), "dump-ends"))
     led = marked.join(firsts, ["file", "split"]).withColumn("end", F.coalesce("end", "next")).where("end IS NOT NULL")
     if listed:
