@@ -5,28 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from linkwell.batches import BYTES, KEY, ROWS, ROWS_KEY, bounded
 
-T = TypeVar("T")
-BYTES, KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
-ROWS, ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+__all__ = ["BYTES", "KEY", "ROWS", "ROWS_KEY", "bounded", "kept"]
 
+T = TypeVar("T")
 _kept: dict[tuple, object] = {}
 
 
-def bounded(df: DataFrame, rows: int = ROWS) -> DataFrame:
-    """``df``, whose session now sends Python at most about 4 MB at once, or less if it was set so, or ``rows`` rows.
-
-    A batch always holds whole rows, so one longer text makes a batch of its own.
-    """
-    conf = df.sparkSession.conf
-    now = int(str(conf.get(KEY)).removesuffix("b").removesuffix("B"))
-    if now <= 0 or now > BYTES:
-        conf.set(KEY, str(BYTES))
-    conf.set(ROWS_KEY, str(rows))
-    return df
-
-
 def kept(key: tuple, make: Callable[[], T]) -> T:
     """An object of this worker process, made once for each key.  Only the newest is kept, so tables don't add up."""
     if key not in _kept:

@@ -8,15 +8,17 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from linkwell.batches import bounded
 from linkwell.functions.text import without_stop_words
 from linkwell.storage import materialize
 
 
-#: Terms up to which their document frequencies are broadcast, 16 bytes each.
+#: Terms whose document frequencies are broadcast at once, 16 bytes each: the most frequent ones.
 BROADCAST_TERMS = 2_000_000
 
 
@@ -24,50 +26,82 @@ def tfidf(docs: DataFrame, fit_on: DataFrame | None = None, stop: tuple[str, ...
     """(id, terms) to (id, words, weights): unit rows of tf (ln((1 + N) / (1 + df)) + 1), statistics from ``fit_on``.
 
     Words are 64-bit hashes of terms, ascending.  Terms in ``stop`` and terms that ``fit_on`` lacks are left out, and so are rows
-    of which nothing is left.  Terms are hashed once; up to two million document frequencies are sent to the tasks, which count,
-    weigh and scale inside the row; beyond that terms meet their frequencies by a shuffle.
+    of which nothing is left.  Terms are hashed once; up to two million document frequencies, the highest, are sent to the tasks,
+    which count, weigh and scale inside the row.  Only the rarer terms, if there are more, meet their frequencies by a shuffle.
     """
     def hashed(rows: DataFrame) -> DataFrame:
         kept = without_stop_words(F.col("terms"), stop) if stop else F.col("terms")
-        return materialize(rows.select("id", F.transform(F.coalesce(kept, F.array().cast("array<string>")), lambda t: F.xxhash64(t)).alias("words")), "tfidf-words")
+        words = F.transform(F.coalesce(kept, F.array().cast("array<string>")), lambda t: F.xxhash64(t))
+        return materialize(rows.select("id", words.alias("words"), F.monotonically_increasing_id().alias("_row")), "tfidf-words")
 
     rows = hashed(docs)
     base = rows if fit_on is None else hashed(fit_on)
     n = base.count()
     df = materialize(base.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "tfidf-frequencies")
-    if df.count() > BROADCAST_TERMS:
-        return _tfidf_joined(rows, df, n)
-    table = df.orderBy("word").toArrow()
+    least = _least_sent(df)
+    table = df.where(F.col("df") >= least).orderBy("word").toArrow()
+    idf = lambda d: F.log((1 + F.lit(n)) / (1 + d)) + 1
     sent = docs.sparkSession.sparkContext.broadcast((table["word"].to_numpy(), np.log((1 + n) / (1 + table["df"].to_numpy())) + 1))
+    kind = dict(rows.dtypes)["id"]
+
+    def places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = sent.value[0]
+        at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+        return at, known[at] == words if len(known) else np.zeros(len(words), bool)
+
+    def counted(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        word, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        order = np.lexsort((word, row))
+        word, row = word[order], row[order]
+        first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])][: len(word)])
+        return word[first], row[first], np.diff(np.r_[first, len(word)])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, row, _ = counted(batch.column(1))
+            _, held = places(word)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[~held])), pa.array(word[~held])], ["_row", "word"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = sent.value
         for batch in batches:
-            lists = batch.column(1)
-            word, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
-            order = np.lexsort((word, row))
-            word, row = word[order], row[order]
-            first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])][: len(word)])
-            tf, word, row = np.diff(np.r_[first, len(word)]), word[first], row[first]
-            at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-            held = known[at] == word if len(known) else np.zeros(len(word), bool)
-            word, row, weight = word[held], row[held], tf[held] * idf[at[held]]
+            word, row, tf = counted(batch.column(1))
+            at, held = places(word)
+            each = np.full(len(word), np.nan)
+            each[held] = sent.value[1][at[held]]
+            if batch.num_columns > 2:
+                found = batch.column(2).flatten()
+                fitted = np.repeat(np.arange(len(batch)), pc.fill_null(batch.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False))
+                # a rare term stands next to its own entry once both are sorted together
+                ours = np.flatnonzero(~held)
+                r, w = np.r_[row[ours], fitted], np.r_[word[ours], found.field("word").to_numpy()]
+                order = np.lexsort((np.r_[np.zeros(len(ours)), np.ones(len(fitted))], w, r))
+                r, w = r[order], w[order]
+                same = np.flatnonzero((r[1:] == r[:-1]) & (w[1:] == w[:-1]))
+                each[ours[order[same]]] = found.field("idf").to_numpy()[order[same + 1] - len(ours)]
+                held = ~np.isnan(each)
+            word, row, weight = word[held], row[held], tf[held] * each[held]
             size = np.bincount(row, minlength=len(batch))
             weight /= np.sqrt(np.bincount(row, weight**2, len(batch)))[row]
             some = np.flatnonzero(size)
             offsets = pa.array(np.r_[0, np.cumsum(size[some])].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(offsets, pa.array(word)), pa.ListArray.from_arrays(offsets, pa.array(weight))], ["id", "words", "weights"])
 
-    return materialize(rows.mapInArrow(weigh, f"id {dict(rows.dtypes)['id']}, words array<bigint>, weights array<double>"), "tfidf")
-
-
-def _tfidf_joined(rows: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """As ``tfidf``, for more terms than a task should hold."""
-    tf = rows.withColumn("_row", F.monotonically_increasing_id()).select("id", "_row", F.explode("words").alias("word")).groupBy("_row", "word").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(df, "word").select("_row", "id", F.struct("word", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w")).alias("e"))
-    grouped = raw.groupBy("_row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("e")).alias("e"))  # one row's terms
-    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return materialize(grouped.select("id", F.col("e.word").alias("words"), F.transform("e", lambda x: x["w"] / size).alias("weights")), "tfidf")
+    parts = bounded(rows).select("id", "words")
+    if least > 1:
+        rare = rows.select("_row", "words").mapInArrow(rest, "_row long, word long").join(df.where(F.col("df") < least), "word")
+        lists = rare.groupBy("_row").agg(F.collect_list(F.struct("word", idf(F.col("df")).alias("idf"))).alias("rare"))
+        parts = rows.join(lists, "_row", "left").select("id", "words", "rare")
+    return materialize(parts.mapInArrow(weigh, f"id {kind}, words array<bigint>, weights array<double>"), "tfidf")
+
+
+def _least_sent(df: DataFrame) -> int:
+    """The least power of two from which on there are at most ``BROADCAST_TERMS`` document frequencies."""
+    sizes = {r["k"]: r["n"] for r in df.groupBy((F.length(F.bin("df")) - 1).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, held = max(sizes, default=0) + 1, 0
+    while least and held + sizes.get(least - 1, 0) <= BROADCAST_TERMS:
+        least -= 1
+        held += sizes.get(least, 0)
+    return 1 << least
 
 
 @F.pandas_udf(DoubleType())

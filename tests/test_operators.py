@@ -232,3 +232,16 @@ def test_every_row_trains_the_ranker(spark):
     pairs = models.ranked_pairs(spark.createDataFrame(labelled, "g string, t int, x double"), "g", ["x"], "t", 10).collect()
     assert len({(r._g, r.p_x, r.n_x) for r in pairs}) == len(pairs) == 30 * 2 + 50 * 10
     assert {(r._g, v) for r in pairs for v in (r.p_x, r.n_x)} == {(g, x) for g, _, x in labelled if g != "c"}
+
+
+def test_tfidf_sends_the_most_frequent_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "c"]), (2, ["a", "b", "d", "e", "e"]), (3, []), (4, ["f"]), (5, None)], "id long, terms array<string>")
+    fit = docs.where("id < 4")
+    found = lambda on: sorted((r["id"], r["words"], [round(w, 12) for w in r["weights"]]) for r in vectors.tfidf(docs, on).collect())
+    whole = found(None), found(fit)
+    assert sorted(len(w) for _, w, _ in whole[0]) == [1, 2, 2, 4] and len(whole[1]) == 3
+    frequencies = spark.createDataFrame([(1, 9), (2, 8), (3, 3), (4, 1), (5, 1)], "word long, df long")
+    for most, least in ((5, 1), (4, 2), (2, 4), (1, 16)):
+        monkeypatch.setattr(vectors, "BROADCAST_TERMS", most)
+        assert vectors._least_sent(frequencies) == least
+        assert (found(None), found(fit)) == whole
