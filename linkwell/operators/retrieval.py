@@ -18,13 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkwell.batches import bounded
 from linkwell.functions.text import bound
 from linkwell.operators.joins import small
 from linkwell.storage import materialize
 
 K1, B = 1.2, 0.75
-#: Query terms and queries of one block, which are collected and broadcast; scores that a task holds at once.
-BLOCK_TERMS, BLOCK_QUERIES, CELLS = 1_000_000, 20_000, 4_000_000
+#: Query terms and queries of one block, which are collected and broadcast; scores, and gains that add up to them, that a task holds at once.
+BLOCK_TERMS, BLOCK_QUERIES, CELLS = 1_000_000, 20_000, 1_000_000
+#: Runs of the queries, 8 bytes each, up to which they are sent to every task.
+SENT_RUNS = 4_000_000
 
 
 def ascii_terms(text: Column) -> Column:
@@ -118,6 +121,15 @@ def search(queries: DataFrame, index: Index, n: int = 20, boosts: dict[str, floa
     return reduce(DataFrame.unionByName, found).withColumn("ix", place - 1).where(F.col("ix") < n)
 
 
+def _steps(load: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents whose scores, and the gains that add up to them, are few enough to be held at once."""
+    upto, a = np.cumsum(load), 0
+    while a < len(load):
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CELLS, "right")))
+        yield a, z
+        a = z
+
+
 def _search_block(asked: DataFrame, index: Index, n: int, boosts: dict[str, float], k1: float, b: float) -> DataFrame:
     entries = asked.toArrow()
     known = index.frequencies.where(F.col("field").isin(*boosts)).join(small(asked.select("term").distinct()), "term", "left_semi").toArrow()
@@ -141,31 +153,41 @@ def _search_block(asked: DataFrame, index: Index, n: int, boosts: dict[str, floa
         starts = np.flatnonzero(first)
         return order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) < n]
 
-    def scores(batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros(len(batch) * width)
+    def gains(batch: pa.RecordBatch) -> list[tuple]:
+        """For each field: the places in its lists that a document's terms lead to, by document, and what a query gains there, without its weight."""
+        out = []
         for i, (words, starts, who, weight, mean) in enumerate(sent.value.values()):
             dl, terms, tfs = batch.column(1 + 3 * i).to_numpy(), batch.column(2 + 3 * i), batch.column(3 + 3 * i)
             t = pc.fill_null(pc.index_in(terms.flatten(), words), -1).to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(batch)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))[t >= 0]
             tf, t = tfs.flatten().to_numpy()[t >= 0], t[t >= 0]
             part = tf / (tf + k1 * (1 - b + b * dl[doc] / mean))
+            out.append((doc, starts[t], starts[t + 1] - starts[t], part, who, weight))
+        return out
+
+    def scores(fields: list[tuple], a: int, z: int) -> np.ndarray:
+        out = np.zeros((z - a) * width)
+        for doc, first, size, part, who, weight in fields:
+            here = slice(*np.searchsorted(doc, (a, z)))
+            size = size[here]
             # each entry meets the queries of its term
-            size = starts[t + 1] - starts[t]
-            entry = np.repeat(np.arange(len(t)), size)
-            at = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size) + starts[t][entry]
-            out += np.bincount(doc[entry] * width + who[at], part[entry] * weight[at], len(out))
-        return out.reshape(len(batch), width)
+            entry = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size) + first[here][entry]
+            out += np.bincount((doc[here] - a)[entry] * width + who[at], part[here][entry] * weight[at], len(out))
+        return out.reshape(z - a, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, fid, score, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(width)
-        step = max(1, CELLS // width)
         for batch in batches:
-            for a in range(0, len(batch), step):
-                part = batch.slice(a, step)
-                raw = scores(part)
+            fields, ids = gains(batch), batch.column(0).to_numpy()
+            load = np.full(len(batch), float(width))
+            for doc, _, size, *_ in fields:
+                load += np.bincount(doc, size, len(batch))
+            for a, z in _steps(load):
+                raw = scores(fields, a, z)
                 s = np.round(raw, 6)
                 d, w = np.nonzero((raw > 0) & (s >= least))
-                q, fid, score = np.concatenate([q, w]), np.concatenate([fid, part.column(0).to_numpy()[d]]), np.concatenate([score, s[d, w]])
+                q, fid, score = np.concatenate([q, w]), np.concatenate([fid, ids[a + d]]), np.concatenate([score, s[d, w]])
                 if len(q) > 4 * n * width:
                     keep = best(q, fid, score)
                     q, fid, score = q[keep], fid[keep], score[keep]
@@ -175,7 +197,7 @@ def _search_block(asked: DataFrame, index: Index, n: int, boosts: dict[str, floa
         yield pa.RecordBatch.from_arrays([pc.take(qids, pa.array(q[keep])), pa.array(fid[keep]), pa.array(score[keep])], ["qid", "fid", "score"])
 
     columns = [c for f in boosts for c in (f"dl_{f}", f"terms_{f}", f"tfs_{f}")]
-    return index.rows.select("id", *columns).mapInArrow(run, f"qid {dict(asked.dtypes)['qid']}, fid long, score double")
+    return bounded(index.rows.select("id", *columns)).mapInArrow(run, f"qid {dict(asked.dtypes)['qid']}, fid long, score double")
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = 20, k1: float = K1, b: float = B) -> DataFrame:
@@ -185,24 +207,67 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = 20, k1: float = K1,
 
 def shingles(terms: Column, width: int) -> Column:
     """Runs of ``width`` terms joined by a space; none if there are fewer."""
-    return _runs(terms, width, lambda r: F.array_join(r, " "), "string")
+    n = F.size(terms) - (width - 1)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(terms, i, width), " "))
+    return F.when(n >= 1, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _runs(terms: Column, width: int, made, kind: str) -> Column:
-    n = F.size(terms) - (width - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: made(F.slice(terms, i, width)))
-    return F.when(n >= 1, runs).otherwise(F.array().cast(f"array<{kind}>"))
+def _run_hashes(hashes: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and 64-bit hash of all runs of ``width`` terms: the sum of the terms' hashes, each times an odd factor for its place."""
+    flat = hashes.flatten().to_numpy().view(np.uint64)
+    n = pc.fill_null(hashes.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    runs = np.maximum(n - width + 1, 0)
+    row = np.repeat(np.arange(len(n)), runs)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+    start = np.repeat(np.cumsum(n) - n, runs) + place
+    out = np.zeros(len(row), np.uint64)
+    for k in range(width):
+        out += flat[start + k] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64))
+    return row, place, out.view(np.int64)
+
+
+def _spelled(terms: pa.ListArray, row: np.ndarray, place: np.ndarray, width: int) -> pa.Array:
+    """Runs as text, their terms joined by a space."""
+    flat, n = terms.flatten(), pc.fill_null(terms.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    start = (np.cumsum(n) - n)[row] + place
+    picked = flat.take(pa.array((start[:, None] + np.arange(width)).ravel()))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(row) + 1, width, dtype=np.int32)), picked), " ")
 
 
 def shared_run_truth(queries: DataFrame, docs: DataFrame, width: int = 8) -> DataFrame:
     """(qid, true_id): the smallest document that shares a run of ``width`` terms with the query.
 
-    Runs meet by a 64-bit hash; the terms of the runs that met are compared.
+    Up to four million hashes of the queries' runs are sent to the tasks, which look all runs of their documents up; more are joined
+    by shuffle.  Only runs that met are spelled out, and they are compared as text.
     """
-    hashed = lambda t: _runs(t, width, lambda r: F.xxhash64(F.array_join(r, " ")), "bigint")
-    asked = queries.select("qid", "terms", F.posexplode(hashed(F.col("terms"))).alias("i", "run"))
-    asked = materialize(asked.select("qid", "run", F.array_join(F.slice("terms", F.col("i") + 1, width), " ").alias("asked")).distinct(), "asked-runs")
-    met = docs.select("id", F.posexplode(hashed(F.col("terms"))).alias("at", "run")).join(small(asked), "run")
-    met = materialize(met.groupBy("qid", "id", "asked").agg(F.collect_set("at").alias("at")), "met-runs")
-    same = F.exists("at", lambda p: F.array_join(F.slice("terms", p + 1, width), " ") == F.col("asked"))
-    return met.join(docs, "id").where(same).groupBy("qid").agg(F.min("id").alias("true_id"))
+    hashed = lambda df, key: bounded(df.select(key, "terms", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes")))
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, found = _run_hashes(batch.column(2), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), _spelled(batch.column(1), row, place, width), pa.array(found)], ["qid", "run", "hash"])
+
+    asked = materialize(hashed(queries, "qid").mapInArrow(asking, f"qid {dict(queries.dtypes)['qid']}, run string, hash long").distinct(), "asked-runs")
+    runs, kind = asked.select("hash").distinct(), dict(docs.dtypes)["id"]
+    if runs.count() <= SENT_RUNS:
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(runs.toArrow()["hash"].to_numpy()))
+
+        def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, place, found = _run_hashes(batch.column(2), width)
+                wanted = sent.value
+                hit = wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found if len(wanted) else np.zeros(len(found), bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hit])), _spelled(batch.column(1), row[hit], place[hit], width)], ["id", "run"])
+
+        met = hashed(docs, "id").mapInArrow(meeting, f"id {kind}, run string")
+    else:
+        def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, place, found = _run_hashes(batch.column(2), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place), pa.array(found)], ["id", "at", "hash"])
+
+        places = hashed(docs, "id").mapInArrow(all_of, f"id {kind}, at long, hash long").join(runs, "hash", "left_semi").groupBy("id").agg(F.collect_set("at").alias("at"))
+        each = docs.join(places, "id").select("id", "terms", F.explode("at").alias("at"))
+        met = each.select("id", F.array_join(F.slice("terms", F.col("at").cast("int") + 1, width), " ").alias("run"))
+    least = materialize(met.groupBy("run").agg(F.min("id").alias("id")), "met-runs")
+    return asked.join(least, "run").groupBy("qid").agg(F.min("id").alias("true_id"))

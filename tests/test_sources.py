@@ -130,3 +130,20 @@ def test_appending_records_and_options(spark, tmp_path):
     tables.write_records(df, str(tmp_path / "r"), ["id", "terms"])
     assert [tuple(tables.read_records(spark, str(tmp_path / "r"), s, {"terms": 2}).first()) for s in ("train", "vali", "test")] == [(1, [3, 4]), (2, [6, 0]), (3, [7, 0])]
     assert Options.parse(["--candidates", "20", "--tfidf", "false"]) == Options(candidates=20, tfidf=False)
+
+
+def test_documents_scored_at_once(monkeypatch):
+    import numpy as np
+
+    from linkwell.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CELLS", 10)
+    assert list(retrieval._steps(np.array([4.0, 4, 4, 30, 1, 1, 8, 1]))) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)]
+
+
+def test_shared_runs_sent_and_joined(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, list("abcdefgh")), (2, list("abc")), (3, list("xbcdefghi")), (4, None), (5, list("hgfedcba"))], "qid long, terms array<string>")
+    docs = spark.createDataFrame([(9, list("zabcdefgh")), (7, list("bcdefghi")), (8, list("abcdefgh")), (6, list("hgfedcb")), (5, None)], "id long, terms array<string>")
+    for most in (100, 0):
+        monkeypatch.setattr("linkwell.operators.retrieval.SENT_RUNS", most)
+        assert sorted(map(tuple, shared_run_truth(asked, docs).collect())) == [(1, 8), (3, 7)]
