@@ -94,3 +94,16 @@ def test_chunks_and_quoting(spark):
 
 def test_analyser(spark):
     assert column(spark, ["Красивые Яблоки и я  РОССИЯ xx", "", None], text.analyse) == [["красив", "яблок", "xx"], [], None]
+
+
+def test_stems_of_a_batch_take_each_word_once(monkeypatch):
+    import pyarrow as pa
+
+    from linkwell.functions import stem
+
+    lists = [["длинный", "дом", "нн", "ь", "hello", None], None, [], ["подъём", "важнейшего", "дом"]] * 3
+    want = [x and [w and stem.stem(w) for w in x] for x in lists]
+    asked = []
+    monkeypatch.setattr(stem, "_known_stem", lambda w: asked.append(w) or stem.stem(w))
+    assert stem._stems.func(pa.array(lists, pa.list_(pa.string()))).to_pylist() == want
+    assert sorted(asked) == sorted({"длинный", "дом", "подъём", "важнейшего"})
