@@ -8,7 +8,7 @@ keeps the best N per query, so neither postings nor pairs of queries and documen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -130,6 +130,47 @@ def _steps(load: np.ndarray) -> Iterator[tuple[int, int]]:
         a = z
 
 
+def best_of(chunks: Iterable[tuple[np.ndarray, list[tuple]]], qids: pa.Array, n: int) -> pa.RecordBatch:
+    """The best ``n`` documents per query of chunks of ids and, for each field, document, first place, number of places and gain
+    of each term, with the queries and weights that the places name."""
+    width = len(qids)
+
+    def best(q: np.ndarray, fid: np.ndarray, score: np.ndarray) -> np.ndarray:
+        order = np.lexsort((fid, -score, q))
+        first = np.r_[True, q[order][1:] != q[order][:-1]][: len(order)]
+        starts = np.flatnonzero(first)
+        return order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) < n]
+
+    def scores(fields: list[tuple], a: int, z: int) -> np.ndarray:
+        out = np.zeros((z - a) * width)
+        for doc, first, size, part, who, weight in fields:
+            here = slice(*np.searchsorted(doc, (a, z)))
+            size = size[here]
+            # each entry meets the queries of its term
+            entry = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size) + first[here][entry]
+            out += np.bincount((doc[here] - a)[entry] * width + who[at], part[here][entry] * weight[at], len(out))
+        return out.reshape(z - a, width)
+
+    q, fid, score, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(width)
+    for ids, fields in chunks:
+        load = np.full(len(ids), float(width))
+        for doc, _, size, *_ in fields:
+            load += np.bincount(doc, size, len(ids))
+        for a, z in _steps(load):
+            raw = scores(fields, a, z)
+            s = np.round(raw, 6)
+            d, w = np.nonzero((raw > 0) & (s >= least))
+            q, fid, score = np.concatenate([q, w]), np.concatenate([fid, ids[a + d]]), np.concatenate([score, s[d, w]])
+            if len(q) > 4 * n * width:
+                keep = best(q, fid, score)
+                q, fid, score = q[keep], fid[keep], score[keep]
+                full = np.bincount(q, minlength=width) >= n
+                least[full] = score[np.cumsum(np.bincount(q, minlength=width))[full] - 1]
+    keep = best(q, fid, score)
+    return pa.RecordBatch.from_arrays([pc.take(qids, pa.array(q[keep])), pa.array(fid[keep]), pa.array(score[keep])], ["qid", "fid", "score"])
+
+
 def _search_block(asked: DataFrame, index: Index, n: int, boosts: dict[str, float], k1: float, b: float) -> DataFrame:
     entries = asked.toArrow()
     known = index.frequencies.where(F.col("field").isin(*boosts)).join(small(asked.select("term").distinct()), "term", "left_semi").toArrow()
@@ -145,13 +186,7 @@ def _search_block(asked: DataFrame, index: Index, n: int, boosts: dict[str, floa
         docs, mean = index.totals[field]
         idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
         sides[field] = (words, np.searchsorted(at[held], np.arange(len(words) + 1)), query[held].astype(np.int64), qtf[held] * idf[at[held]] * boost, mean)
-    width, sent = len(qids), asked.sparkSession.sparkContext.broadcast(sides)
-
-    def best(q: np.ndarray, fid: np.ndarray, score: np.ndarray) -> np.ndarray:
-        order = np.lexsort((fid, -score, q))
-        first = np.r_[True, q[order][1:] != q[order][:-1]][: len(order)]
-        starts = np.flatnonzero(first)
-        return order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) < n]
+    sent = asked.sparkSession.sparkContext.broadcast(sides)
 
     def gains(batch: pa.RecordBatch) -> list[tuple]:
         """For each field: the places in its lists that a document's terms lead to, by document, and what a query gains there, without its weight."""
@@ -165,36 +200,8 @@ def _search_block(asked: DataFrame, index: Index, n: int, boosts: dict[str, floa
             out.append((doc, starts[t], starts[t + 1] - starts[t], part, who, weight))
         return out
 
-    def scores(fields: list[tuple], a: int, z: int) -> np.ndarray:
-        out = np.zeros((z - a) * width)
-        for doc, first, size, part, who, weight in fields:
-            here = slice(*np.searchsorted(doc, (a, z)))
-            size = size[here]
-            # each entry meets the queries of its term
-            entry = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size) + first[here][entry]
-            out += np.bincount((doc[here] - a)[entry] * width + who[at], part[here][entry] * weight[at], len(out))
-        return out.reshape(z - a, width)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, fid, score, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(width)
-        for batch in batches:
-            fields, ids = gains(batch), batch.column(0).to_numpy()
-            load = np.full(len(batch), float(width))
-            for doc, _, size, *_ in fields:
-                load += np.bincount(doc, size, len(batch))
-            for a, z in _steps(load):
-                raw = scores(fields, a, z)
-                s = np.round(raw, 6)
-                d, w = np.nonzero((raw > 0) & (s >= least))
-                q, fid, score = np.concatenate([q, w]), np.concatenate([fid, ids[a + d]]), np.concatenate([score, s[d, w]])
-                if len(q) > 4 * n * width:
-                    keep = best(q, fid, score)
-                    q, fid, score = q[keep], fid[keep], score[keep]
-                    full = np.bincount(q, minlength=width) >= n
-                    least[full] = score[np.cumsum(np.bincount(q, minlength=width))[full] - 1]
-        keep = best(q, fid, score)
-        yield pa.RecordBatch.from_arrays([pc.take(qids, pa.array(q[keep])), pa.array(fid[keep]), pa.array(score[keep])], ["qid", "fid", "score"])
+        yield best_of(((batch.column(0).to_numpy(), gains(batch)) for batch in batches), qids, n)
 
     columns = [c for f in boosts for c in (f"dl_{f}", f"terms_{f}", f"tfs_{f}")]
     return bounded(index.rows.select("id", *columns)).mapInArrow(run, f"qid {dict(asked.dtypes)['qid']}, fid long, score double")
