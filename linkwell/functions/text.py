@@ -16,6 +16,7 @@ from linkwell.functions import tables as T
 from linkwell.functions.stem import stems
 
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
+NUMBER_RUN = r"\d[\d.\x01]*"
 SKIP = "\x01"
 
 
@@ -40,16 +41,25 @@ def strip_symbols(s: Column) -> Column:
 
 def split_numbers(s: Column) -> Column:
     """Put numbers apart from what stands beside them; expects lower case and skipped symbols as \\x01."""
-    number = r"\d[\d.\x01]*"
+    s = bound(s, lambda x: F.when(F.contains(x, F.lit(".")) | F.contains(x, F.lit(",")), _points(x)).otherwise(x))
+    s = bound(s, lambda x: F.when(x.rlike(r"\d"), _apart(x)).otherwise(x))
+    return F.replace(s, F.lit("%"), F.lit("% "))
+
+
+def _points(s: Column) -> Column:
+    """Only dots inside or before numbers stay; nothing changes where there is no dot or comma."""
     # dots and commas that no digit precedes are white space
     s = F.regexp_replace(s, r"((?:^|[^\d.,\x01])\x01*|(?!^)\G\x01*)[.,]", "$1 ")
     # a decimal comma becomes a dot
-    s = F.regexp_replace(s, rf"({number}|(?!^)\G[\d.\x01]*),", "$1.")
+    s = F.regexp_replace(s, rf"({NUMBER_RUN}|(?!^)\G[\d.\x01]*),", "$1.")
     # the last dot of a number goes if something follows
-    s = F.regexp_replace(s, rf"({number})\.(?=[^\d.\x01])", "$1 ")
-    s = F.regexp_replace(s, rf"({number})(?=[^\d.\x01%])", " $1 ")
-    s = F.regexp_replace(s, rf"({number})", " $1")
-    return F.regexp_replace(s, "%", "% ")
+    return F.regexp_replace(s, rf"({NUMBER_RUN})\.(?=[^\d.\x01])", "$1 ")
+
+
+def _apart(s: Column) -> Column:
+    """White space around numbers; nothing changes where there is no digit."""
+    s = F.regexp_replace(s, rf"({NUMBER_RUN})(?=[^\d.\x01%])", " $1 ")
+    return F.regexp_replace(s, rf"({NUMBER_RUN})", " $1")
 
 
 def words(s: Column) -> Column:
@@ -59,6 +69,10 @@ def words(s: Column) -> Column:
 
 def expand_units(tokens: Column) -> Column:
     """After an integer token a unit is spelled out; then one-letter tokens go, but for the first token."""
+    return bound(tokens, _expanded)
+
+
+def _expanded(tokens: Column) -> Column:
     n = F.size(tokens)
     before, after = F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0)))
     spelled = F.zip_with(before, after, lambda p, w: F.when(p.rlike(r"^\d+$"), lookup(T.UNITS_AFTER_NUMBER, w)).otherwise(w))

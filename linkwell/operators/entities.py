@@ -25,6 +25,8 @@ def index_documents(products: DataFrame, brands: DataFrame, categories: DataFram
     """Search documents: id, name with brand, category id and name, barcodes, source, unit, synonyms."""
     rows = lookup_optional(products, "brand_id", brands, "id", "name", "_brand")
     rows = lookup_required(rows, "category_id", categories, "id", "name", "_category")
+    # a file may be one split, and a lookup may gather rows by a key of few values: the text work is dealt out anew
+    rows = rows.repartition("id", "name")
     names = F.array_join(F.transform("synonyms", lambda s: s["name"]), "\n")
     docs = rows.select(
         "id", F.concat_ws(" ", "name", "_brand").alias("name"), F.col("category_id").alias("categoryId"), F.col("_category").alias("categoryName"), "barcodes",

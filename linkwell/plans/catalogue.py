@@ -198,7 +198,8 @@ def product_text(spark, d):
 @query
 def tokenize_names(spark, d):
     name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("g "), "p_brand", F.lit(" 3,2%"))
-    return table(spark, d, "part").select("p_partkey", text.tokenize(name).alias("tokens"), text.normalize(name).alias("normal"))
+    named = table(spark, d, "part").select("p_partkey", name.alias("name")).repartition("p_partkey")  # the file may be one split
+    return named.select("p_partkey", text.tokenize(F.col("name")).alias("tokens"), text.normalize(F.col("name")).alias("normal"))
 
 
 def products(spark, d) -> DataFrame:
@@ -212,7 +213,7 @@ def products(spark, d) -> DataFrame:
 def index_documents(spark, d):
     part = table(spark, d, "part")
     brands = part.select(F.col("p_size").cast("long").alias("id"), F.concat(F.lit("brand"), F.col("p_size").cast("string")).alias("name")).distinct().where("id < 30")
-    kinds = part.groupBy(F.length("p_type").cast("long").alias("id")).agg(F.min("p_type").alias("name"))
+    kinds = part.select("p_type").distinct().groupBy(F.length("p_type").cast("long").alias("id")).agg(F.min("p_type").alias("name"))
     return entities.index_documents(products(spark, d), brands, kinds).withColumn("barcodes", F.array_join("barcodes", ","))
 
 

@@ -245,3 +245,20 @@ def test_tfidf_sends_the_most_frequent_terms(spark, monkeypatch):
         monkeypatch.setattr(vectors, "BROADCAST_TERMS", most)
         assert vectors._least_sent(frequencies) == least
         assert (found(None), found(fit)) == whole
+
+
+def test_index_documents_deals_out_the_rows_of_one_split(spark):
+    synonyms = F.array(F.struct(F.concat(F.lit("Сок "), F.col("id").cast("string")).alias("name")))
+    products = spark.range(200).select(
+        F.when(F.col("id") > 20, F.col("id")).alias("id"), F.concat(F.lit("Juice "), F.col("id").cast("string"), F.lit("ml")).alias("name"), F.lit(1).cast("long").alias("brand_id"),
+        F.lit(2).cast("long").alias("category_id"), F.array(F.lit("x")).alias("barcodes"), F.lit("").alias("source"), F.lit("Шт.").alias("unit_name"), synonyms.alias("synonyms")).coalesce(1)
+    brands, kinds = spark.createDataFrame([(1, "Best")], "id long, name string"), spark.createDataFrame([(2, "Drinks")], "id long, name string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = entities.index_documents(products, brands, kinds).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == 200 and sorted(r.id for r in found if r.id) == list(range(21, 200))
+    # rows without an id are dealt out too
+    assert len({r.task for r in found if r.id}) > 4 and len({r.task for r in found if r.id is None}) > 1
+    assert [tuple(r)[1:-1] for r in found if r.id == 30] == [("йуице 30 мл бест", 2, "Drinks", ["x"], None, "шт", "сок 30")]

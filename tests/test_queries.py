@@ -45,3 +45,13 @@ def test_query(spark, db, name):
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLE_SQL])
 def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_names_of_one_split_are_tokenised_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert catalogue.QUERIES["tokenize_names"](spark, DIR).select(F.spark_partition_id()).distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -80,6 +80,12 @@ def test_number_splitting_agrees_with_a_scan(spark, values):
     assert column(spark, values, fast) == [slow_tokenize(v) for v in values]
 
 
+def test_tokenize_reads_a_name_once(spark):
+    rows = spark.createDataFrame([("a",)], "s string").select(text.tokenize(F.col("s")).alias("o"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert column(spark, ["a%b", "1%b", "a.b,", "ab", None], text.split_numbers) == ["a% b", " 1% b", "a b ", "ab", None]
+
+
 @pytest.mark.parametrize(("word", "root"), [("важная", "важн"), ("вагонами", "вагон"), ("красивейшие", "красив"), ("бегать", "бега"), ("смеявшись", "смея"), ("молочный", "молочн"), ("сила", "сил")])
 def test_stem(word, root):
     assert stem(word) == root
