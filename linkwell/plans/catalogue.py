@@ -143,7 +143,8 @@ def char_clean_fold(spark, d):
 @query
 def number_boundary_split(spark, d):
     name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("mm "), F.replace(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(",")), F.lit("kg"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(text.words(text.split_numbers(F.lower(name))), " ").alias("split"))
+    named = table(spark, d, "part").select("p_partkey", name.alias("name")).repartition("p_partkey")  # the file may be one split
+    return named.select("p_partkey", F.array_join(text.words(text.split_numbers(F.lower("name"))), " ").alias("split"))
 
 
 @query

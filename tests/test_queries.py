@@ -47,11 +47,12 @@ def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DIR).count() > 0
 
 
-def test_names_of_one_split_are_tokenised_by_many_tasks(spark):
+@pytest.mark.parametrize("name", ["tokenize_names", "number_boundary_split"])
+def test_names_of_one_split_are_tokenised_by_many_tasks(spark, name):
     from pyspark.sql import functions as F
 
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        assert catalogue.QUERIES["tokenize_names"](spark, DIR).select(F.spark_partition_id()).distinct().count() > 4
+        assert catalogue.QUERIES[name](spark, DIR).select(F.spark_partition_id()).distinct().count() > 4
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
