@@ -166,9 +166,18 @@ def linear_score(df: DataFrame, weights: dict[str, float], out: str = "score") -
     return df.withColumn(out, total)
 
 
-def word_vectors(texts: DataFrame, tokens: str = "tokens", size: int = 100, window: int = 5, least: int = 5, rounds: int = 1):
-    """Word2Vec over token lists whose numbers are masked."""
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, seed=1, inputCol=tokens, outputCol="vector").fit(texts.select(text.mask_numbers(F.col(tokens)).alias(tokens)))
+def word_vectors(texts: DataFrame, tokens: str = "tokens", size: int = 100, window: int = 5, least: int = 5, rounds: int = 1, part_words: int = 5_000_000):
+    """Word2Vec over token lists whose numbers are masked.
+
+    Each round trains on all words, in tasks of about ``part_words`` words whose vectors are averaged; up to that many
+    words are one task.  Several tasks of an executor train the same arrays at a time, so their vectors differ a little between runs.
+    """
+    masked = materialize(texts.select(text.mask_numbers(F.col(tokens)).alias(tokens)), "word2vec-tokens")
+    total = masked.agg(F.sum(F.size(tokens))).first()[0] or 0
+    parts = max(1, -(-total // part_words))
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=rounds, numPartitions=parts, seed=1, inputCol=tokens, outputCol="vector").fit(masked)
+    discard(masked)
+    return model
 
 
 def _labelled(spark, d) -> DataFrame:

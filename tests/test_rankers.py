@@ -77,3 +77,19 @@ def test_groups_that_teach_nothing(spark):
     df = spark.createDataFrame([(1, 1.0, 1), (1, 2.0, 1), (2, 3.0, None)], "g int, x double, t int")
     net = neural.train(df, "g", ["x"], "t", neural.Settings(hidden=(2,), steps=2, slices=1))
     assert net.losses == () and net.score(df).count() == 3
+
+
+def test_word_vectors_of_many_words_are_trained_in_parts(spark):
+    r = np.random.default_rng(7)
+    rows = [([f"t{t}w{i}" for i in r.integers(0, 8, 10)] + ["12.5"] * (j % 2),) for j, t in enumerate(r.integers(0, 5, 2000))]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    model = models.word_vectors(df, size=16, rounds=5, part_words=5000)
+    assert model.getNumPartitions() == 5  # 21 000 words
+    vectors = {x.word: x.vector.toArray() for x in model.getVectors().collect()}
+    assert set(vectors) == {f"t{t}w{i}" for t in range(5) for i in range(8)} | {"<NUMBER>"}
+    assert all(np.isfinite(v).all() and np.abs(v).max() > 0 for v in vectors.values())
+    for t in range(5):
+        assert sum(x.word.startswith(f"t{t}w") for x in model.findSynonyms(f"t{t}w0", 7).collect()) >= 6
+    whole = models.word_vectors(df, size=16)
+    plain = models.Word2Vec(vectorSize=16, seed=1, inputCol="tokens", outputCol="vector").fit(df.select(models.text.mask_numbers(F.col("tokens")).alias("tokens")))
+    assert whole.getNumPartitions() == 1 and {x.word for x in whole.getVectors().collect()} == {x.word for x in plain.getVectors().collect()}
